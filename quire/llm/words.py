@@ -72,11 +72,13 @@ class Words:
         return own[codes] if len(codes) else np.zeros(0, dtype=np.uint64)
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Words of the texts data[offsets[i]:offsets[i + 1]]; ``lower`` lower-cases A-Z only."""
+def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, also: np.ndarray | None = None) -> Words:
+    """Words of the texts data[offsets[i]:offsets[i + 1]]; ``lower`` lower-cases A-Z only; new words start where ``also`` is true too."""
     inside = ~_SPACE[data]
     n = len(data)
     edge = np.zeros(n + 1, dtype=bool)
+    if also is not None:
+        edge[:n] = also
     edge[offsets] = True
     starts = inside.copy()
     starts[1:] &= ~inside[:-1] | edge[1:n]
