@@ -29,10 +29,14 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it again: its lineage ends there."""
+    """Write ``df`` to the shared folder as Parquet and read it again: its lineage ends there.
+
+    The driver's garbage is collected then, for Spark deletes the shuffle files of ended jobs only with their objects.
+    """
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
