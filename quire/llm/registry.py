@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, packing, pieces, secrets, substrings
+from . import archives, jaccard, packing, pieces, secrets, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_warc": archives.op2_warc,
+    "op4_jaccard": jaccard.op4_jaccard,
     "op6_secrets": secrets.op6_secrets,
     "op7_packing": packing.op7_packing,
     "op9_substrings": substrings.op9_substrings,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_warc": archives.OP2_SQL, "op9_substrings": substrings.OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc": archives.OP2_SQL, "op4_jaccard": jaccard.OP4_SQL, "op9_substrings": substrings.OP9_SQL}
