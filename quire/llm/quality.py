@@ -25,10 +25,13 @@ COMMON = 40
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Languages with fewer documents than this, or than this share of all in percent, give no reference.
 LEAST_DOCUMENTS, LEAST_PERCENT = 5, 1
-#: Words from which a document is judged by its characters, and by its words.
-GUARD_CHARACTERS, GUARD_WORDS = 50, 100
-#: Jensen-Shannon distance (the root of the divergence, to base 2) from the nearest reference at most.
-MOST_CHARACTERS, MOST_WORDS = 0.26, 0.345
+#: Words from which a document is judged by its characters and words, and by its words more strictly.
+GUARD, GUARD_STRICT = 50, 100
+#: Jensen-Shannon distance (the root of the divergence, to base 2) of the characters from the nearest reference at most.
+MOST_CHARACTERS = 0.26
+#: Distance of the words at most, as a share of that which a text without any common word has: how much of a language its
+#: common words make up, and so how far a text can be from it, differs between languages and corpora.
+MOST_WORDS, MOST_WORDS_STRICT = 0.97, 0.9
 #: Classes: a-z, A-Z, digits, white space, marks of sentences, symbols, other ASCII, all beyond ASCII.
 CLASSES = 8
 
@@ -172,7 +175,7 @@ def references(docs: DataFrame, *, common: int = COMMON) -> list[Reference]:
 
 
 def nearest(refs: list[Reference], data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distance from the nearest reference, of its characters and of its words."""
+    """Each text's distance from the nearest reference, of its characters, and of its words as a share of the farthest."""
     n = len(at) - 1
     classes = class_counts(data, at)
     words = split_words(data, at, lower=True)
@@ -189,7 +192,9 @@ def nearest(refs: list[Reference], data: np.ndarray, at: np.ndarray) -> tuple[np
                     bin_[place[w]] = k
             width = len(ref.words) + 1
             counts = np.bincount(text * width + bin_[code], minlength=n * width).reshape(n, width)
-            of_words = np.minimum(of_words, js_distance(counts, ref.counts))
+            alien = np.zeros((1, width))
+            alien[0, -1] = 1
+            of_words = np.minimum(of_words, js_distance(counts, ref.counts) / max(1e-9, js_distance(alien, ref.counts)[0]))
     return of_classes, of_words
 
 
@@ -208,7 +213,7 @@ def judge(docs: DataFrame, refs: list[Reference]) -> DataFrame:
                 n_words = own["n_words"]
                 failed = (n_words < LEAST_WORDS) | (100 * own["n_repeat_words"] > MOST_REPEATED * n_words)
                 of_classes, of_words = nearest(refs, data, at) if refs else (np.zeros(len(n_words)), np.zeros(len(n_words)))
-                odd = (n_words >= GUARD_CHARACTERS) & (of_classes > MOST_CHARACTERS) | (n_words >= GUARD_WORDS) & (of_words > MOST_WORDS)
+                odd = (n_words >= GUARD) & ((of_classes > MOST_CHARACTERS) | (of_words > np.where(n_words >= GUARD_STRICT, MOST_WORDS_STRICT, MOST_WORDS)))
                 columns = {"doc_id": part.column("doc_id")} | {k: pa.array(v, pa.int64()) for k, v in own.items()}
                 yield pa.RecordBatch.from_pydict(columns | {"base_failed": pa.array(failed), "kept": pa.array(~failed & ~odd), "js_characters": pa.array(of_classes), "js_words": pa.array(of_words)})
 
