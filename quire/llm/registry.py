@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, jaccard, packing, pieces, quality, secrets, substrings
+from . import archives, jaccard, neighbours, packing, pieces, quality, secrets, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_warc": archives.op2_warc,
+    "op3_neighbours": neighbours.op3_neighbours,
     "op4_jaccard": jaccard.op4_jaccard,
     "op5_quality": quality.op5_quality,
     "op6_secrets": secrets.op6_secrets,
