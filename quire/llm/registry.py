@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, jaccard, neighbours, packing, pieces, quality, secrets, substrings
+from . import archives, jaccard, licenses, neighbours, packing, pieces, pseudonyms, quality, secrets, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -16,7 +16,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": quality.op5_quality,
     "op6_secrets": secrets.op6_secrets,
     "op7_packing": packing.op7_packing,
+    "op8_licenses": licenses.op8_licenses,
     "op9_substrings": substrings.op9_substrings,
+    "op10_pseudonyms": pseudonyms.op10_pseudonyms,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_warc": archives.OP2_SQL, "op4_jaccard": jaccard.OP4_SQL, "op9_substrings": substrings.OP9_SQL}
