@@ -198,6 +198,17 @@ def nearest(refs: list[Reference], data: np.ndarray, at: np.ndarray) -> tuple[np
     return of_classes, of_words
 
 
+def _verdicts(text: pa.Array, refs: list[Reference]) -> dict[str, pa.Array]:
+    data, at = flat_bytes(text)
+    own = base_counts(data, at, split_words(data, at))
+    n_words = own["n_words"]
+    failed = (n_words < LEAST_WORDS) | (100 * own["n_repeat_words"] > MOST_REPEATED * n_words)
+    of_classes, of_words = nearest(refs, data, at) if refs else (np.zeros(len(n_words)), np.zeros(len(n_words)))
+    odd = (n_words >= GUARD) & ((of_classes > MOST_CHARACTERS) | (of_words > np.where(n_words >= GUARD_STRICT, MOST_WORDS_STRICT, MOST_WORDS)))
+    counts = {k: pa.array(v, pa.int64()) for k, v in own.items()}
+    return counts | {"base_failed": pa.array(failed), "kept": pa.array(~failed & ~odd), "js_characters": pa.array(of_classes), "js_words": pa.array(of_words)}
+
+
 def judge(docs: DataFrame, refs: list[Reference]) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and both distances for each row of ``docs`` (doc_id, text).
 
@@ -208,18 +219,23 @@ def judge(docs: DataFrame, refs: list[Reference]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                data, at = flat_bytes(part.column("text"))
-                own = base_counts(data, at, split_words(data, at))
-                n_words = own["n_words"]
-                failed = (n_words < LEAST_WORDS) | (100 * own["n_repeat_words"] > MOST_REPEATED * n_words)
-                of_classes, of_words = nearest(refs, data, at) if refs else (np.zeros(len(n_words)), np.zeros(len(n_words)))
-                odd = (n_words >= GUARD) & ((of_classes > MOST_CHARACTERS) | (of_words > np.where(n_words >= GUARD_STRICT, MOST_WORDS_STRICT, MOST_WORDS)))
-                columns = {"doc_id": part.column("doc_id")} | {k: pa.array(v, pa.int64()) for k, v in own.items()}
-                yield pa.RecordBatch.from_pydict(columns | {"base_failed": pa.array(failed), "kept": pa.array(~failed & ~odd), "js_characters": pa.array(of_classes), "js_words": pa.array(of_words)})
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id")} | _verdicts(part.column("text"), refs))
 
     return space.documents(docs).mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, js_characters double, js_words double")
 
 
+def kept_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``judge`` keeps, by references from all of ``docs``."""
+    refs = references(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                yield part.filter(_verdicts(part.column("text"), refs)["kept"])
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality(docs: DataFrame) -> DataFrame:
     """``judge`` with references from the same documents."""
     return judge(docs, references(docs))

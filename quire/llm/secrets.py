@@ -84,14 +84,12 @@ def _joined(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in found)
 
 
-def find_secrets(docs: DataFrame, path: str, pattern: str, *, redact: str | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Spans of secrets in every text of ``docs`` (doc_id, text; other columns are ignored).
 
-    Returns a row for each row: doc_id, n_assign, n_access, n_hex, n_token, base_sha256, spans, and with ``redact`` the
-    text in which that string replaces every span (overlapping ones as one). A null or empty text has no spans; base_sha256
-    is then that of the empty string. Rows that share a doc_id, or have none, are each judged alone.
+    Returns a row for each row: doc_id, n_assign, n_access, n_hex, n_token, base_sha256, spans. A null or empty text has no
+    spans; base_sha256 is then that of the empty string. Rows that share a doc_id, or have none, are each judged alone.
     """
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, n_token long, base_sha256 string, spans string" + (", text string" if redact is not None else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
@@ -103,11 +101,23 @@ def find_secrets(docs: DataFrame, path: str, pattern: str, *, redact: str | None
                 columns |= {f"n_{kind}": pa.array([sum(x[1] == k for x in f) for f in found], pa.int64()) for k, kind in enumerate(KINDS)}
                 columns["base_sha256"] = pa.array([hashlib.sha256(_joined(f).encode()).hexdigest() for f in base], pa.string())
                 columns["spans"] = pa.array([_joined(f) for f in found], pa.string())
-                if redact is not None:
-                    columns["text"] = pa.array([redacted(t, f, redact) for t, f in zip(part.column("text").to_pylist(), found, strict=True)], pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return space.documents(docs).mapInArrow(run, schema)
+    return space.documents(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_token long, base_sha256 string, spans string")
+
+
+def redacted_rows(docs: DataFrame, path: str, pattern: str, mark: str) -> DataFrame:
+    """``docs`` with ``mark`` in place of every span in ``text``; null texts and all other columns stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(path, pattern)
+        for batch in batches:
+            for part in chunks(batch):
+                new = [t if t is None else redacted(t, secret_spans(t, words), mark) for t in part.column("text").to_pylist()]
+                at = part.schema.get_field_index("text")
+                yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def redacted(text: str, found: list[tuple[int, int, int]], mark: str) -> str:
