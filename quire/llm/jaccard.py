@@ -4,10 +4,10 @@ Each document is the set of the 64-bit hashes of its 3-word shingles. Documents
 sets, at least T = 0.9 n of the n shingles of either must be in both, so:
 
 1. Routing. Of each set, the n - T + k least hashes; two linked sets share k of these. Counting them in Spark gives how
-   common each is, and of those all but k - 1, the rarest, are kept: linked sets share one of these. Hashes that only one
-   set has link nothing. Texts that share no passage go out here, and common passages are the last to be looked at.
-2. Sets that share a kept hash, directly or over others, form a family. A family is cut into blocks of bounded size, and
-   each pair of blocks is a task of its own, so that a family with a large share of all rows is spread over many tasks.
+   common each is; the commonest k / 2 are passed over, and linked sets still share the other half of k. Hashes that only
+   one set has link nothing. Texts that share no passage go out here, and common passages are the last to be looked at.
+2. Sets that share enough of the kept hashes, or one that many have, form a family. A family is cut into blocks of bounded
+   size, and each pair of blocks is a task of its own, so that a family with a large share of all rows is spread over many.
 3. Search. A task builds inverted lists over one block and searches them with each set of the other: short lists are
    merged on a heap, sets found often enough are looked up in the long lists by binary search (DivideSkip), and those that
    reach the required overlap are links. A pair that links already join isn't searched again: its class can't change.
@@ -37,6 +37,8 @@ from .words import chunks, flat_bytes, mixed, rolling, spans, split_words
 SHINGLE, PERCENT = 3, 90
 #: Sets and hashes of a block at most, on average.
 BLOCK_SETS, BLOCK_HASHES = 512, 1_000_000
+#: Tokens that linked sets share in the routing, at least, if they have as many; sets in a list that is counted by pairs.
+LEAST_SAMPLE, SHORT_LIST = 6, 32
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -65,7 +67,7 @@ def _needed(n: int, percent: int) -> int:
 
 def _sample(n: int) -> int:
     """k of the routing, for sets of n shingles; it doesn't fall as n rises."""
-    return max(1, n // 20)
+    return min(n, max(n // 20, LEAST_SAMPLE))
 
 
 def _described(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -86,15 +88,25 @@ def _described(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _families(sets: DataFrame, percent: int) -> DataFrame:
-    """sig, family of the sets (sig, n, tokens) that may have links."""
+    """sig, family of the sets (sig, n, tokens) that may have links.
+
+    Two linked sets share ``spare`` of their tokens. The commonest spare - asked of those that other sets have are passed
+    over in each; linked sets still share ``asked``. Lists of few sets are counted by pairs; sets that share a token whose
+    list is long go into one family at once, through its first set.
+    """
     posts = sets.select("sig", "n", F.explode("tokens").alias("token"))
     common = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     met = posts.join(common, "token").groupBy("sig").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    spare = F.greatest(F.lit(1), F.expr(f"((n * {percent} + 99) div 100) div 20"))  # as _sample of the smallest set that can be linked
-    rarest = F.expr("slice(t, 1, cast(greatest(0, size(t) - spare + 1) as int))")
-    lists = space.cut(met.withColumn("spare", spare).select("sig", F.explode(rarest).alias("x")).select("sig", F.col("x.token").alias("token")), "lists")
-    hubs = space.cut(lists.groupBy("token").agg(F.min("sig").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", "hub"), "hubs")
-    return components(lists.join(hubs, "token").select(F.col("hub").alias("a"), F.col("sig").alias("b"))).select(F.col("node").alias("sig"), F.col("label").alias("family"))
+    least = f"((n * {percent} + 99) div 100)"  # as _needed and _sample of the smallest set that can be linked
+    met = met.withColumn("spare", F.expr(f"greatest(1, least({least}, greatest({least} div 20, {LEAST_SAMPLE})))")).withColumn("asked", F.expr("(spare + 1) div 2"))
+    kept = met.withColumn("k", F.expr("size(t) - (spare - asked)")).where("k >= asked")
+    lists = space.cut(kept.select("sig", "n", "asked", F.explode(F.expr("slice(t, 1, cast(k as int))")).alias("x")).select("sig", "n", "asked", F.col("x.token").alias("token")), "lists")
+    sizes = space.cut(lists.groupBy("token").agg(F.min("sig").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1"), "list-sizes")
+    short = lists.join(sizes.where(F.col("m") <= SHORT_LIST).select("token"), "token").groupBy("token").agg(F.collect_list(F.struct("sig", "n", "asked")).alias("x"))
+    pairs = F.flatten(F.transform("x", lambda a: F.transform(F.filter("x", lambda b: (a["sig"] < b["sig"]) & (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"]))), lambda b: F.struct(a["sig"].alias("a"), b["sig"].alias("b"), F.greatest(a["asked"], b["asked"]).alias("asked")))))
+    counted = short.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("c"), F.max("p.asked").alias("asked")).where("c >= asked").select("a", "b")
+    starred = lists.select("token", "sig").join(sizes.where(F.col("m") > SHORT_LIST).select("token", "hub"), "token").select(F.col("hub").alias("a"), F.col("sig").alias("b"))
+    return components(counted.unionByName(starred)).select(F.col("node").alias("sig"), F.col("label").alias("family"))
 
 
 def _sets_of(rows: DataFrame, size: int) -> DataFrame:
