@@ -93,7 +93,7 @@ def part_posts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("""WITH e AS (SELECT event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), m AS (SELECT event_id, epoch_ms(n) - epoch_ms(ts) AS ms FROM e), s AS (SELECT *, ms // 1000 AS s FROM m)
+@query("""WITH e AS (SELECT event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), m AS (SELECT event_id, epoch_us(n) // 1000 - epoch_us(ts) // 1000 AS ms FROM e), s AS (SELECT *, ms // 1000 AS s FROM m)
 SELECT event_id, CASE WHEN ms < 1000 THEN ms || ' ms' WHEN s < 60 THEN s || ' s' WHEN s < 3600 THEN s // 60 || ' m ' || s % 60 || ' s' ELSE s // 3600 || ' h ' || s // 60 % 60 || ' m' END AS wait FROM s""")
 def waits_between_events(spark: SparkSession, sf: str) -> DataFrame:
     after = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
