@@ -18,13 +18,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from . import space
-from .words import chunks, flat_bytes, mixed, rolling, split_words
+from .words import chunks, flat_bytes, mixed, rolling, spans, split_words
 
 GRAM, WINDOW = 2, 2
 #: Diagonals on either side of a hit that an alignment may use.
 BAND = 6
 #: Share of a template's words that is reported, at least.
 LEAST_COVERAGE = 0.75
+#: Share of a template's kept hashes that a text has, to be aligned with it: below the half that matching so many words in
+#: order leaves, but far above what common word pairs give.
+LEAST_HITS = 0.4
 
 # Notices and license texts, as their authors ask for them to be given.
 TEMPLATES: dict[str, str] = {
@@ -92,6 +95,23 @@ class Templates:
                 index[int(value)].append((k, int(at)))
         self.index = dict(index)
         self.keys = np.array(sorted(self.index), dtype=np.uint64)
+        # For each hash, the templates that have it, flat; and how many of its own hashes a text must have for each template.
+        own = [sorted({k for k, _ in self.index[int(x)]}) for x in self.keys]
+        self.of_key = np.r_[0, np.cumsum([len(x) for x in own])]
+        self.templates = np.array([k for x in own for k in x], dtype=np.int64)
+        self.needed = np.maximum(1, np.ceil(LEAST_HITS * np.bincount(self.templates, minlength=len(self.names)))).astype(np.int64)
+
+    def candidates(self, runs: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, template) pairs with enough distinct hashes in common; ``runs`` are hashes, and ``text`` the text of each."""
+        place = np.searchsorted(self.keys, runs)
+        hit = np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] == runs)
+        pairs = np.unique(text[hit] * len(self.keys) + place[hit])
+        key = pairs % len(self.keys)
+        count = np.diff(self.of_key)[key]
+        both = np.repeat(pairs // len(self.keys), count) * len(self.names) + self.templates[spans(self.of_key[key], count)]
+        both, n = np.unique(both, return_counts=True)
+        both = both[n >= self.needed[both % len(self.names)]]
+        return both // len(self.names), both % len(self.names)
 
 
 def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
@@ -124,14 +144,15 @@ def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[
     return best[1:]
 
 
-def matches(h: np.ndarray, own: Templates, band: int = BAND, least: float = LEAST_COVERAGE) -> list[tuple[int, float, int, int]]:
-    """(template, coverage, begin, end) of all matches in a text's word hashes; of overlapping ones that with more matched words."""
+def matches(h: np.ndarray, own: Templates, wanted: set[int], band: int = BAND, least: float = LEAST_COVERAGE) -> list[tuple[int, float, int, int]]:
+    """(template, coverage, begin, end) of the matches of the wanted templates in a text's word hashes; of overlapping ones that with more matched words."""
     values, places = winnow(h)
     hit = np.flatnonzero(np.isin(values, own.keys))
     diagonals: dict[int, set[int]] = defaultdict(set)
     for k in hit.tolist():
         for template, at in own.index[int(values[k])]:
-            diagonals[template].add(int(places[k]) - at)
+            if template in wanted:
+                diagonals[template].add(int(places[k]) - at)
     found = []
     for template, own_diagonals in diagonals.items():
         low = None
@@ -177,15 +198,17 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
                 h, of = h[filled], np.searchsorted(filled, words.of)
                 start = words.start[filled]
                 end = start + np.diff(words.at)[filled]
-                # Texts that hold no run of words of any template are passed over; winnowing looks at the others.
                 runs = mixed(rolling(h, GRAM)) if len(h) >= GRAM else np.zeros(0, dtype=np.uint64)
-                near = np.flatnonzero(np.isin(runs, own.keys))
-                may = np.unique(np.searchsorted(of, near, side="right") - 1)
+                n_runs = np.maximum(np.diff(of) - GRAM + 1, 0)
+                at_run = spans(of[:-1], n_runs)
+                wanted: dict[int, set[int]] = defaultdict(set)
+                for i, k in zip(*own.candidates(runs[at_run], np.repeat(np.arange(part.num_rows), n_runs)), strict=True):
+                    wanted[int(i)].add(int(k))
                 rows: list[list[dict]] = [[] for _ in range(part.num_rows)]
-                for i in may.tolist():
+                for i, templates_of in sorted(wanted.items()):
                     own_h, base = h[of[i] : of[i + 1]], of[i]
                     points = None
-                    for template, coverage, a, b in matches(own_h, own):
+                    for template, coverage, a, b in matches(own_h, own, templates_of):
                         if points is None:
                             points = np.r_[0, np.cumsum((data[at[i] : at[i + 1]] & 0xC0) != 0x80)]
                         rows[i].append({"license": own.names[template], "coverage": coverage, "start": int(points[start[base + a] - at[i]]), "end": int(points[end[base + b - 1] - at[i]])})
