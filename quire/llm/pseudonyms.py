@@ -1,7 +1,7 @@
 """Operator 10: format-preserving pseudonyms for personal numbers, dates and addresses, in Spark's own functions only.
 
-Candidates are found by one pattern and validated: cards by Luhn's check digit, phones, social security numbers and IP
-addresses by the ranges of their parts, dates by the calendar. A valid value is taken apart into two numbers (l, r) with
+Candidates are found by one pattern and validated: cards by Luhn's check digit, social security numbers and IP addresses
+by the ranges of their parts, dates by the calendar, phones by their form. A valid value is taken apart into two numbers (l, r) with
 0 <= l < a and 0 <= r < b, and a keyed Feistel network permutes these pairs: rounds add a hash of one half to the other,
 modulo a and b in turn. So each pseudonym is a valid value in the same format, different values get different ones, and
 equal values get equal ones in all documents. Whoever has the key can run the rounds backwards.
@@ -19,7 +19,7 @@ ROUNDS = 10
 DEMO_KEY = "quire-demonstration-key"
 
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
-_PHONE = r"(?<![0-9+])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
+_PHONE = r"(?<![0-9+])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _DATE = r"(?<![0-9-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])"
 _IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
@@ -113,11 +113,9 @@ def _card(x: Column, key: str) -> Column:
 def _phone(x: Column, key: str) -> Column:
     d = F.substring(_digits(x), F.length(_digits(x)) - 9, F.lit(10))
 
-    def part(a: int, n: int) -> Column:
-        return F.substring(d, a, n).cast("long")
-
-    done = _feistel((part(1, 3) - 200) * 8 + part(4, 1) - 2, part(5, 6), F.lit(6400), F.lit(1_000_000), F.lit("phone"), key)
-    new = _let(done, lambda s: F.concat(_padded(F.floor(s["l"] / 8) + 200, 3), (s["l"] % 8 + 2).cast("string"), _padded(s["r"], 6)))
+    # Area codes that aren't in use, too: a number that is written as one is a person's, whoever runs the exchange.
+    done = _feistel(F.substring(d, 1, 4).cast("long"), F.substring(d, 5, 6).cast("long"), F.lit(10_000), F.lit(1_000_000), F.lit("phone"), key)
+    new = _let(done, lambda s: F.concat(_padded(s["l"], 4), _padded(s["r"], 6)))
     country = F.when(F.length(_digits(x)) > 10, F.lit("1")).otherwise(F.lit(""))
     return _let(F.concat(country, new), lambda n: _refilled(x, n, "[0-9]"))
 
