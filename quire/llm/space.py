@@ -13,6 +13,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 2000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; set here only if the session has none."""
@@ -34,6 +37,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     The driver's garbage is collected then, for Spark deletes the shuffle files of ended jobs only with their objects.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = fresh_dir(spark, name)
     df.write.parquet(path)
     spark.sparkContext._jvm.System.gc()
@@ -44,6 +48,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send at most BATCH_ROWS rows at a time to Python workers: texts may be long, and both sides hold a whole batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def documents(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty) of ``docs``, and the columns in ``more``; others may have any name."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

@@ -6,6 +6,8 @@ the Arrow buffers, without Python strings.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +15,20 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+
+
+def _steady_memory() -> None:
+    """Let arrays of a megabyte or more go back to the system when they are freed.
+
+    The C library raises this limit as arrays are freed, and then keeps ever larger ones; a Python worker, which lives
+    through many stages, would hold hundreds of megabytes that it doesn't use.
+    """
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+
+_steady_memory()
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
