@@ -13,6 +13,8 @@ from quire.llm import jaccard, packing, quality, secrets, space, substrings
 
 #: What stands in place of a secret.
 SECRET_MARK = "[secret]"
+#: Words of a shingle, and percent of the union that near copies have in common; op4_jaccard has a stricter rule of its own.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
 def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -28,8 +30,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that with the smallest doc_id."""
-    return jaccard.keep_one(docs)
+    """One document of each group of linked ones: that with the smallest doc_id. Links are by NEAR_SHINGLE and NEAR_PERCENT."""
+    return jaccard.keep_one(docs, size=NEAR_SHINGLE, percent=NEAR_PERCENT)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

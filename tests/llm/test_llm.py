@@ -652,3 +652,29 @@ def test_pipeline_stages_follow_each_other(spark, docs, tmp_path):
             assert now.where("text LIKE '%abcdef123456%'").count() == 0 and now.where(F.col("text").contains(corpus_pipeline.SECRET_MARK)).count() == 30
             assert now.where(F.col("n_chars") != F.length("text")).count() == 0
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(now.columns)
+
+
+def test_pipeline_joins_near_copies_of_five_words_and_80_percent(spark):
+    r = random.Random(8)
+    texts = []
+    for family in range(8):
+        base = prose(r.choice((30, 90, 200)), 700 + family, vocabulary=10**6).split()
+        for changes in (0, 1, 2, 3, 4, 5, 8, 12):
+            copy = list(base)
+            for k in r.sample(range(len(copy)), changes):
+                copy[k] = f"new{r.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    base = prose(200, 900, vocabulary=10**6).split()
+    texts += [" ".join(base), " ".join(f"new{k}" if k in (30, 70, 110, 150) else w for k, w in enumerate(base))]  # 0.815; 0.886 with three words
+    texts += ["one two three", "one two three", "one two", ""]
+    words = [WORD.findall(t) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set() for w in words]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] & sets[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                lo, hi = sorted((label[i], label[j]))
+                label = [lo if x == hi else x for x in label]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    assert {x["doc_id"] for x in corpus_pipeline.jaccard_join(spark, df, "").collect()} == set(label)
+    assert label[65] == 64
