@@ -139,8 +139,10 @@ class Index:
     def search(self, own: np.ndarray, percent: int, wanted: np.ndarray) -> np.ndarray:
         """Numbers of the sets, of those in the mask ``wanted``, that are linked with ``own``."""
         n, place = len(own), np.searchsorted(self.hashes, own)
-        place = place[place < len(self.hashes)]
-        place = place[np.isin(self.hashes[place], own, assume_unique=True)]
+        # A hash that the index lacks gets the place of the next larger one, which is no hit.
+        inside = place < len(self.hashes)
+        place = place[inside]
+        place = place[self.hashes[place] == own[inside]]
         least = _needed(n, percent)
         if len(place) < least:
             return place[:0]
