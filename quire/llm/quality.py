@@ -4,6 +4,10 @@ A document's histograms, over classes of characters and over the common words of
 of each language by Jensen-Shannon distance. References are sums over all documents: pooled counts of character classes,
 and counts of the COMMON most frequent words with one bin for all others. Documents shorter than the guards aren't judged
 by a histogram that so few counts can't fill.
+
+A text is judged by the nearest of its own language's reference and those of the large languages, for labels can be wrong.
+References of small languages judge texts of their own only, so that a few odd documents excuse no others. A text whose
+language gives no reference is judged by the base rules alone; one without a language, by the large languages.
 """
 
 from __future__ import annotations
@@ -23,8 +27,8 @@ from .words import Words, chunks, flat_bytes, mixed, rolling, spans, split_words
 COMMON = 40
 #: Words a document has at least, to be kept, and percent of its words in repeated 3-word windows at most.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Languages with fewer documents than this, or than this share of all in percent, give no reference.
-LEAST_DOCUMENTS, LEAST_PERCENT = 5, 1
+#: Languages with fewer documents than this give no reference; those with this share of all in percent are large.
+LEAST_DOCUMENTS, LARGE_PERCENT = 5, 1
 #: Words from which a document is judged by its characters and words, and by its words more strictly.
 GUARD, GUARD_STRICT = 50, 100
 #: Jensen-Shannon distance (the root of the divergence, to base 2) of the characters from the nearest reference at most.
@@ -113,6 +117,7 @@ class Reference:
     """What a language is compared by. Its size doesn't depend on the corpus."""
 
     lang: str
+    large: bool
     classes: np.ndarray
     words: list[bytes]
     counts: np.ndarray  # of the words, then of all others
@@ -148,34 +153,37 @@ def references(docs: DataFrame, *, common: int = COMMON) -> list[Reference]:
     """References of all languages in ``docs`` (lang, text). Rows without a language, or without text, add to none.
 
     All documents are counted. What comes to the driver is ``common`` words and a few sums for each language that has
-    LEAST_PERCENT of the documents or more, so for 100 languages at most.
+    LEAST_DOCUMENTS or more.
     """
     from pyspark.sql import Window
 
     rows = _corpus_counts(docs.where("lang IS NOT NULL AND text <> ''").select("lang", "text"))
     counts = space.cut(rows.groupBy("lang", "class", "word").agg(F.sum("n").alias("n")), "counts")
-    sums = {}
-    for row in counts.where(F.col("class") == CLASSES).select("lang", "n").orderBy(F.desc("n"), "lang").limit(100).collect():
-        sums[row["lang"]] = row["n"]
-    least = max(LEAST_DOCUMENTS, -(-LEAST_PERCENT * sum(sums.values()) // 100))
-    langs = sorted(k for k, n in sums.items() if n >= least)
-    if not langs:
+    sizes = counts.where(F.col("class") == CLASSES).select("lang", "n")
+    sums = {r["lang"]: r["n"] for r in sizes.where(F.col("n") >= LEAST_DOCUMENTS).collect()}
+    if not sums:
         return []
-    own = counts.where(F.col("lang").isin(langs))
+    documents = sizes.agg(F.sum("n")).first()[0]
+    own = counts.join(sizes.where(F.col("n") >= LEAST_DOCUMENTS).select("lang"), "lang")
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     top = own.where(F.col("class") == -1).withColumn("k", F.row_number().over(order)).where(F.col("k") <= common).select("lang", "word", "n", "k").collect()
     total = {r["lang"]: r["n"] for r in own.where(F.col("class") == -1).groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     pooled = {(r["lang"], r["class"]): r["n"] for r in own.where(F.col("class").between(0, CLASSES - 1)).select("lang", "class", "n").collect()}
+    best = {}
+    for r in sorted(top, key=lambda r: r["k"]):
+        best.setdefault(r["lang"], []).append(r)
     out = []
-    for lang in langs:
-        best = sorted((r for r in top if r["lang"] == lang), key=lambda r: r["k"])
-        n = [r["n"] for r in best]
-        out.append(Reference(lang, np.array([pooled.get((lang, c), 0) for c in range(CLASSES)], dtype=float), [bytes(r["word"]) for r in best], np.array([*n, total.get(lang, 0) - sum(n)], dtype=float)))
+    for lang in sorted(sums):
+        n = [r["n"] for r in best.get(lang, [])]
+        out.append(Reference(lang, 100 * sums[lang] >= LARGE_PERCENT * documents, np.array([pooled.get((lang, c), 0) for c in range(CLASSES)], dtype=float), [bytes(r["word"]) for r in best.get(lang, [])], np.array([*n, total.get(lang, 0) - sum(n)], dtype=float)))
     return out
 
 
-def nearest(refs: list[Reference], data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distance from the nearest reference, of its characters, and of its words as a share of the farthest."""
+def nearest(refs: list[Reference], data: np.ndarray, at: np.ndarray, langs: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distance from the nearest reference, of its characters, and of its words as a share of the farthest.
+
+    ``langs`` are the texts' languages. Both distances of a text that no reference judges are 0.
+    """
     n = len(at) - 1
     classes = class_counts(data, at)
     words = split_words(data, at, lower=True)
@@ -183,45 +191,58 @@ def nearest(refs: list[Reference], data: np.ndarray, at: np.ndarray) -> tuple[np
     text = np.repeat(np.arange(n), np.diff(words.of))
     of_classes, of_words = np.ones(n), np.ones(n)
     place = {w: k for k, w in enumerate(distinct.to_pylist())}
+    rows_of = {}
+    for i, lang in enumerate(langs):
+        rows_of.setdefault(lang, []).append(i)
+    known = {ref.lang for ref in refs} | ({None} if any(ref.large for ref in refs) else set())
+    judged = np.array([lang in known for lang in langs], dtype=bool)
     for ref in refs:
-        of_classes = np.minimum(of_classes, js_distance(classes, ref.classes))
+        if ref.large:
+            rows, owner, codes = np.arange(n), text, code
+        elif ref.lang in rows_of:
+            rows = np.array(rows_of[ref.lang])
+            new = np.full(n, -1)
+            new[rows] = np.arange(len(rows))
+            owner, codes = new[text][new[text] >= 0], code[new[text] >= 0]
+        else:
+            continue
+        of_classes[rows] = np.minimum(of_classes[rows], js_distance(classes[rows], ref.classes))
         if ref.counts.sum():
             bin_ = np.full(max(1, len(distinct)), len(ref.words), dtype=np.int64)
             for k, w in enumerate(ref.words):
                 if w in place:
                     bin_[place[w]] = k
             width = len(ref.words) + 1
-            counts = np.bincount(text * width + bin_[code], minlength=n * width).reshape(n, width)
+            counts = np.bincount(owner * width + bin_[codes], minlength=len(rows) * width).reshape(len(rows), width)
             alien = np.zeros((1, width))
             alien[0, -1] = 1
-            of_words = np.minimum(of_words, js_distance(counts, ref.counts) / max(1e-9, js_distance(alien, ref.counts)[0]))
-    return of_classes, of_words
+            of_words[rows] = np.minimum(of_words[rows], js_distance(counts, ref.counts) / max(1e-9, js_distance(alien, ref.counts)[0]))
+    return np.where(judged, of_classes, 0.0), np.where(judged, of_words, 0.0)
 
 
-def _verdicts(text: pa.Array, refs: list[Reference]) -> dict[str, pa.Array]:
+def _verdicts(text: pa.Array, langs: list[str | None], refs: list[Reference]) -> dict[str, pa.Array]:
     data, at = flat_bytes(text)
     own = base_counts(data, at, split_words(data, at))
     n_words = own["n_words"]
     failed = (n_words < LEAST_WORDS) | (100 * own["n_repeat_words"] > MOST_REPEATED * n_words)
-    of_classes, of_words = nearest(refs, data, at) if refs else (np.zeros(len(n_words)), np.zeros(len(n_words)))
+    of_classes, of_words = nearest(refs, data, at, langs) if refs else (np.zeros(len(n_words)), np.zeros(len(n_words)))
     odd = (n_words >= GUARD) & ((of_classes > MOST_CHARACTERS) | (of_words > np.where(n_words >= GUARD_STRICT, MOST_WORDS_STRICT, MOST_WORDS)))
     counts = {k: pa.array(v, pa.int64()) for k, v in own.items()}
     return counts | {"base_failed": pa.array(failed), "kept": pa.array(~failed & ~odd), "js_characters": pa.array(of_classes), "js_words": pa.array(of_words)}
 
 
 def judge(docs: DataFrame, refs: list[Reference]) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept and both distances for each row of ``docs`` (doc_id, text).
+    """doc_id, the base counts, base_failed, kept and both distances for each row of ``docs`` (doc_id, text, lang).
 
-    A null or empty text has no words and fails. Without references (no language is frequent enough) only the base rules
-    judge. Rows that share a doc_id, or have none, are each judged alone; other columns are ignored.
+    A null or empty text has no words and fails. Where no reference judges, only the base rules do. Rows that share a doc_id, or have none, are each judged alone; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id")} | _verdicts(part.column("text"), refs))
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id")} | _verdicts(part.column("text"), part.column("lang").to_pylist(), refs))
 
-    return space.documents(docs).mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, js_characters double, js_words double")
+    return space.documents(docs, "lang").mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, js_characters double, js_words double")
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
@@ -231,7 +252,7 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                yield part.filter(_verdicts(part.column("text"), refs)["kept"])
+                yield part.filter(_verdicts(part.column("text"), part.column("lang").to_pylist(), refs)["kept"])
 
     return docs.mapInArrow(run, docs.schema)
 

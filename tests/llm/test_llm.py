@@ -407,6 +407,22 @@ def test_quality_verdicts_follow_the_language(spark):
 # 6 ------------------------------------------------------------------------------------------------------------------------
 
 
+def test_quality_keeps_languages_with_a_small_share(spark):
+    def foreign(n, seed, common):
+        return re.sub(r"\b(the|of|and|to|in)\b", lambda m: common[("the", "of", "and", "to", "in").index(m[0])], prose(n, seed)).replace("w", "v")
+
+    rows = [(i, prose(120, i), "en") for i in range(1100)]
+    rows += [(2000 + i, foreign(150, i, ("ja", "on", "ei", "se", "han")), "fi") for i in range(6)]
+    rows += [(2100 + i, foreign(150, 50 + i, ("és", "egy", "nem", "az", "hogy")), "hu") for i in range(2)]  # too few for a reference
+    rows += [(3000 + i, " | ".join(f"q{j * 7 + i}z###" for j in range(150)), lang) for i, lang in enumerate(("en", "fi", None))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    refs = quality.references(df)
+    assert [(r.lang, r.large) for r in refs] == [("en", True), ("fi", False)]
+    kept = {r["doc_id"] for r in quality.kept_rows(df).collect()}
+    assert kept == set(range(1100)) | set(range(2000, 2006)) | {2100, 2101}
+    assert {r["doc_id"] for r in quality.quality(df).where("kept").collect()} == kept
+
+
 def base_secrets(text):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     out = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
