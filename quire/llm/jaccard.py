@@ -1,40 +1,45 @@
 """Operator 4: n-gram Jaccard join, by T-occurrence search with DivideSkip.
 
-Each document is the set of the 64-bit hashes of its 3-word shingles. Documents with equal sets are one node. To link two
-sets, at least T = 0.9 n of the n shingles of either must be in both, so:
+Each document is the set of the 64-bit hashes of its shingles of ``size`` words. Documents with equal sets are one node. To
+link two sets, at least T = percent of the n shingles of either must be in both, so:
 
 1. Routing. Of each set, the n - T + k least hashes; two linked sets share k of these. Counting them in Spark gives how
    common each is; the commonest k / 2 are passed over, and linked sets still share the other half of k. Hashes that only
    one set has link nothing. Texts that share no passage go out here, and common passages are the last to be looked at.
 2. Sets that share enough of the kept hashes, or one that many have, form a family. A family is cut into blocks of bounded
-   size, and each pair of blocks is a task of its own, so that a family with a large share of all rows is spread over many.
+   size, by rising size of the sets. A block meets only those blocks whose least set is not too large for a link with its
+   own greatest; each such pair of blocks is a task of its own, so a family with a large share of all rows is spread over many.
 3. Search. A task builds inverted lists over one block and searches them with each set of the other: short lists are
-   merged on a heap, sets found often enough are looked up in the long lists by binary search (DivideSkip), and those that
-   reach the required overlap are links. A pair that links already join isn't searched again: its class can't change.
-   What leaves a task is a spanning forest of its links, at most one row a set.
+   merged, sets found often enough are looked up in the long lists by binary search (DivideSkip), and those that reach the
+   required overlap are links. A pair that links already join isn't searched again: its class can't change. What leaves a
+   task is a spanning forest of its links, at most one row a set.
 
 Classes are the connected components of all forests. Nothing here depends on chance but for hashes: a link between two
-different sets of shingles is missed or made up only if 64-bit hashes collide.
+different sets of shingles is missed or made up only if 64-bit hashes collide within a pair. Only texts of sets in a family
+are read again; Spark filters the others before the shuffle with a Bloom filter of bounded size, which loses none.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Iterator
-from itertools import groupby
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import space
 from .graph import components
 from .words import chunks, flat_bytes, mixed, rolling, spans, split_words
 
-#: Words of a shingle; percent of the union that linked sets have in common.
-SHINGLE, PERCENT = 3, 90
+#: Words of a shingle; percent of the union that near copies have in common.
+SHINGLE, PERCENT = 5, 80
+#: The same of the query ``op4_jaccard``.
+QUERY_SHINGLE, QUERY_PERCENT = 3, 90
+#: Column that tells the rows of a table apart while this module works on it.
+_KEY = "__quire_row"
 #: Sets and hashes of a block at most, on average.
 BLOCK_SETS, BLOCK_HASHES = 512, 1_000_000
 #: Tokens that linked sets share in the routing, at least, if they have as many; sets in a list that is counted by pairs.
@@ -70,58 +75,86 @@ def _sample(n: int) -> int:
     return min(n, max(n // 20, LEAST_SAMPLE))
 
 
+def _row_key() -> Column:
+    """128 bits of doc_id and text. Rows that share them are equal in all that counts here."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit("")))))
+
+
 def _described(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """key, doc_id, n, sig, tokens for rows (doc_id, text, key): the set's size, its signature and its hashes of the routing."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                counts, keys, tokens = [], [], []
+                counts, sigs, tokens = [], [], []
                 for own in shingle_sets(part.column("text"), size):
                     n = len(own)
                     counts.append(n)
-                    keys.append(signature(own))
+                    sigs.append(signature(own))
                     tokens.append(own[: n - _needed(n, percent) + _sample(n)] if n else own)
                 ends = np.r_[0, np.cumsum([len(t) for t in tokens])].astype(np.int32)
                 flat = np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.uint64)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n": pa.array(counts, pa.int64()), "sig": pa.array(keys, pa.binary()), "tokens": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))})
+                yield pa.RecordBatch.from_pydict({"key": part.column("key"), "doc_id": part.column("doc_id"), "n": pa.array(counts, pa.int64()), "sig": pa.array(sigs, pa.binary()), "tokens": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))})
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig binary, tokens array<long>")
+    return docs.mapInArrow(run, "key binary, doc_id long, n long, sig binary, tokens array<long>")
 
 
 def _families(sets: DataFrame, percent: int) -> DataFrame:
-    """sig, family of the sets (sig, n, tokens) that may have links.
+    """set, family of the sets (set, n, tokens) that may have links.
 
     Two linked sets share ``spare`` of their tokens. The commonest spare - asked of those that other sets have are passed
     over in each; linked sets still share ``asked``. Lists of few sets are counted by pairs; sets that share a token whose
     list is long go into one family at once, through its first set.
     """
-    posts = sets.select("sig", "n", F.explode("tokens").alias("token"))
+    posts = sets.select("set", F.explode("tokens").alias("token"))
     common = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    met = posts.join(common, "token").groupBy("sig").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    met = posts.join(common, "token").groupBy("set").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     least = f"((n * {percent} + 99) div 100)"  # as _needed and _sample of the smallest set that can be linked
-    met = met.withColumn("spare", F.expr(f"greatest(1, least({least}, greatest({least} div 20, {LEAST_SAMPLE})))")).withColumn("asked", F.expr("(spare + 1) div 2"))
+    met = met.join(sets.select("set", "n"), "set").withColumn("spare", F.expr(f"greatest(1, least({least}, greatest({least} div 20, {LEAST_SAMPLE})))")).withColumn("asked", F.expr("(spare + 1) div 2"))
     kept = met.withColumn("k", F.expr("size(t) - (spare - asked)")).where("k >= asked")
-    lists = space.cut(kept.select("sig", "n", "asked", F.explode(F.expr("slice(t, 1, cast(k as int))")).alias("x")).select("sig", "n", "asked", F.col("x.token").alias("token")), "lists")
-    sizes = space.cut(lists.groupBy("token").agg(F.min("sig").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1"), "list-sizes")
-    short = lists.join(sizes.where(F.col("m") <= SHORT_LIST).select("token"), "token").groupBy("token").agg(F.collect_list(F.struct("sig", "n", "asked")).alias("x"))
-    pairs = F.flatten(F.transform("x", lambda a: F.transform(F.filter("x", lambda b: (a["sig"] < b["sig"]) & (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"]))), lambda b: F.struct(a["sig"].alias("a"), b["sig"].alias("b"), F.greatest(a["asked"], b["asked"]).alias("asked")))))
+    lists = space.cut(kept.select("set", "n", "asked", F.explode(F.expr("slice(t, 1, cast(k as int))")).alias("x")).select("set", "n", "asked", F.col("x.token").alias("token")), "lists")
+    sizes = space.cut(lists.groupBy("token").agg(F.min("set").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1"), "list-sizes")
+    short = lists.join(sizes.where(F.col("m") <= SHORT_LIST).select("token"), "token").groupBy("token").agg(F.collect_list(F.struct("set", "n", "asked")).alias("x"))
+    pairs = F.flatten(F.transform("x", lambda a: F.transform(F.filter("x", lambda b: (a["set"] < b["set"]) & (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"]))), lambda b: F.struct(a["set"].alias("a"), b["set"].alias("b"), F.greatest(a["asked"], b["asked"]).alias("asked")))))
     counted = short.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("c"), F.max("p.asked").alias("asked")).where("c >= asked").select("a", "b")
-    starred = lists.select("token", "sig").join(sizes.where(F.col("m") > SHORT_LIST).select("token", "hub"), "token").select(F.col("hub").alias("a"), F.col("sig").alias("b"))
-    return components(counted.unionByName(starred)).select(F.col("node").alias("sig"), F.col("label").alias("family"))
+    starred = lists.select("token", "set").join(sizes.where(F.col("m") > SHORT_LIST).select("token", "hub"), "token").select(F.col("hub").alias("a"), F.col("set").alias("b"))
+    edges = space.cut(counted.unionByName(starred).distinct(), "family-links", done=(lists, sizes))
+    return components(edges).select(F.col("node").alias("set"), F.col("label").alias("family"))
+
+
+def _placed(members: DataFrame, percent: int) -> DataFrame:
+    """family, block, partners of the sets ``members`` (set, n, family, ...): where a set lies and the block pairs it is in.
+
+    Blocks take the sets of a family by rising size; a size with more sets than a block holds is dealt by hash. The window
+    runs over the distinct sizes of a family, not over its sets.
+    """
+    order = Window.partitionBy("family").orderBy("n")
+    sizes = members.groupBy("family", "n").agg(F.count(F.lit(1)).alias("c")).withColumn("w", F.greatest(F.col("c") / BLOCK_SETS, F.col("c") * F.col("n") / BLOCK_HASHES))
+    sizes = sizes.withColumn("end", F.sum("w").over(order)).withColumn("first", F.floor(F.round(F.col("end") - F.col("w"), 9)).cast("int"))
+    sizes = space.cut(sizes.withColumn("last", F.greatest("first", (F.ceil(F.round("end", 9)) - 1).cast("int"))).select("family", "n", "first", "last"), "sizes")
+    blocks = sizes.select("family", "n", F.explode(F.sequence("first", "last")).alias("block")).groupBy("family", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    blocks = space.cut(blocks, "blocks")
+    left = blocks.select("family", F.col("block").alias("i"), "hi")
+    pairs = left.join(blocks.select("family", F.col("block").alias("j"), "lo"), "family").where(f"j >= i AND lo * {percent} <= hi * 100")
+    sides = pairs.select("family", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), F.struct("i", "j").alias("p"))
+    partners = space.cut(sides.groupBy("family", "block").agg(F.collect_list("p").alias("partners")), "partners", done=(blocks,))
+    dealt = members.join(sizes, ["family", "n"]).withColumn("block", F.col("first") + F.pmod(F.xxhash64("set"), F.col("last") - F.col("first") + 1).cast("int"))
+    return space.cut(dealt.join(partners, ["family", "block"]).drop("first", "last"), "placed", done=(sizes, partners))
 
 
 def _sets_of(rows: DataFrame, size: int) -> DataFrame:
-    """family, block, blocks, sig, items (bytes of the sorted hashes), for rows (text, want, family, block, blocks)."""
+    """family, block, partners, set, items (bytes of the sorted hashes), for rows (text, sig, and the others)."""
+    names = ("family", "block", "partners", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 own = list(shingle_sets(part.column("text"), size))
-                # Rows may share a doc_id; only the text that has the set is meant.
-                good = [i for i, (s, want) in enumerate(zip(own, part.column("want").to_pylist(), strict=True)) if signature(s) == want]
-                at = pa.array(good, pa.int64())
-                yield pa.RecordBatch.from_pydict({c: part.column(c).take(at) for c in ("family", "block", "blocks")} | {"sig": part.column("want").take(at), "items": pa.array([own[i].tobytes() for i in good], pa.binary())})
+                if any(signature(s) != want for s, want in zip(own, part.column("sig").to_pylist(), strict=True)):
+                    raise ValueError("the table of documents has changed while it was read")
+                yield pa.RecordBatch.from_pydict({c: part.column(c) for c in names} | {"items": pa.array([s.tobytes() for s in own], pa.binary())})
 
-    return rows.mapInArrow(run, "family binary, block int, blocks int, sig binary, items binary")
+    return rows.mapInArrow(run, "family long, block int, partners array<struct<i:int,j:int>>, set long, items binary")
 
 
 class Index:
@@ -167,17 +200,16 @@ class Index:
         return found[count >= need]
 
     def _merge(self, lists: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """The sets that ``least`` of the lists or more have, and how many of them do."""
-        length = self.at[lists + 1] - self.at[lists]
-        if length.sum() <= 64:
-            parts = [self.owner[self.at[k] : self.at[k + 1]].tolist() for k in lists.tolist()]
-            rows = [(x, c) for x, c in ((x, sum(1 for _ in g)) for x, g in groupby(heapq.merge(*parts))) if c >= least]
-            both = np.array(rows, dtype=np.int64).reshape(-1, 2)
-            return both[:, 0], both[:, 1]
-        # So many entries that a heap in Python is the slower way to the same counts.
-        count = np.bincount(self.owner[spans(self.at[lists], length)])
-        found = np.flatnonzero(count >= least)
-        return found, count[found]
+        """The sets that ``least`` of the lists or more have, and how many of them do.
+
+        The lists are sorted runs, one after another; a stable sort merges runs (what a heap does entry by entry), and
+        equal neighbours are counted.
+        """
+        merged = np.sort(self.owner[spans(self.at[lists], self.at[lists + 1] - self.at[lists])], kind="stable")
+        first = np.flatnonzero(np.r_[True, merged[1:] != merged[:-1]]) if len(merged) else np.zeros(0, dtype=np.int64)
+        count = np.diff(np.r_[first, len(merged)])
+        often = count >= least
+        return merged[first[often]], count[often]
 
 
 def forest(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -200,6 +232,68 @@ def forest(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int
     return out
 
 
+@contextmanager
+def _filtered_joins(spark: SparkSession) -> Iterator[None]:
+    """Let Spark filter the large side of a join with a Bloom filter of the other's keys, for the jobs that run inside.
+
+    The filter has 8 MB at most; where more keys make it less selective, more rows are shuffled, and the result is the same.
+    """
+    names = "spark.sql.optimizer.runtime.bloomFilter."
+    wanted = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "1TB", "expectedNumItems": "4000000", "numBits": "67108864"}
+    before = {k: spark.conf.get(names + k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(names + k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(names + k)
+            else:
+                spark.conf.set(names + k, v)
+
+
+def _classes(docs: DataFrame, size: int, percent: int, nulls: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, doc_id, n, sig) of ``docs``, and best = (lost, doc_id, key) of the class of each sig that takes part.
+
+    ``best`` is the row of the class with the least doc_id; ``lost`` is true if it has none. ``nulls``: rows without a doc_id
+    take part.
+    """
+    own = space.documents(docs, _row_key().alias("key"))
+    described = space.cut(_described(own, size, percent), "described")
+    takes_part = F.col("n") > 0 if nulls else (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "key")).alias("rep")
+    sets = described.where(takes_part).groupBy("sig").agg(rep, F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    sets = space.cut(sets.withColumn("set", F.monotonically_increasing_id()), "sets")
+    families = _families(sets.select("set", "n", "tokens"), percent)
+    members = space.cut(families.join(sets.select("set", "n", "sig", F.col("rep.key").alias("key")), "set"), "members", done=(families,))
+    placed = _placed(members, percent)
+    with _filtered_joins(docs.sparkSession):
+        # Equal rows have equal keys and meet in the join: one of them is enough.
+        texts = own.select("key", "text").join(placed.where("n > 0"), "key").dropDuplicates(["key"])
+        items = _sets_of(texts.select("text", "sig", "family", "block", "partners", "set"), size)
+        paired = items.select("family", "block", "set", "items", F.explode("partners").alias("p")).select("family", "p.i", "p.j", "block", "set", "items")
+
+        def search(key: tuple, table: pa.Table) -> pa.Table:
+            table = table.combine_chunks().sort_by("set")
+            block, first = table.column("block").to_numpy(), key[1].as_py()
+            sets = table.column("set").to_numpy()
+            own = [np.frombuffer(x, dtype=np.uint64) for x in table.column("items").to_pylist()]
+            if first == key[2].as_py():
+                order, found = np.arange(len(own)), forest(own, None, percent)
+            else:
+                lo, hi = np.flatnonzero(block == first), np.flatnonzero(block != first)
+                order, found = np.r_[lo, hi], forest([own[i] for i in lo.tolist()], [own[i] for i in hi.tolist()], percent)
+            ends = np.array(found, dtype=np.int64).reshape(-1, 2)
+            return pa.table({"a": pa.array(sets[order[ends[:, 0]]], pa.int64()), "b": pa.array(sets[order[ends[:, 1]]], pa.int64())})
+
+        links = space.cut(paired.groupBy("family", "i", "j").applyInArrow(search, "a long, b long"), "links", done=(members, placed))
+    labels = components(links).select(F.col("node").alias("set"), "label")
+    joined = space.cut(sets.select("set", "sig", "rep").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set")), "labelled", done=(sets, links))
+    smallest = space.cut(joined.groupBy("label").agg(F.min("rep").alias("best")), "smallest")
+    return described.drop("tokens"), space.cut(joined.join(smallest, "label").select("sig", "best"), "classes", done=(joined, smallest))
+
+
 def jaccard_classes(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -207,46 +301,31 @@ def jaccard_classes(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERC
     its own doc_id. A row without a doc_id takes no part and has a null component_id. Rows with equal sets are linked,
     also those that share a doc_id.
     """
-    own = space.documents(docs)
-    described = space.cut(_described(own, size, percent), "described")
-    sets = space.cut(described.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "sets")
-    members = space.cut(_families(sets.select("sig", "n", "tokens"), percent).join(sets.select("sig", "n", "rep"), "sig"), "members")
-    totals = members.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).where("m > 1")
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_HASHES)).cast("int")
-    totals = space.cut(totals.select("family", blocks.alias("blocks")), "family-blocks")
-    placed = members.join(totals, "family").select(F.col("rep").alias("doc_id"), F.col("sig").alias("want"), "family", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"), "blocks")
-    items = _sets_of(own.join(placed, "doc_id").select("text", "want", "family", "block", "blocks"), size)
-    other = items.select("family", "block", "sig", "items", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    paired = other.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sig", "items")
-
-    def search(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by("sig")
-        block, first = table.column("block").to_numpy(), key[1].as_py()
-        keys = table.column("sig").to_pylist()
-        own = [np.frombuffer(x, dtype=np.uint64) for x in table.column("items").to_pylist()]
-        if first == key[2].as_py():
-            order, found = list(range(len(own))), forest(own, None, percent)
-        else:
-            lo, hi = np.flatnonzero(block == first).tolist(), np.flatnonzero(block != first).tolist()
-            order, found = lo + hi, forest([own[i] for i in lo], [own[i] for i in hi], percent)
-        return pa.table({"a": pa.array([keys[order[i]] for i, _ in found], pa.binary()), "b": pa.array([keys[order[j]] for _, j in found], pa.binary())})
-
-    links = paired.groupBy("family", "i", "j").applyInArrow(search, "a binary, b binary")
-    labels = components(links).select(F.col("node").alias("sig"), "label")
-    joined = space.cut(sets.select("sig", "rep").join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig")), "labelled")
-    smallest = space.cut(joined.groupBy("label").agg(F.min("rep").alias("component_id")), "smallest")
-    classes = space.cut(joined.join(smallest, "label").select("sig", "component_id"), "classes")
-    return described.drop("tokens").join(classes, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    described, classes = _classes(docs, size, percent, nulls=False)
+    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    found = classes.select("sig", F.col("best.doc_id").alias("component_id"))
+    return described.join(found, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the documents that a link, or a chain of links, joins to one with a smaller doc_id."""
-    gone = jaccard_classes(docs, size=size, percent=percent).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` with one row of each class: that with the smallest doc_id, of those that of the text with the least hash.
+
+    Rows are decided one by one, whatever doc_ids they share: of two texts under one doc_id that nothing links, both stay.
+    A row without a doc_id counts as the last of its class. Of rows that are equal in doc_id and text, one stays, and which
+    of their other columns' values that is isn't defined. Rows without words are linked with nothing: all of them stay.
+    """
+    described, classes = _classes(docs, size, percent, nulls=True)
+    judged = described.where("n > 0").join(classes.select("sig", F.col("best.key").alias("best")), "sig")
+    marks = judged.groupBy("key").agg(F.first(F.expr("key = best")).alias("stays"), F.count(F.lit(1)).alias("copies")).where("NOT stays OR copies > 1")
+    marks = space.cut(marks.withColumnRenamed("key", _KEY), "marks", done=(described, classes))
+    rows = docs.withColumn(_KEY, _row_key())
+    alone = rows.join(marks, _KEY, "left_anti")
+    first = rows.join(marks.where("stays").select(_KEY), _KEY, "left_semi").dropDuplicates([_KEY])
+    return alone.unionByName(first).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(space.table(spark, sf_dir, "documents"))
+    return jaccard_classes(space.table(spark, sf_dir, "documents"), size=QUERY_SHINGLE, percent=QUERY_PERCENT)
 
 
 OP4_SQL = r"""

@@ -1,26 +1,31 @@
 """Shared folder for intermediate tables, and the input tables.
 
 On a cluster, ``spark.checkpoint.dir`` names a folder that the driver and all executors share; intermediate results go
-there, so that a lost executor costs nothing that has been written. Where the setting is missing (tests), a local folder
-is set in its place.
+there, so that a lost executor costs nothing that has been written. Where the setting is missing, a local session (tests)
+gets a local folder in its place; on a cluster that is an error.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch at most.
 BATCH_ROWS = 2000
+#: Folders of the tables that ``cut`` wrote.
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; set here only if the session has none."""
+    """The folder named by ``spark.checkpoint.dir``; set here only if the session has none and is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quire-shared-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -31,17 +36,30 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, done: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it again: its lineage ends there.
 
+    ``done`` are tables that an earlier call wrote and that nothing reads once ``df`` is written: their files are deleted.
     The driver's garbage is collected then, for Spark deletes the shuffle files of ended jobs only with their objects.
     """
     spark = df.sparkSession
     small_batches(spark)
     path = fresh_dir(spark, name)
     df.write.parquet(path)
+    drop(*done)
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``cut`` wrote and that nothing reads any more."""
+    for table in tables:
+        if path := _WRITTEN.pop(table, None):
+            jvm = table.sparkSession.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

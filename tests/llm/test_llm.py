@@ -293,9 +293,9 @@ def test_jaccard_equals_brute_force(spark):
     texts += [passage + " " + prose(r.choice((8, 30)), 300 + i) for i in range(50)]  # a passage that many have
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("sig", F.lit("x")).withColumn("n", F.lit(1)).repartition(4)
-    got = jaccard.jaccard_classes(df)
+    got = jaccard.jaccard_classes(df, size=3, percent=90)
     assert {tuple(x) for x in got.select("doc_id", "n_shingles", "component_id").collect()} == brute_classes(rows)
-    kept = {r["doc_id"] for r in jaccard.keep_one(df).collect()}
+    kept = {r["doc_id"] for r in jaccard.keep_one(df, size=3, percent=90).collect()}
     assert kept == {c for _, _, c in brute_classes(rows)}
 
 
@@ -305,11 +305,53 @@ def test_jaccard_blocks_and_forests(spark, monkeypatch):
     base = prose(80, 50).split()
     rows = [(i, " ".join(base[:k] + [f"q{i}"] + base[k + 1 :])) for i, k in enumerate(range(0, 80, 4))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {tuple(x) for x in jaccard.jaccard_classes(df).select("doc_id", "n_shingles", "component_id").collect()} == brute_classes(rows)
+    assert {tuple(x) for x in jaccard.jaccard_classes(df, size=3, percent=90).select("doc_id", "n_shingles", "component_id").collect()} == brute_classes(rows)
+
+
+def test_jaccard_blocks_by_size(spark, monkeypatch):
+    """One family of texts that share a passage, of many sizes and in many blocks: some are near copies of others."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
+    monkeypatch.setattr(jaccard, "SHORT_LIST", 2)
+    r = random.Random(12)
+    passage, texts = prose(60, 51), []
+    for i in range(45):
+        own = (passage + " " + prose(r.randrange(5, 25), 800 + i)).split()
+        texts.append(" ".join(own))
+        for _ in range(r.randrange(4)):
+            texts.append(" ".join([*own[: r.randrange(len(own) - 3, len(own) + 1)], *[f"z{r.randrange(9999)}"] * r.randrange(4)]))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {tuple(x) for x in jaccard.jaccard_classes(df, size=3, percent=90).select("doc_id", "n_shingles", "component_id").collect()}
+    assert got == brute_classes(rows) and 1 < len({c for _, _, c in got}) < len(texts)
+
+
+def test_jaccard_large_family(spark):
+    """Thousands of sets in one family: links only to near copies of the same base, all of one size."""
+    passage = prose(400, 52, vocabulary=10**6)
+    rows = []
+    for i in range(2500):
+        base, copy = divmod(i, 5)
+        own = (passage + " " + prose(60, 3000 + base, vocabulary=10**6)).split()
+        own[400 + 3 * copy] = f"u{i}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_classes(df, size=3, percent=97).collect()}
+    assert got == {i: i // 5 * 5 for i in range(2500)}
+
+
+def test_keep_one_decides_row_by_row(spark):
+    a, b, c = prose(40, 53), prose(40, 54), prose(40, 55)
+    rows = [(3, b), (7, a), (7, b), (9, a), (9, a), (None, c), (None, c), (None, a), (5, ""), (5, None), (5, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("k")).withColumn("stays", F.lit(1)).withColumn("set", F.lit(2))
+    got = jaccard.keep_one(df)
+    assert got.columns == df.columns
+    assert bag(got, "doc_id", "text") == Counter([(3, b), (7, a), (None, c), (5, ""), (5, None), (5, " ")])
+    assert bag(jaccard.keep_one(df.where("doc_id = 9")), "doc_id", "text") == Counter([(9, a)])
+    assert jaccard.keep_one(df.limit(0)).count() == 0
 
 
 def test_jaccard_awkward_rows(docs, clashing, empty):
-    got = jaccard.jaccard_classes(clashing)
+    got = jaccard.jaccard_classes(clashing, size=3, percent=90)
     assert got.count() == docs.count()
     rows = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in got.collect()}
     assert rows[(None, 118)] is None and rows[(8, 118)] == 7 and rows[(5, 1)] == 4 and rows[(6, 1)] == 4 and rows[(1, 0)] == 1
@@ -349,7 +391,7 @@ def test_blocks_do_not_link_pairs_under_the_threshold():
         blocks = [[copy(changed) for _ in range(6)] for _ in range(3)]
         for i, j in ((0, 1), (0, 2), (1, 2)):
             pairs = [(a, 6 + b) for a, x in enumerate(blocks[i]) for b, y in enumerate(blocks[j]) if 10 * len(np.intersect1d(x, y)) >= 9 * len(np.union1d(x, y))]
-            found = jaccard.forest(blocks[i], blocks[j])
+            found = jaccard.forest(blocks[i], blocks[j], 90)
             assert set(found) <= set(pairs) and bool(pairs) == linked and len(found) == (11 if linked else 0)
 
 
