@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from datetime import date
@@ -576,19 +577,65 @@ def test_local_search_empties_bins():
 # 8 ------------------------------------------------------------------------------------------------------------------------
 
 
-def test_licenses(spark, docs, empty):
+def test_licenses(spark, docs, empty, clashing):
     mit = licenses.TEMPLATES["mit"]
     damaged = mit.replace("without restriction", "with no restriction").replace("merge, ", "")
+    split = mit.replace("subject to the following", "but never on the grounds of our own firm, its heirs and all of its other friends, subject to the following")
     texts = ["Text before. " + mit + " And after.", damaged, "é " * 9 + "released under the MIT license!", "released under the moon", None, "", "All rights reserved. Licensed under CC BY-NC 4.0.", mit + " " + mit]
+    texts += ["All rights reserved. " * 5, "All rights reserved, as said. All rights reserved!", "Released under the MIT License. " * 2, "Licensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0.", "Released under our MIT License", split]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("found", F.lit(1))
     rows = {r["doc_id"]: r for r in licenses.scan_licenses(df).collect()}
-    assert {k: r["licenses"] for k, r in rows.items()} == {0: "mit", 1: "mit", 2: "mit-notice", 3: "", 4: "", 5: "", 6: "all-rights-reserved,cc-by-nc-4.0-notice", 7: "mit,mit"}
+    want = {0: "mit", 1: "mit", 2: "mit-notice", 3: "", 4: "", 5: "", 6: "all-rights-reserved,cc-by-nc-4.0-notice", 7: "mit,mit"}
+    want |= {8: ",".join(["all-rights-reserved"] * 5), 9: "all-rights-reserved,all-rights-reserved", 10: "mit-notice,mit-notice", 11: "cc-by-nc-4.0-notice,cc-by-nc-4.0-notice", 12: "mit-notice", 13: "mit"}
+    assert {k: r["licenses"] for k, r in rows.items()} == want and all(r["n_licenses"] == len(r["found"]) for r in rows.values())
     hit = rows[0]["found"][0]
     assert texts[0][hit["start"] : hit["end"]] == mit and hit["coverage"] == 1.0
-    assert 0.9 < rows[1]["found"][0]["coverage"] < 1
+    assert 0.9 < rows[1]["found"][0]["coverage"] < 1 and rows[13]["found"][0]["coverage"] == 1.0
     hit = rows[2]["found"][0]
     assert texts[2][hit["start"] : hit["end"]] == "released under the MIT license!"
-    assert licenses.scan_licenses(docs).count() == docs.count() and licenses.scan_licenses(empty).count() == 0
+    assert licenses.scan_licenses(clashing).count() == docs.count() and licenses.scan_licenses(empty).count() == 0
+
+
+def best_alignments(template, text):
+    """(score, matches) of the best local alignment that ends at each place, by the plain recurrence over all cells."""
+    out = [(0, 0)] * len(text)
+    row = [(0, 0)] * (len(text) + 1)
+    for t in template:
+        new = [(0, 0)] * (len(text) + 1)
+        for j, w in enumerate(text):
+            s, m = row[j]
+            options = [(s + 2, m + 1) if t == w else (s - 1, m), (row[j + 1][0] - 1, row[j + 1][1]), (new[j][0] - 1, new[j][1])]
+            new[j + 1] = max(max(options), (0, 0)) if max(options)[0] > 0 else (0, 0)
+            out[j] = max(out[j], new[j + 1])
+        row = new
+    return out
+
+
+@given(st.lists(st.integers(0, 5), min_size=1, max_size=10), st.lists(st.integers(0, 6), min_size=1, max_size=30))
+@settings(max_examples=200, deadline=None)
+def test_alignment_equals_the_plain_recurrence(template, text):
+    score, matched, begin = licenses.align(np.array(template), np.array(text), -len(template), len(text))
+    assert list(zip(score.tolist(), matched.tolist(), strict=True)) == best_alignments(template, text)
+    assert all(b <= j for j, b in enumerate(begin.tolist()))
+
+
+def test_licenses_in_long_texts_take_no_squares(spark):
+    """24,000 words that hit many diagonals, with notices at both ends: seconds at most, and both notices found."""
+    text = "Released under the MIT License. " + "of the software in the software " * 4000 + "All rights reserved."
+    begun = time.monotonic()
+    row = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["licenses"].split(",")[0] == "mit-notice" and row["licenses"].split(",")[-1] == "all-rights-reserved"
+    assert time.monotonic() - begun < 30
+
+
+def test_licenses_in_overlapping_parts(monkeypatch):
+    monkeypatch.setattr(licenses, "PART_WORDS", 500)
+    own = licenses.Templates({"n": "all rights are reserved now"})
+    words = "a b all rights are reserved now c".split() * 300
+    h = np.array([licenses._word_hash(w.encode()) for w in words], dtype=np.uint64)
+    hits = own.hits(licenses.mixed(licenses.rolling(h, licenses.GRAM)))
+    found = licenses.matches(own.coded(h), hits, own, np.array([True]))
+    assert [x[2:] for x in found] == [(8 * i + 2, 8 * i + 7) for i in range(300)]
 
 
 def test_winnowing_guarantee():
