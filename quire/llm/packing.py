@@ -3,7 +3,9 @@
 Documents are tokenized, only those longer than a sequence are cut, and the pieces are dealt into shards of bounded size.
 In a shard, pieces go by decreasing length to the fullest sequence that has room. Local search then exchanges pieces
 between the sequences with room left: it moves one, swaps one for one, or two for one, always so that the sum of squared
-fills rises, which empties the least full sequences. What is left underfull in all shards is packed once more together.
+fills rises, which empties the least full sequences. It looks at all of them, until no step is left or their room together
+is less than a sequence, so that none can be emptied. Sequences that a shard leaves at most half full give their pieces to
+a second packing, over all shards.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Tokens in a shard on average; with pieces of 100 tokens that is 40,000 pieces.
 SHARD_TOKENS = 4_000_000
-#: Sequences that local search looks at in one shard; the least full come first. Full ones have nothing to gain.
-SEARCH_BINS = 64
+#: What a piece counts for in the size of a shard, besides its tokens: so that many small pieces are no burden either.
+PIECE_COST = 50
 #: Words that a process remembers at most; beyond that it starts anew.
 _MOST_KNOWN = 250_000
 _PLAIN = re.compile(rb"(?:[a-zA-Z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+")
@@ -118,7 +120,7 @@ def encoder(path: str) -> WordEncoder:
 
 
 def tokenize_pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """Pieces of every document: row_id (tells apart rows that share a doc_id), doc_id, piece, start, length, ids_crc32.
+    """Pieces of every document: doc_id, row_hash (tells apart texts that share a doc_id), piece, start, length, ids_crc32.
 
     A null or empty text gives one piece, which holds END_ID only.
     """
@@ -183,52 +185,109 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, most_bins: int = SEARCH_BINS) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Empty underfull bins by moves, one-for-one and two-for-one exchanges that raise the sum of squared fills.
 
-    Looks at the least full bins, as giver and taker. Each step makes the fuller of two bins fuller still, by one token at
-    least, so that it ends; the bins that have been emptied are left out of the result.
+    Each underfull bin, the least full first, gives to those that are as full as it or fuller: of all steps the one that fills
+    most, a move before an exchange before two for one. Passes go on until none finds a step, or until the room in all bins
+    together is less than one bin's: then none can be emptied. The fuller of two bins gets fuller still by one token at
+    least, so the search ends; bins that have been emptied are left out of the result.
     """
     size = lengths.tolist()
     fill = [sum(size[i] for i in b) for b in bins]
-    chosen = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])[:most_bins]
-    if sum(capacity - fill[b] for b in chosen) < capacity:
-        return bins  # the room in all of them together isn't that of one bin: none can be emptied
+    room = sum(capacity - f for f in fill)
     changed = True
-    while changed:
+    while changed and room >= capacity:
         changed = False
-        chosen = sorted((b for b in chosen if bins[b]), key=lambda b: fill[b])
-        for k, give in enumerate(chosen):
-            for take in reversed(chosen[k + 1 :]):
-                while bins[give] and fill[take] < capacity and fill[give] <= fill[take] and (step := _exchange(bins[give], bins[take], size, capacity - fill[take])):
-                    out, back = step
-                    moved = sum(size[i] for i in out) - sum(size[i] for i in back)
-                    bins[give] = [i for i in bins[give] if i not in out] + list(back)
-                    bins[take] = [i for i in bins[take] if i not in back] + list(out)
-                    fill[give] -= moved
-                    fill[take] += moved
-                    changed = True
+        for give in sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: fill[b]):
+            takers = None
+            while bins[give] and room >= capacity:
+                if takers is None:
+                    takers = _Takers([b for b in range(len(bins)) if b != give and bins[b] and fill[give] <= fill[b] < capacity], bins, fill, size, capacity)
+                step = takers.best(bins[give], size)
+                if step is None:
+                    break
+                take, out, back = step
+                moved = sum(size[i] for i in out) - sum(size[i] for i in back)
+                bins[give] = [i for i in bins[give] if i not in out] + list(back)
+                bins[take] = [i for i in bins[take] if i not in back] + list(out)
+                fill[give] -= moved
+                fill[take] += moved
+                changed = True
+                takers.changed(take, bins, fill, size)
+            if not bins[give]:
+                room -= capacity
     return [b for b in bins if b]
 
 
-def _exchange(give: list[int], take: list[int], size: list[int], room: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-    """What goes from ``give`` to ``take``, and what comes back: of those steps that fill most of the room, a plain move first."""
-    best, found = 0, None
-    own = sorted((size[i], i) for i in give)
-    k = bisect_right(own, (room, len(size))) - 1
-    if k >= 0:
-        best, found = own[k][0], ((own[k][1],), ())
-    back = sorted((size[i], i) for i in take)
-    back_sizes = [x for x, _ in back]
-    pairs = [(a + b, (i, j)) for x, (a, i) in enumerate(own[-24:]) for b, j in own[-24:][:x]]
-    for total, out in [*((a, (i,)) for a, i in own), *pairs]:
-        if best == room:
-            break
-        # The least that must come back so that the rest fits.
-        k = bisect_left(back_sizes, total - room)
-        if k < len(back) and best < (gain := total - back_sizes[k]) <= room:
-            best, found = gain, (out, (back[k][1],))
-    return found
+class _Takers:
+    """Bins that may take pieces from one that gives, their rooms and pieces as flat arrays."""
+
+    def __init__(self, chosen: list[int], bins: list[list[int]], fill: list[int], size: list[int], capacity: int) -> None:
+        self.capacity = capacity
+        self.bins = np.array(chosen, dtype=np.int64)
+        self.room = np.array([capacity - fill[b] for b in chosen], dtype=np.int64)
+        self.items = np.array([i for b in chosen for i in bins[b]], dtype=np.int64)
+        self.owner = np.repeat(np.arange(len(chosen)), [len(bins[b]) for b in chosen])
+        self.sizes = np.array([size[i] for i in self.items.tolist()], dtype=np.int64)
+        self.order()
+
+    def order(self) -> None:
+        """Pieces by bin, then size: one sorted array of keys for all bins."""
+        self.key = self.owner * (self.capacity + 1) + self.sizes
+        by = np.argsort(self.key, kind="stable")
+        self.key, self.items, self.owner, self.sizes = self.key[by], self.items[by], self.owner[by], self.sizes[by]
+
+    def changed(self, bin_: int, bins: list[list[int]], fill: list[int], size: list[int]) -> None:
+        k = int(np.flatnonzero(self.bins == bin_)[0])
+        self.room[k] = self.capacity - fill[bin_]
+        other = self.owner != k
+        own = np.array(bins[bin_], dtype=np.int64)
+        self.items, self.owner = np.r_[self.items[other], own], np.r_[self.owner[other], np.full(len(own), k)]
+        self.sizes = np.r_[self.sizes[other], [size[i] for i in own.tolist()]]
+        self.order()
+
+    def best(self, give: list[int], size: list[int]) -> tuple[int, tuple[int, ...], tuple[int, ...]] | None:
+        """The bin that takes, what goes to it and what comes back; a kind of step is looked at if those before it have none."""
+        if not len(self.bins):
+            return None
+        of_size = {}
+        for i in sorted(give):
+            of_size.setdefault(size[i], []).append(i)
+        own = sorted(of_size)
+        # A move: the largest piece that fits somewhere, to where the least room is left.
+        fits = np.array(own)[np.array(own) <= self.room.max()]
+        if len(fits):
+            piece = int(fits[-1])
+            k = int(np.where(self.room >= piece, self.room, self.capacity + 1).argmin())
+            return int(self.bins[k]), (of_size[piece][0],), ()
+        if (step := self._exchange(np.array(own))) is not None:
+            gone, k, back = step
+            return int(self.bins[k]), (of_size[gone][0],), (back,)
+        pairs = {a + b: (a, b) for x, a in enumerate(own) for b in own[: x + 1] if a != b or len(of_size[a]) > 1}
+        if pairs and (step := self._exchange(np.array(sorted(pairs)))) is not None:
+            gone, k, back = step
+            a, b = pairs[gone]
+            return int(self.bins[k]), (of_size[a][0], of_size[b][-1]), (back,)
+        return None
+
+    def _exchange(self, totals: np.ndarray) -> tuple[int, int, int] | None:
+        """Of the totals that may go: total, bin and piece that comes back, so that most of the bin's room is filled."""
+        most = (0, 0, 0, 0)
+        for a in range(0, len(totals), max(1, (1 << 20) // len(self.bins))):
+            total = totals[a : a + max(1, (1 << 20) // len(self.bins))]
+            # In each bin the least piece that makes room enough; it must be less than what comes.
+            least = np.maximum(total[:, None] - self.room[None, :], 0)
+            at = np.searchsorted(self.key, np.arange(len(self.bins))[None, :] * (self.capacity + 1) + np.minimum(least, self.capacity))
+            inside = np.minimum(at, len(self.key) - 1)
+            good = (at < len(self.key)) & (self.owner[inside] == np.arange(len(self.bins))[None, :])
+            gain = np.where(good, total[:, None] - self.sizes[inside], 0)
+            gain[gain > self.room[None, :]] = 0
+            flat = int(gain.argmax())
+            if (value := int(gain.ravel()[flat])) > most[0]:
+                t, k = divmod(flat, len(self.bins))
+                most = (value, int(total[t]), k, int(self.items[inside[t, k]]))
+        return most[1:] if most[0] > 0 else None
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -243,26 +302,40 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
     return where, offset
 
 
+def _dealt(pieces: DataFrame, shard_tokens: int) -> tuple[DataFrame, int]:
+    """``pieces`` with a column shard, and the number of shards: as many as tokens and pieces need."""
+    total = pieces.agg(F.coalesce(F.sum(F.col("length") + PIECE_COST), F.lit(0))).first()[0]
+    shards = max(1, -(-total // shard_tokens))
+    return pieces.withColumn("shard", F.pmod("deal", F.lit(shards))), shards
+
+
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Add sequence_id and offset to ``pieces``, a table that is read twice (so write it first).
+    """Add sequence_id and offset to ``pieces``, a written table (it is read more than once) with a column ``deal`` of random numbers.
 
-    Pieces are dealt by a hash of what identifies them into as many shards as the total needs; a shard holds about
-    ``shard_tokens``, however the documents are spread over sources. Rows that are alike in every column stay apart: the
-    hash deals them to one shard, where they are different items. Sequences that a shard leaves less than half full give
-    their pieces to a second packing, which deals them in the same way.
+    Pieces are dealt by ``deal`` into as many shards as the total needs; so a shard holds about ``shard_tokens``, however many
+    rows are alike. Sequences that a shard leaves at most half full give their pieces to a second packing, which deals them in
+    the same way; its sequence_ids are negative.
     """
-    total = pieces.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    shards = max(1, -(-total // shard_tokens))
-    key = F.pmod(F.xxhash64("doc_id", "row_hash", "piece"), F.lit(shards))
-    columns = pieces.columns
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
+    known = pieces.columns
+    columns = [c for c in known if c != "deal"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long, fill long"
+
+    def packed(rows: DataFrame, sign: int) -> DataFrame:
+        dealt, shards = _dealt(rows, shard_tokens)
+
+        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(["doc_id", "piece", "row_hash"], kind="stable", ignore_index=True)
+            where, offset = pack_lengths(rows["length"].to_numpy(), capacity)
+            fill = np.bincount(where, weights=rows["length"]).astype(np.int64)[where] if len(rows) else where
+            number = where * shards + int(key[0])
+            return rows[known].assign(sequence_id=number if sign > 0 else -1 - number, offset=offset, fill=fill)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "piece", "row_hash"], kind="stable", ignore_index=True)
-        where, offset = pack_lengths(rows["length"].to_numpy(), capacity)
-        return rows[columns].assign(sequence_id=where * shards + int(key[0]), offset=offset)
+        return dealt.groupBy("shard").applyInPandas(run, schema)
 
-    return pieces.groupBy(key.alias("shard")).applyInPandas(run, schema)
+    first = space.cut(packed(pieces, 1), "packed", done=(pieces,))
+    sparse = first.where(2 * F.col("fill") <= capacity)
+    again = packed(sparse.select(known), -1)
+    return first.where(2 * F.col("fill") > capacity).unionByName(again).select(*columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, *, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -270,8 +343,8 @@ def pack_documents(docs: DataFrame, path: str, *, capacity: int = CAPACITY, with
 
     The order within rows that share a doc_id is that of their texts' hashes. An empty table gives no rows.
     """
-    pieces = space.cut(tokenize_pieces(docs, path, capacity=capacity, with_ids=with_ids), "pieces")
-    return pack(pieces, capacity=capacity)
+    pieces = tokenize_pieces(docs, path, capacity=capacity, with_ids=with_ids)
+    return pack(space.cut(pieces.withColumn("deal", F.xxhash64(F.monotonically_increasing_id())), "pieces"), capacity=capacity)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

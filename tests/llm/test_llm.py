@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -567,6 +568,43 @@ def test_local_search_keeps_items_and_never_adds_bins(sizes):
     assert len(after) <= len(first)
 
 
+def improving_steps(bins, sizes, capacity):
+    """All moves, one-for-one and two-for-one exchanges between two bins that raise the sum of squared fills."""
+    for give, take in itertools.permutations(range(len(bins)), 2):
+        a, b = sum(sizes[i] for i in bins[give]), sum(sizes[i] for i in bins[take])
+        for out in [*((i,) for i in bins[give]), *itertools.combinations(bins[give], 2)]:
+            for back in [(), *((i,) for i in bins[take])]:
+                gain = sum(sizes[i] for i in out) - sum(sizes[i] for i in back)
+                if a <= b and 0 < gain <= capacity - b and not (len(out) == 2 and not back):
+                    yield give, take, out, back
+
+
+@given(st.lists(st.integers(30, 70), min_size=1, max_size=24))
+@settings(max_examples=60, deadline=None)
+def test_local_search_leaves_no_step(sizes):
+    after = packing.local_search(packing.best_fit(np.array(sizes), 100), np.array(sizes), 100)
+    assert sum(100 - sum(sizes[i] for i in b) for b in after) < 100 or not list(improving_steps(after, sizes, 100))
+
+
+def test_local_search_of_many_underfull_bins():
+    """Pieces of 900 to 2,000 tokens: nearly all bins are underfull, and search over all of them empties some."""
+    sizes = np.random.default_rng(1).integers(900, 2001, 1200)
+    first = packing.best_fit(sizes, 4096)
+    after = packing.local_search([list(b) for b in first], sizes, 4096)
+    assert sorted(i for b in after for i in b) == list(range(1200)) and all(sizes[b].sum() <= 4096 for b in after)
+    assert len(after) < len(first)
+
+
+def test_second_packing(spark):
+    """Shards that each leave a sequence with few tokens: their pieces end up together."""
+    rows = [(i, 0, 0, 0, 30 if i < 10 else 90, 0, i) for i in range(40)]  # ten shards of three pieces that fill a sequence, and one that doesn't
+    pieces = spark.createDataFrame(rows, "doc_id long, row_hash long, piece int, start long, length long, ids_crc32 long, deal long")
+    got = packing.pack(pieces, capacity=100, shard_tokens=500).collect()
+    assert len(got) == 40 and len({r["sequence_id"] for r in got}) == 34
+    for s in {r["sequence_id"] for r in got}:
+        assert sorted(r["offset"] for r in got if r["sequence_id"] == s) == [30 * k for k in range(len([r for r in got if r["sequence_id"] == s]))]
+
+
 def test_local_search_empties_bins():
     sizes = np.array([6, 6, 5, 5, 4, 4])  # two bins of 6 + 5 + 4 have no room
     assert len(packing.local_search([[0, 2], [1, 3], [4, 5]], sizes, 15)) == 2
