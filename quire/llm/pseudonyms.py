@@ -1,7 +1,7 @@
 """Operator 10: format-preserving pseudonyms for personal numbers, dates and addresses, in Spark's own functions only.
 
 Candidates are found by one pattern and validated: cards by Luhn's check digit, social security numbers and IP addresses
-by the ranges of their parts, dates by the calendar, phones by their form. A valid value is taken apart into two numbers (l, r) with
+by the ranges of their parts, dates by the calendar (yyyy-mm-dd, mm/dd/yyyy and dd.mm.yyyy), phones (of ten digits) by their form. A valid value is taken apart into two numbers (l, r) with
 0 <= l < a and 0 <= r < b, and a keyed Feistel network permutes these pairs: rounds add a hash of one half to the other,
 modulo a and b in turn. So each pseudonym is a valid value in the same format, different values get different ones, and
 equal values get equal ones in all documents. Whoever has the key can run the rounds backwards.
@@ -21,9 +21,13 @@ DEMO_KEY = "quire-demonstration-key"
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
 _PHONE = r"(?<![0-9+])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-_DATE = r"(?<![0-9-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])"
+_MONTH, _DAY, _YEAR = "(?:0[1-9]|1[0-2])", "(?:0[1-9]|[12][0-9]|3[01])", "(?:19|20)[0-9]{2}"
+_DATE = rf"(?<![0-9-]){_YEAR}-{_MONTH}-{_DAY}(?![0-9-])|(?<![0-9/]){_MONTH}/{_DAY}/{_YEAR}(?![0-9/])|(?<![0-9.]){_DAY}\.{_MONTH}\.{_YEAR}(?![0-9]|\.[0-9])"
 _IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
-_CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+#: Cards in their usual groups (with the three digits that may follow), then without marks, then in any groups: but not from
+#: a place in a run of digits after which one of the former begins, so that numbers before a card don't hide it.
+_GROUPS = r"(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}(?:[ -][0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{13,19})(?![0-9])"
+_CARD = rf"(?<![0-9])(?:{_GROUPS}|(?!(?:[0-9]++[ -]){{1,18}}?{_GROUPS})[0-9](?:[ -]?[0-9]){{12,18}}(?![0-9]))"
 #: Kinds in the order in which the pattern tries them at one place.
 KINDS: dict[str, str] = {"email": _EMAIL, "phone": _PHONE, "ssn": _SSN, "date": _DATE, "ip": _IP, "card": _CARD}
 PATTERN = "|".join(KINDS.values())
@@ -101,13 +105,22 @@ def _in_radix(chars: Column, base: int, tag: Column, key: str) -> Column:
 
 
 def _card(x: Column, key: str) -> Column:
-    d = _digits(x)
-    # The first digit, which names the kind of card, and the check digit's rule stay.
-    inner = F.substring(d, F.lit(2), F.length(d) - 2)
+    """A valid card's new number; of 17 digits or more that aren't valid, the first 16 may be, and what follows stays."""
+
     def checked(body: Column) -> Column:
         return F.concat(body, ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
-    new = _let(F.concat(F.substring(d, 1, 1), _in_radix(inner, 10, F.lit("card"), key)), checked)
-    return F.when(luhn_sum(d) % 10 == 0, _let(new, lambda n: _refilled(x, n, "[0-9]")))
+
+    def renewed(d: Column) -> Column:
+        # The first digit, which names the kind of card, and the check digit's rule stay.
+        return _let(F.concat(F.substring(d, 1, 1), _in_radix(F.substring(d, F.lit(2), F.length(d) - 2), 10, F.lit("card"), key)), checked)
+
+    def made(d: Column) -> Column:
+        first = F.substring(d, 1, 16)
+        valid = F.when(luhn_sum(d) % 10 == 0, d).when((F.length(d) > 16) & (luhn_sum(first) % 10 == 0), first)
+        return _let(valid, lambda v: F.when(v.isNotNull(), F.concat(renewed(v), F.substring(d, F.length(v) + 1, F.length(d)))))
+
+    new = _let(_digits(x), made)
+    return _let(new, lambda n: F.when(n.isNotNull(), _refilled(x, n, "[0-9]")))
 
 
 def _phone(x: Column, key: str) -> Column:
@@ -132,11 +145,26 @@ def _ssn(x: Column, key: str) -> Column:
 
 
 def _date(x: Column, key: str) -> Column:
-    day = F.try_to_timestamp(x, F.lit("yyyy-MM-dd")).cast("date")
-    number = F.datediff(day, F.lit("1900-01-01").cast("date"))
+    """A date of one of the three forms; dates that are equal in different forms stay so."""
+
+    def part(value: Column, *places: int) -> list[Column]:
+        return [F.substring(value, p, 4 if k == 0 else 2) for k, p in enumerate(places)]
+
+    iso, slashed = F.substring(x, 5, 1) == "-", F.substring(x, 3, 1) == "/"
+    plain = F.when(iso, x).when(slashed, F.concat_ws("-", *part(x, 7, 1, 4))).otherwise(F.concat_ws("-", *part(x, 7, 4, 1)))
     a, b = _DAYS
-    done = _feistel(F.floor(number / b), number % b, F.lit(a), F.lit(b), F.lit("date"), key)
-    return F.when(day.isNotNull(), _let(done, lambda s: F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), (s["l"] * b + s["r"]).cast("int")), "yyyy-MM-dd")))
+
+    def shown(d: Column) -> Column:
+        year, month, day = part(d, 1, 6, 9)
+        return F.when(iso, d).when(slashed, F.concat_ws("/", month, day, year)).otherwise(F.concat_ws(".", day, month, year))
+
+    def made(day: Column) -> Column:
+        number = F.datediff(day, F.lit("1900-01-01").cast("date"))
+        done = _feistel(F.floor(number / b), number % b, F.lit(a), F.lit(b), F.lit("date"), key)
+        new = _let(done, lambda s: F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), (s["l"] * b + s["r"]).cast("int")), "yyyy-MM-dd"))
+        return F.when(day.isNotNull(), _let(new, shown))
+
+    return _let(F.try_to_timestamp(plain, F.lit("yyyy-MM-dd")).cast("date"), made)
 
 
 def _ip(x: Column, key: str) -> Column:

@@ -3,7 +3,8 @@
 The patterns give the base spans (kinds assign, access and hex). The method adds spans of kind token: strings that a
 byte-level vocabulary needs many tokens for. Words and identifiers of natural text and code are covered by long pieces;
 random strings are not, so few characters per token expose them. Known digests (bare hexadecimal of the usual lengths,
-UUIDs) and identifiers (words joined by marks, numbers, dotted paths) are excluded before the test.
+UUIDs) and identifiers (words joined by marks, and numbers) are excluded before the test. A run of letters counts as a word
+only if the vocabulary covers it well: random letters, in one case or both, don't pass for a name.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ ASSIGN_LEAST = 6
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: A candidate with fewer characters a token than this is reported.
 MOST_CHARS_PER_TOKEN = 2.0
+#: A run of letters of a name has so many characters a token at least, unless it is as short as an abbreviation.
+WORD_CHARS_PER_TOKEN, ABBREVIATION = 2.5, 5
 #: Hexadecimal digits in MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
 _ALL_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
@@ -37,13 +40,7 @@ _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 # Parts between marks that a name is made of: a word in one case or with a capital first, or a number, or a word with a number after it.
 _NAME_PART = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[A-Z][a-z]+)*[0-9]{0,4}|[0-9]+")
 _MARKS = re.compile(r"[+/_=-]+")
-
-
-def known_or_name(found: str) -> bool:
-    """Whether a candidate is a digest or an identifier, and so no secret."""
-    if _ALL_HEX.fullmatch(found) and len(found) in DIGEST_LENGTHS or _UUID.fullmatch(found):
-        return True
-    return all(_NAME_PART.fullmatch(x) for x in _MARKS.split(found) if x)
+_LETTERS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Vocabulary:
@@ -58,6 +55,15 @@ class Vocabulary:
         return len(self.encoding.encode_ordinary(text))
 
 
+def known_or_name(found: str, words: Vocabulary) -> bool:
+    """Whether a candidate is a digest or an identifier, and so no secret."""
+    if _ALL_HEX.fullmatch(found) and len(found) in DIGEST_LENGTHS or _UUID.fullmatch(found):
+        return True
+    if not all(_NAME_PART.fullmatch(x) for x in _MARKS.split(found) if x):
+        return False
+    return all(len(x) <= ABBREVIATION or len(x) >= WORD_CHARS_PER_TOKEN * words.tokens(x) for x in _LETTERS.findall(found))
+
+
 _VOCABULARIES: dict[str, Vocabulary] = {}
 
 
@@ -67,7 +73,6 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return _VOCABULARIES[path]
 
 
-
 def secret_spans(text: str, words: Vocabulary) -> list[tuple[int, int, int]]:
     """(start, place of the kind in KINDS, end) of all spans in ``text``, sorted; places are code points, ends exclusive."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
@@ -75,7 +80,7 @@ def secret_spans(text: str, words: Vocabulary) -> list[tuple[int, int, int]]:
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     for m in CANDIDATE.finditer(text):
         found = m.group()
-        if not known_or_name(found) and len(found) < MOST_CHARS_PER_TOKEN * words.tokens(found):
+        if len(found) < MOST_CHARS_PER_TOKEN * words.tokens(found) and not known_or_name(found, words):
             out.append((m.start(), 3, m.end()))
     return sorted(out)
 

@@ -491,7 +491,12 @@ def test_token_efficiency():
 
     assert "token" in kinds("key ghp_x7Kq9ZtR2mWv8LpYc4NsJd6HbF3aQe1U here")
     assert "token" in kinds("sk-Zx81kQpL0vN7tYw3RmB5cJ9dHf2G")
-    for fine in ("internationalization_of_long_names", "aVeryLongCamelCaseIdentifierName", "d41d8cd98f00b204e9800998ecf8427e", "123e4567-e89b-12d3-a456-426614174000", "2024-01-01-12345678901234", "=" * 60, "a plain sentence of words"):
+    r = random.Random(5)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):  # random letters in one case are no names
+        drawn = ["".join(r.choice(alphabet) for _ in range(r.randrange(24, 41))) for _ in range(200)]
+        assert sum("token" in kinds(f"key {x} end") for x in drawn) > 180
+        assert sum("token" in kinds("-".join(x[i : i + 12] for i in range(0, 24, 12))) for x in drawn) > 150
+    for fine in ("donaudampfschifffahrtsgesellschaft", "the-quick-brown-fox-jumps-over-dogs", "incomprehensibilities_and_MISUNDERSTANDINGS", "internationalization_of_long_names", "aVeryLongCamelCaseIdentifierName", "d41d8cd98f00b204e9800998ecf8427e", "123e4567-e89b-12d3-a456-426614174000", "2024-01-01-12345678901234", "=" * 60, "a plain sentence of words"):
         assert "token" not in kinds(fine), fine
 
 
@@ -777,6 +782,23 @@ def test_pseudonyms_of_each_kind(spark):
     assert ssn != texts[5] and re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}", ssn)
 
 
+def test_pseudonyms_of_cards_among_other_digits(spark):
+    card = "4111 1111 1111 1111"
+    texts = (f"{card} 123", f"exp 12/25 {card}", "12 4111111111111111", "4111-1111-1111-1111", "3782 822463 10005", "41 11 1111 1111 1111 x", f"7 {card}", f"2024-05-06 {card}")
+    got = done(spark, *texts)
+    plain = {re.sub(r"\D", "", r["pii"][-1]["found"])[:16] for r in got if "3782" not in r["pii"][-1]["found"]}
+    assert plain == {"4111111111111111"} and all("1111 1111" not in r["text"] and "11111111" not in r["text"] for r in got)
+    assert got[0]["text"].endswith(" 123") and got[1]["text"].startswith("exp 12/25 4") and got[2]["text"].startswith("12 4") and got[6]["text"].startswith("7 4")
+    assert len({re.sub(r"\D", "", r["text"])[-16:] for r in (got[1], got[2], got[3], got[6])}) == 1
+    assert luhn(re.sub(r"\D", "", got[4]["text"])) == 0 and [x["kind"] for x in got[7]["pii"]] == ["date", "card"]
+
+
+def test_pseudonyms_of_dates_in_three_forms(spark):
+    got = [r["text"] for r in done(spark, "1987-02-28", "02/28/1987", "28.02.1987", "02/30/1987", "31.04.2001", "1.2.1987")]
+    y, m, d = got[0].split("-")
+    assert got[1:] == [f"{m}/{d}/{y}", f"{d}.{m}.{y}", "02/30/1987", "31.04.2001", "1.2.1987"] and got[0] != "1987-02-28"
+
+
 def test_pseudonyms_leave_what_is_not_valid(spark):
     texts = ("4111111111111112", "256.1.1.1", "1.2.3.4.5", "1987-02-30", "000-12-3456", "1234567890123456789012", "a@b", "", "plain", None)
     assert [(r["text"], r["pii"]) for r in done(spark, *texts)] == [(t, []) for t in texts]
