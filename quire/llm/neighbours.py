@@ -163,7 +163,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query, vector and score of each query's best k in one block; scores of equal vectors are equal, and ties go to smaller ids."""
+    """Row of the query, vector and score of each query's best k in one block; scores of equal vectors are equal, and ties go to smaller ids."""
     near = q @ x.T
     near[q_ids[:, None] == ids[None, :]] = -np.inf
     least = np.partition(near, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
@@ -178,7 +178,7 @@ def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: i
     row, col, score = row[order], col[order], score[order]
     rank = np.arange(len(row)) - np.searchsorted(row, row)
     top = rank < k
-    return q_ids[row[top]], ids[col[top]], score[top]
+    return row[top], ids[col[top]], score[top]
 
 
 def search(vectors: DataFrame, queries: DataFrame, *, k: int = K, parts: int = PARTS, sample: int = SAMPLE, seed: int = 0) -> DataFrame:
@@ -186,12 +186,13 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = K, parts: int = P
 
     Nearest is the largest inner product. Vectors that are null, empty, zero, or hold a null or a number that isn't finite
     take no part, nor do rows without a vec_id, or with another dimension than most. A query isn't its own neighbour, nor
-    is a row with its vec_id. If there are fewer than k candidates, all are returned. An empty table gives no rows. The index
-    is fitted on the ``sample`` rows of least hash.
+    is a row with its vec_id. If there are fewer than k candidates, all are returned. An empty table gives no rows. Equal
+    queries (vec_id and vector) are asked once; different vectors under one vec_id each get k neighbours. Of the candidates
+    each row counts, also repeated ones. The index is fitted on the ``sample`` rows of least hash.
     """
     spark = vectors.sparkSession
-    schema = "query_id long, vec_id long, score double"
-    base, asked = usable(vectors), usable(queries)
+    schema = "query_id long, q long, vec_id long, score double"
+    base, asked = usable(vectors), usable(queries).dropDuplicates(["vec_id", "embedding"]).withColumn("q", F.xxhash64("embedding"))
     drawn = base.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(sample).select("embedding").toPandas()["embedding"]
     if not len(drawn):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -225,9 +226,9 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = K, parts: int = P
             row, rank = np.nonzero(np.arange(n_parts)[None, :] < visits[:, None])
             part = order[row, rank]
             at = pa.array(row)
-            yield pa.RecordBatch.from_pydict({"part": pa.array(part.astype(np.int32)), "blocks": pa.array(blocks[part].astype(np.int32)), "vec_id": batch.column("vec_id").take(at), "embedding": batch.column("embedding").take(at)})
+            yield pa.RecordBatch.from_pydict({"part": pa.array(part.astype(np.int32)), "blocks": pa.array(blocks[part].astype(np.int32)), "vec_id": batch.column("vec_id").take(at), "q": batch.column("q").take(at), "embedding": batch.column("embedding").take(at)})
 
-    routed = space.cut(asked.mapInArrow(route, "part int, blocks int, vec_id long, embedding array<double>"), "routed")
+    routed = space.cut(asked.mapInArrow(route, "part int, blocks int, vec_id long, q long, embedding array<double>"), "routed")
     asked_count = np.zeros(n_parts, dtype=np.int64)
     for row in routed.groupBy("part").count().collect():
         asked_count[row["part"]] = row["count"]
@@ -237,18 +238,18 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = K, parts: int = P
         return F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("part") + 1)
 
     left = index.where(of_part(asked_count) > 0).select("part", F.pmod(F.xxhash64("vec_id"), of_part(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), of_part(q_blocks) - 1)).alias("q_block"), "vec_id", "embedding")
-    right = routed.select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), of_part(q_blocks)).cast("int").alias("q_block"), "vec_id", "embedding")
+    right = routed.select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), of_part(q_blocks)).cast("int").alias("q_block"), "vec_id", "q", "embedding")
 
     def compare(table: pa.Table, asked: pa.Table) -> pa.Table:
         if not table.num_rows or not asked.num_rows:
-            found = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+            row, ids, score = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
         else:
-            found = _best(asked.column("vec_id").to_numpy(), _matrix(asked.column("embedding"), dim), table.column("vec_id").to_numpy(), _matrix(table.column("embedding"), dim), k)
-        return pa.table({"query_id": found[0], "vec_id": found[1], "score": found[2]})
+            row, ids, score = _best(asked.column("vec_id").to_numpy(), _matrix(asked.column("embedding"), dim), table.column("vec_id").to_numpy(), _matrix(table.column("embedding"), dim), k)
+        return pa.table({"query_id": asked.column("vec_id").take(pa.array(row)), "q": asked.column("q").take(pa.array(row)), "vec_id": ids, "score": score})
 
     keys = ("part", "block", "q_block")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

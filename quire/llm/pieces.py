@@ -5,11 +5,15 @@ no piece of the model goes on past a space that follows a letter (checked when t
 independent. In each round, the rank of every neighbouring pair is looked up, the minimum in every unit is found by a
 segmented reduction, and the leftmost pairs with that rank are merged in all units at once; the array is compacted, and
 finished units leave it, until no pair remains. Symbols outside the vocabulary become byte pieces.
+
+A round costs the length of what is unfinished, so rounds over one very long unit (a page of letters or of spaces without a
+break) would take the square of its length. Units of more than LONG symbols are merged pair by pair from a heap instead.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +27,8 @@ from .words import chunks, flat_bytes, spans
 _BAR = "▁"
 #: Units that a process remembers at most; beyond that it starts anew.
 MOST_KNOWN = 250_000
+#: Symbols of a unit from which on a heap of pairs takes the place of rounds.
+LONG = 2000
 _NONE = np.iinfo(np.int32).max
 
 
@@ -73,6 +79,7 @@ class PieceModel:
         self.first = np.zeros(n + len(extra) + 1, dtype=np.int64)  # keys of left symbol a: first[a]:first[a + 1]
         np.cumsum(np.bincount(self.keys >> 32, minlength=n + len(extra)), out=self.first[1:])
         self.table = self._hashed()
+        self.pairs: dict[int, tuple[int, int]] | None = None
         self.forget()
         shown = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else p.replace(_BAR, " ").encode() for i, p in enumerate(pieces)]
         self.shown_at = np.zeros(n + 1, dtype=np.int64)
@@ -119,6 +126,13 @@ class PieceModel:
     def merged(self, symbols: np.ndarray, unit: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Merge the symbols of n units (``unit`` rises) until no pair remains."""
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        size = np.bincount(unit, minlength=n)
+        if (size > LONG).any():
+            for k in np.flatnonzero(size > LONG).tolist():
+                own = self.merged_one(symbols[np.searchsorted(unit, k) : np.searchsorted(unit, k + 1)])
+                done.append((np.full(len(own), k, dtype=unit.dtype), own))
+            short = size[unit] <= LONG
+            symbols, unit = symbols[short], unit[short]
         pair = np.full(len(symbols), -1, dtype=np.int32)
         fresh = np.flatnonzero((unit[:-1] == unit[1:]) & (symbols[:-1] >= 0) & (symbols[1:] >= 0)) if len(symbols) else np.zeros(0, dtype=np.int64)
         while len(symbols):
@@ -162,6 +176,38 @@ class PieceModel:
         order = np.argsort(units, kind="stable")
         return units[order], np.concatenate([s for _, s in done])[order]
 
+    def merged_one(self, symbols: np.ndarray) -> np.ndarray:
+        """Merge the symbols of one long unit: of all pairs that of the least rank, of equal ones the leftmost, until none remains."""
+        n = len(symbols)
+        fresh = np.flatnonzero((symbols[:-1] >= 0) & (symbols[1:] >= 0))
+        found = np.full(n, -1, dtype=np.int64)
+        found[fresh] = self.find(symbols[fresh], symbols[fresh + 1])
+        at = np.flatnonzero(found >= 0)
+        heap = ((self.ranks[found[at]].astype(np.int64) << 32) | at).tolist()
+        heapq.heapify(heap)
+        if self.pairs is None:
+            self.pairs = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist(), strict=True), strict=True))
+        pairs, now, ranks = self.pairs, symbols.tolist(), np.where(found >= 0, self.ranks[found], -1).tolist()
+        made = np.where(found >= 0, self.made[found], -1).tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            entry = heapq.heappop(heap)
+            i = entry & 0xFFFFFFFF
+            if ranks[i] != entry >> 32:
+                continue  # the pair has gone since
+            j = after[i]
+            now[i], k = made[i], after[j]
+            now[j], ranks[j], after[i] = None, -1, k
+            if k < n:
+                before[k] = i
+            for a, b in ((before[i], i), (i, k)):
+                if a >= 0:
+                    ranks[a] = -1
+                    if b < n and now[a] >= 0 and now[b] >= 0 and (new := pairs.get(now[a] << 32 | now[b])):
+                        ranks[a], made[a] = new
+                        heapq.heappush(heap, new[0] << 32 | a)
+        return np.array([x for x in now if x is not None], dtype=np.int64)
+
     def encode_units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the units (UTF-8), flat, and how many each has."""
         n = len(units)

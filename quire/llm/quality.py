@@ -3,11 +3,11 @@
 A document's histograms, over classes of characters and over the common words of a language, are compared with references
 of each language by Jensen-Shannon distance. References are sums over all documents: pooled counts of character classes,
 and counts of the COMMON most frequent words with one bin for all others. Documents shorter than the guards aren't judged
-by a histogram that so few counts can't fill.
+by a histogram that so few counts can't fill: one of characters needs GUARD_CHARACTERS of them, one of words GUARD words.
 
 A text is judged by the nearest of its own language's reference and those of the large languages, for labels can be wrong.
-References of small languages judge texts of their own only, so that a few odd documents excuse no others. A text whose
-language gives no reference is judged by the base rules alone; one without a language, by the large languages.
+References of small languages judge texts of their own only, so that a few odd documents excuse no others, and texts without
+a language, which are judged by all. A text whose language gives no reference is judged by the base rules alone.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ COMMON = 40
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Languages with fewer documents than this give no reference; those with this share of all in percent are large.
 LEAST_DOCUMENTS, LARGE_PERCENT = 5, 1
-#: Words from which a document is judged by its characters and words, and by its words more strictly.
-GUARD, GUARD_STRICT = 50, 100
+#: Words from which a document is judged by its words, and by them more strictly; characters from which it is by those.
+GUARD, GUARD_STRICT, GUARD_CHARACTERS = 60, 100, 300
 #: Jensen-Shannon distance (the root of the divergence, to base 2) of the characters from the nearest reference at most.
 MOST_CHARACTERS = 0.26
 #: Distance of the words at most, as a share of that which a text without any common word has: how much of a language its
@@ -194,13 +194,13 @@ def nearest(refs: list[Reference], data: np.ndarray, at: np.ndarray, langs: list
     rows_of = {}
     for i, lang in enumerate(langs):
         rows_of.setdefault(lang, []).append(i)
-    known = {ref.lang for ref in refs} | ({None} if any(ref.large for ref in refs) else set())
+    known = {ref.lang for ref in refs} | {None}
     judged = np.array([lang in known for lang in langs], dtype=bool)
     for ref in refs:
         if ref.large:
             rows, owner, codes = np.arange(n), text, code
-        elif ref.lang in rows_of:
-            rows = np.array(rows_of[ref.lang])
+        elif ref.lang in rows_of or None in rows_of:
+            rows = np.array(sorted(rows_of.get(ref.lang, []) + rows_of.get(None, [])))
             new = np.full(n, -1)
             new[rows] = np.arange(len(rows))
             owner, codes = new[text][new[text] >= 0], code[new[text] >= 0]
@@ -226,7 +226,9 @@ def _verdicts(text: pa.Array, langs: list[str | None], refs: list[Reference]) ->
     n_words = own["n_words"]
     failed = (n_words < LEAST_WORDS) | (100 * own["n_repeat_words"] > MOST_REPEATED * n_words)
     of_classes, of_words = nearest(refs, data, at, langs) if refs else (np.zeros(len(n_words)), np.zeros(len(n_words)))
-    odd = (n_words >= GUARD) & ((of_classes > MOST_CHARACTERS) | (of_words > np.where(n_words >= GUARD_STRICT, MOST_WORDS_STRICT, MOST_WORDS)))
+    characters = per_text((data & 0xC0) != 0x80, at)
+    odd = (characters >= GUARD_CHARACTERS) & (of_classes > MOST_CHARACTERS)
+    odd |= (n_words >= GUARD) & (of_words > np.where(n_words >= GUARD_STRICT, MOST_WORDS_STRICT, MOST_WORDS))
     counts = {k: pa.array(v, pa.int64()) for k, v in own.items()}
     return counts | {"base_failed": pa.array(failed), "kept": pa.array(~failed & ~odd), "js_characters": pa.array(of_classes), "js_words": pa.array(of_words)}
 

@@ -16,8 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import space
 from .words import Words, chunks, flat_bytes, mixed, rolling, spans, split_words
@@ -133,21 +134,20 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
 
     Takes doc_id and text; other columns are ignored, but for ``with_text``. Returns for each row doc_id, n_words,
     n_removed, kept_sha256 (of the kept words joined by one space) and intervals (array of [begin, end) in words); with
-    ``with_text`` instead the columns of ``docs``, with the removed intervals cut out of ``text``, white space elsewhere
+    ``with_text`` instead the columns of ``docs``, in their order and whatever their names, with the removed intervals cut out of ``text``, white space elsewhere
     unchanged. A null or empty text has no words. A row with a null doc_id neither loses words nor counts as a smaller
     document; of rows that share a doc_id none is the smaller. Copies of a text, however many, cost a row each.
     """
     own = space.documents(docs, F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
     found = space.cut(repeated_windows(own, window=window, gram=gram), "repeats")
+    # The other columns travel as one struct, so that none of their names can clash.
+    kept = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")] if with_text else []
+    rest = [F.struct(*[_named(f.name) for f in kept]).alias("rest")] if kept else []
+    rows = space.documents(docs, F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), *rest)
+    joined = rows.join(found, "doc_id", "left").select("doc_id", "text", "h", "found", *(["rest"] if kept else []))
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, intervals array<array<int>>"
     if with_text:
-        kept = [c for c in docs.columns if c not in ("doc_id", "text")]
-        rows = own_columns(docs, kept)
-    else:
-        kept, rows = [], own
-    joined = rows.join(found, "doc_id", "left").select("doc_id", "text", "h", "found", *kept)
-    schema = "doc_id long, text string, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema.fields) if kept else "doc_id long, text string"
-    if not with_text:
-        schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, intervals array<array<int>>"
+        schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), *([StructField("rest", StructType(kept))] if kept else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +165,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
                             gone[own] = True if x["whole"] else covered(int(n_words[i]), np.array(x["starts"], dtype=np.int64), window)
                 n_removed = np.add.reduceat(np.r_[gone, False].astype(np.int64), words.of[:-1]) * (n_words > 0) if part.num_rows else n_words
                 if with_text:
-                    yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "text": _cut_out(data, at, words, gone, n_removed)} | {c: part.column(c) for c in kept})
+                    yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "text": _cut_out(data, at, words, gone, n_removed)} | ({"rest": part.column("rest")} if kept else {}))
                     continue
                 keep = ~gone
                 size = length[keep]
@@ -177,11 +177,14 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
                 edges = [np.flatnonzero(np.diff(np.r_[False, gone[words.of[i] : words.of[i + 1]], False])).reshape(-1, 2).tolist() if n_removed[i] else [] for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_words": _long(n_words), "n_removed": _long(n_removed), "kept_sha256": pa.array(shas, pa.string()), "intervals": pa.array(edges, pa.list_(pa.list_(pa.int32())))})
 
-    return joined.mapInArrow(run, schema)
+    done = joined.mapInArrow(run, schema)
+    if not with_text:
+        return done
+    return done.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
-def own_columns(docs: DataFrame, kept: list[str]) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), *[F.col(f"`{c}`") for c in kept])
+def _named(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def _cut_out(data: np.ndarray, at: np.ndarray, words: Words, gone: np.ndarray, n_removed: np.ndarray) -> pa.Array:

@@ -114,6 +114,29 @@ def test_pieces_equal_the_library(texts):
     assert [shown[a:b].tobytes().decode() for a, b in zip(shown_at, shown_at[1:], strict=False)] == [sp.decode(w) for w in want]
 
 
+@pytest.mark.parametrize("long", [1, 10**9])
+def test_pieces_of_long_units_equal_the_library(library, monkeypatch, long):
+    """By heap and by rounds: letters without a break, runs of one letter and of spaces, and what the vocabulary lacks."""
+    monkeypatch.setattr(pieces, "LONG", long)
+    r = random.Random(4)
+    texts = ["".join(r.choice(a) for _ in range(n)) for a, n in (("abcdefghij", 900), ("ab", 700), ("a", 801), (" ", 500), ("xyz日本😀é", 600), ("thean ", 900))]
+    own = pieces.PieceModel(PIECES)
+    ids, at = own.encode(pa.array(texts), add_ids=False)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [library.encode(t) for t in texts]
+
+
+def test_pieces_of_very_long_units_take_no_squares(library):
+    """A megabyte of base64 and one of spaces, each without a break: seconds, and the ids of the library."""
+    r = random.Random(6)
+    texts = ["".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=10**6)), " " * 10**6]
+    own = pieces.PieceModel(PIECES)
+    begun = time.monotonic()
+    ids, at = own.encode(pa.array(texts), add_ids=False)
+    assert time.monotonic() - begun < 90
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == library.encode(t)
+
+
 def test_pieces_decode_any_ids(library):
     r = random.Random(0)
     lists = [[r.randrange(32000) if r.random() < 0.5 else r.randrange(3, 259) for _ in range(r.randint(0, 12))] for _ in range(500)]
@@ -248,6 +271,32 @@ def test_neighbours_recall_with_clusters():
     assert recall >= 0.9 and router.visits < 32
 
 
+def test_neighbours_of_repeated_queries(spark):
+    r = np.random.default_rng(7)
+    data = [(i, r.standard_normal(8).tolist()) for i in range(40)]
+    data += [data[0], data[0], (20, r.standard_normal(8).tolist())]  # a query three times, and two vectors under one vec_id
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = neighbours.search(df, df.where("vec_id % 20 = 0")).collect()
+    assert Counter((r["query_id"], r["rank"]) for r in got) == {(0, k): 1 for k in range(1, 21)} | {(20, k): 2 for k in range(1, 21)}
+    assert len({r["vec_id"] for r in got if r["query_id"] == 0}) >= 19  # two rows have vec_id 20
+
+
+def test_neighbours_recall_of_the_query_beyond_its_sample(spark, tmp_path, monkeypatch):
+    """op3 on a table of which the index sees a sixth, with and without structure: brute force finds the same, but for a tenth at most."""
+    monkeypatch.setattr(neighbours.search, "__kwdefaults__", neighbours.search.__kwdefaults__ | {"sample": 512})
+    r = np.random.default_rng(8)
+    centres = r.standard_normal((25, 16)) * 2
+    for k, x in enumerate((centres[r.integers(0, 25, 3000)] + r.standard_normal((3000, 16)), r.standard_normal((3000, 16)))):
+        folder = tmp_path / str(k)
+        spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(3).write.parquet(str(folder / "embeddings.parquet"))
+        got = {}
+        for row in neighbours.op3_neighbours(spark, str(folder)).collect():
+            got.setdefault(row["query_id"], set()).add(row["vec_id"])
+        want = brute_neighbours([(i, v.tolist()) for i, v in enumerate(x)], 20)
+        assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+        assert np.mean([len(got[q] & {j for j, _ in v}) / 20 for q, v in want.items()]) >= 0.9
+
+
 def test_parts_are_balanced():
     r = np.random.default_rng(2)
     g = (r.random((96, 96)) < 0.1).astype(np.float32)
@@ -736,6 +785,18 @@ def test_substrings_cut_texts(spark):
     assert got == {1: (rows[0][1], "x"), 2: ("c \n d  e", "y"), 3: ("", "z"), 4: ("", "n")}
 
 
+def test_substrings_cut_texts_beside_columns_of_any_name(spark, clashing, empty):
+    own = clashing.withColumn("rest", F.lit("r")).withColumn("keys", F.array(F.lit(1))).withColumn("odd name`d", F.struct(F.lit(1).alias("a")))
+    got = substrings.remove_repeats(own, with_text=True)
+    assert got.columns == own.columns and got.count() == own.count()
+    counts = {(r["doc_id"], r["kept_sha256"]) for r in substrings.remove_repeats(own).where("n_removed > 0").collect()}
+    for r in got.collect():
+        assert (r["h"], r["found"], r["rest"], r["keys"], r[-1]["a"]) == ("x", 3, "r", [1], 1)
+    cut = {(r["doc_id"], hashlib.sha256(" ".join(WORD.findall(r["text"])).encode()).hexdigest()) for r in got.collect()}
+    assert counts <= cut
+    assert substrings.remove_repeats(own.limit(0), with_text=True).count() == 0
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------------
 
 
