@@ -40,19 +40,23 @@ def form_key(word: Column) -> Column:
 
 
 def word_pairs(docs: DataFrame, key: str) -> DataFrame:
-    """key, pair, n: counts of neighbouring word forms; chains break at sentence ends and at tokens without a form."""
+    """key, pair, n: counts of neighbouring word forms; chains break at sentence ends and at tokens without a form.
+
+    Pairs of printed words are counted first: forms are made of the distinct ones only.
+    """
     tok = t.tokens(F.col("text"))
-    ended = F.transform(tok, lambda x: F.struct(form_key(x).alias("k"), (x.rlike(r"""[.!?]["'”’)]*$""") & ~x.rlike(r"^\p{Lu}\p{Ll}?\.$")).alias("end")))
-    own = docs.select(key, ended.alias("w")).where(F.size("w") > 1)
-    pairs = F.transform(F.sequence(F.lit(2), F.size("w")), lambda i: F.struct(F.element_at("w", i - 1).alias("a"), F.element_at("w", i).alias("b")))
-    rows = own.select(key, F.explode(pairs).alias("p")).where("p.a.k <> '' AND p.b.k <> '' AND NOT p.a.end")
-    return rows.groupBy(key, F.concat_ws(" ", F.regexp_replace("p.a.k", r"\.$", ""), F.col("p.b.k")).alias("pair")).agg(F.count(F.lit(1)).alias("n"))
+    own = docs.select(key, tok.alias("w")).where(F.size("w") > 1)
+    printed = own.select(key, F.inline(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w") - 1).alias("b"))))
+    counts = printed.groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("n")).where(~(F.col("a").rlike(r"""[.!?]["'”’)]*$""") & ~F.col("a").rlike(r"^\p{Lu}\p{Ll}?\.$")))
+    rows = counts.select(key, form_key(F.col("a")).alias("a"), form_key(F.col("b")).alias("b"), "n").where("a <> '' AND b <> ''")
+    return rows.groupBy(key, F.concat_ws(" ", F.regexp_replace("a", r"\.$", ""), F.col("b")).alias("pair")).agg(F.sum("n").alias("n"))
 
 
 def word_counts(docs: DataFrame, key: str) -> DataFrame:
-    """key, word, n, n_lower: occurrences of each form, and those printed in lower case."""
-    rows = docs.select(key, F.explode(t.tokens(F.col("text"))).alias("w")).select(key, form_key(F.col("w")).alias("word"), F.col("w").rlike(r"^[^\p{L}]*\p{Ll}").alias("low")).where("word <> ''")
-    return rows.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"), F.count_if("low").alias("n_lower"))
+    """key, word, n, n_lower: occurrences of each form, and those printed in lower case. Printed words are counted first."""
+    printed = docs.select(key, F.explode(t.tokens(F.col("text"))).alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias("n"))
+    rows = printed.select(key, form_key(F.col("w")).alias("word"), F.when(F.col("w").rlike(r"^[^\p{L}]*\p{Ll}"), F.col("n")).otherwise(0).alias("low"), "n").where("word <> ''")
+    return rows.groupBy(key, "word").agg(F.sum("n").alias("n"), F.sum("low").alias("n_lower"))
 
 
 def name_candidates(docs: DataFrame, key: str, order: str, least: int = 2, most: int = 150) -> DataFrame:

@@ -102,7 +102,7 @@ def waits_between_events(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def fitted_tags(spark: SparkSession, sf: str) -> DataFrame:
-    w = F.array_distinct(F.slice(t.words(F.col("text")), 1, 80))
+    w = F.array_distinct(t.words(F.col("text")))
     return table(spark, sf, "documents").select("doc_id", t.fit_tags(w, 200).alias("tags"), t.fit_hashtags(w, 5).alias("hashtags"))
 
 
@@ -125,13 +125,16 @@ def timed_cues(spark: SparkSession, sf: str) -> DataFrame:
     return timed.select("conv_id", "turn", "cue", rounded(F.col("a"), 3).alias("start"), rounded(F.col("b"), 3).alias("end"), "text")
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, i - 1 AS line_no, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(text) <> ''),
+r AS (SELECT doc_id, line_no, CASE WHEN line_no % 7 = 0 THEN 68.0 ELSE 54.0 END AS x0, 20.0 + line_no * 15 AS y0, len(w) AS n, list_sum(list_transform(w, lambda x: length(x))) AS chars FROM l WHERE len(w) > 0)
+SELECT doc_id AS doc, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS rect, x0, y0, x0 + n * 20 - 2 AS x1, y0 + CASE WHEN line_no = 0 THEN 14.0 ELSE 11.0 END AS y1, sum(chars) OVER (PARTITION BY doc_id) AS chars FROM r""")
 def sentence_regions(spark: SparkSession, sf: str) -> DataFrame:
     """One box for each printed line of each document's words, in the plain layout."""
-    lines = laid_out(document_lines(table(spark, sf, "documents"))).where("line_no < 3")
+    lines = laid_out(document_lines(table(spark, sf, "documents")))
     words = lines.select(F.col("page").alias("doc"), F.lit(1).cast("long").alias("page"), F.col("line_no"), F.col("y0"), F.col("y1"), F.col("x0").alias("left"), F.posexplode(t.tokens(F.col("text"))).alias("k", "t"))
-    words = words.select("doc", "page", (F.col("line_no") * 100_000 + F.col("k")).alias("word_no"), (F.col("left") + F.col("k") * 20).alias("x0"), "y0", (F.col("left") + F.col("k") * 20 + 18).alias("x1"), "y1", "t")
-    return structure.line_regions(words, ["doc"])
+    words = words.select("doc", "page", (F.col("line_no").cast("long") * 1_000_000 + F.col("k")).alias("word_no"), (F.col("left") + F.col("k") * 20).alias("x0"), "y0", (F.col("left") + F.col("k") * 20 + 18).alias("x1"), "y1", "t")
+    found = structure.line_regions(words, ["doc"]).select("doc", "chars", F.posexplode("rects").alias("rect", "b"))
+    return found.select("doc", "rect", *[F.col("b")[k].alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))], "chars")
 
 
 @query()

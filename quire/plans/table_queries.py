@@ -350,9 +350,7 @@ def catalogue_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT s_suppkey, row_number() OVER (ORDER BY regexp_replace(lower(s_name), '[0-9]+', '', 'g'), try_cast(regexp_extract(s_name, '[0-9]+') AS INT), s_suppkey) AS place FROM supplier""")
 def natural_name_order(spark: SparkSession, sf: str) -> DataFrame:
-    # The names of one table in one order: the place in it is the result, so all rows meet once.
-    order = Window.orderBy(t.natural_key(F.col("s_name")), "s_suppkey")
-    return table(spark, sf, "supplier").select("s_suppkey", F.row_number().over(order).alias("place"))
+    return timeline.places(table(spark, sf, "supplier").select("s_suppkey", t.natural_key(F.col("s_name")).alias("key")), "key", "s_suppkey").select("s_suppkey", "place")
 
 
 @query("""SELECT p_partkey, p_name, p_type, p_size FROM part WHERE contains(lower(p_name || ' ' || p_type), 'steel') AND p_size IN (1, 5, 9, 14, 21, 33)""")

@@ -207,27 +207,27 @@ def conversation_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(lower(substr(text, 1, 120)), '[\pL\pM\pN]+'), lambda w: replace(upper(substr(w, 1, 1)), 'ẞ', 'SS') || substr(w, 2)), '') AS camel,
-regexp_replace(substr(regexp_replace(regexp_replace(lower(substr(text, 1, 120)), '[^\pL\pM\pN]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '') AS slug,
-substr(regexp_replace(regexp_replace(substr(text, 1, 120), '^#+', ''), '[^\pL\pM\pN_]', '', 'g'), 1, 50) AS hashtag,
-trim(substr(trim(regexp_replace(regexp_replace(substr(text, 1, 120), '[<>,"#]', ' ', 'g'), '\s+', ' ', 'g')), 1, 60)) AS tag FROM documents""")
+    r"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(lower(text), '[\pL\pM\pN]+'), lambda w: replace(upper(substr(w, 1, 1)), 'ẞ', 'SS') || substr(w, 2)), '') AS camel,
+regexp_replace(substr(regexp_replace(regexp_replace(lower(text), '[^\pL\pM\pN]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '') AS slug,
+substr(regexp_replace(regexp_replace(text, '^#+', ''), '[^\pL\pM\pN_]', '', 'g'), 1, 50) AS hashtag,
+trim(substr(trim(regexp_replace(regexp_replace(text, '[<>,"#]', ' ', 'g'), '\s+', ' ', 'g')), 1, 60)) AS tag FROM documents""")
 def names_from_titles(spark: SparkSession, sf: str) -> DataFrame:
-    head = F.substring("text", 1, 120)
-    return table(spark, sf, "documents").select("doc_id", t.camel_tag(head).alias("camel"), t.slug(head).alias("slug"), t.sanitize_hashtag(head).alias("hashtag"), t.sanitize_tag(head).alias("tag"))
+    own = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", t.camel_tag(own).alias("camel"), t.slug(own).alias("slug"), t.sanitize_hashtag(own).alias("hashtag"), t.sanitize_tag(own).alias("tag"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, lower(substr(text, 1, 400)) AS t, regexp_extract_all(lower(substr(text, 1, 400)), '[\pL\pN][\pL\pM\pN''’]*') AS have, regexp_extract_all('the of', '[\pL\pN][\pL\pM\pN''’]*') AS want FROM documents)
+@query(r"""WITH d AS (SELECT doc_id, lower(text) AS t, regexp_extract_all(lower(text), '[\pL\pN][\pL\pM\pN''’]*') AS have, regexp_extract_all('the of', '[\pL\pN][\pL\pM\pN''’]*') AS want FROM documents)
 SELECT doc_id, CASE WHEN list_has_all(have, want) THEN strpos(t, 'the') - 1 ELSE -1 END AS at FROM d""")
 def phrase_places(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", t.phrase_index(F.substring("text", 1, 400), F.lit("the of")).alias("at"))
+    return table(spark, sf, "documents").select("doc_id", t.phrase_index(F.col("text"), F.lit("the of")).alias("at"))
 
 
 @query()  # DuckDB's distance counts bytes, Spark's counts characters
 def neighbour_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "benchmark")
-    other = rows.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next"), F.col("item_id").alias("b"))
-    joined = rows.join(other, "item_id")
-    return joined.select(F.col("item_id").alias("a"), "b", rounded(t.letter_similarity(F.col("text"), F.col("next")), 4).alias("similarity"))
+    rows = table(spark, sf, "documents").select("doc_id", "text")
+    other = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next"), F.col("doc_id").alias("b"))
+    joined = rows.join(other, "doc_id")
+    return joined.select(F.col("doc_id").alias("a"), "b", rounded(t.letter_similarity(F.col("text"), F.col("next")), 4).alias("similarity"))
 
 
 @query()
@@ -238,12 +238,12 @@ def document_sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def narration_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").select("item_id", t.narration(F.col("text")).alias("narration"), t.heading_narration(F.substring("text", 1, 40)).alias("heading"))
+    return table(spark, sf, "documents").select("doc_id", t.narration(F.col("text")).alias("narration"), t.heading_narration(F.col("text")).alias("heading"))
 
 
 @query()
 def caption_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").select("item_id", F.posexplode(q.split_cues("text")).alias("idx", "text"))
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(q.split_cues("text")).alias("idx", "text"))
 
 
 @query()
