@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.sequences import nfc
+
 
 def nested(parents: DataFrame, children: DataFrame, key: str, order: list[str], fields: list[str], name: str) -> DataFrame:
     """Parents with an array of their children in order; empty where there are none."""
@@ -63,8 +66,28 @@ def impacted(changes: DataFrame, rules: Mapping[str, list[str]]) -> DataFrame:
     return changes.select(F.explode(F.flatten(F.filter(F.array(*hit), lambda x: x.isNotNull()))).alias("stage")).distinct()
 
 
-#: Titles of what follows a book's own text. Fixed values.
-BACK_MATTER = r"(?i)^(index|general index|bibliography|about the (author|authors|translator|illustrator)|also by(?![A-Za-z0-9_])|other (books|titles) by|colophon|licen[sc]e|reading group guide|a note on the type|praise for)"
+# Titles of what comes before and after a book's own text, in normalization form C.
+BACK_MATTER = unicodedata.normalize(
+    "NFC",
+    r"(?i)^(index|general index|bibliography|about the (author|authors|translator|illustrator)|also by(?![A-Za-z0-9_])|other (books|titles) by|colophon|(the )?full project gutenberg licen[sc]e|section [0-9]+\.\s.*project gutenberg|.*project gutenberg(-tm)? (licen[sc]e|literary archive)|licen[sc]e|reading group guide|a note on the type|praise for)"
+    "|^(নির্ঘণ্ট|নির্ঘন্ট|গ্রন্থপঞ্জি|গ্রন্থপঞ্জী|গ্রন্থপঞ্জিকা|তথ্যসূত্র|সহায়ক গ্রন্থ|লেখক পরিচিতি|লেখক-পরিচিতি|লেখকের অন্যান্য|একই লেখকের|লেখকের আরও)",
+)
+FRONT_MATTER = unicodedata.normalize(
+    "NFC",
+    r"(?i)^(cover|title( page)?|copyright|contents|table of contents|dedication|also by|half title|about the author|praise for)(?![A-Za-z0-9_])"
+    r"|^(সূচিপত্র|সূচীপত্র|সূচি|সূচী|বিষয়সূচি|বিষয়সূচী|উৎসর্গ|প্রচ্ছদ|কৃতজ্ঞতা|কৃতজ্ঞতা স্বীকার|প্রকাশকের কথা|সর্বস্বত্ব|স্বত্ব)(?![\p{L}\p{M}])",
+)
+OPENING_TITLES = ["Opening Pages", "প্রারম্ভিক অংশ"]
+# End of the fixed values.
+
+
+def matter(rows: DataFrame, keys: list[str], order: str, title: str) -> DataFrame:
+    """Rows with matter: front for a first of several that is named so, back by its title, else null. Titles are compared in form C."""
+    book = Window.partitionBy(*keys)
+    first = (F.row_number().over(book.orderBy(order)) == 1) & (F.count(F.lit(1)).over(book) > 1)
+    own = F.trim(nfc(F.col(title)))
+    front = own.isin([unicodedata.normalize("NFC", x) for x in OPENING_TITLES]) | own.rlike(FRONT_MATTER)
+    return rows.withColumn("matter", F.when(first & front, "front").when(own.rlike(BACK_MATTER), "back"))
 
 
 def plan(chapters: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
