@@ -36,21 +36,45 @@ def word_times(sentences: DataFrame, key: str) -> DataFrame:
     return timed.select(key, "word_no", "word", rounded(F.col("word_start"), 4).alias("start"), rounded(F.col("word_end"), 4).alias("end"))
 
 
-def build(timings: DataFrame, regions: DataFrame, durations: DataFrame) -> DataFrame:
+def words_by_page(words: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, word_no, page, start, end, rects for words (keys, word_no, start, end, parts = array of (page, x0, y0, x1, y1)).
+
+    A word that is printed on two pages is shared between them by printed width (one point at least for each part), in the
+    order in which its parts come. Times have four places.
+    """
+    parts = words.select(*keys, "word_no", "start", "end", F.posexplode("parts").alias("_k", "_p"))
+    width = F.greatest(F.lit(1.0), F.col("_p.x1") - F.col("_p.x0"))
+    rect = F.struct("_k", F.array("_p.x0", "_p.y0", "_p.x1", "_p.y1").alias("r"))
+    pages = parts.groupBy(*keys, "word_no", F.col("_p.page").alias("page")).agg(F.min("_k").alias("_k"), F.first("start").alias("_from"), F.first("end").alias("_to"), F.sum(width).alias("_w"), F.sort_array(F.collect_list(rect)).alias("_r"))
+    shared = shares(pages, [*keys, "word_no"], ["_k"], F.col("_w"), "_from", "_to", "start", "end")
+    return shared.select(*keys, "word_no", "page", rounded(F.col("start"), 4).alias("start"), rounded(F.col("end"), 4).alias("end"), F.transform("_r", lambda x: x["r"]).alias("rects"))
+
+
+def build(timings: DataFrame, regions: DataFrame, durations: DataFrame, *, words: DataFrame | None = None, paragraphs: DataFrame | None = None) -> DataFrame:
     """Segments of each document.
 
     ``durations``: doc_id, chapter, duration. ``timings``: doc_id, chapter, sentence_id, start, end (from the chapter's
-    start). ``regions``: doc_id, sentence_id, page, chars. A sentence on several pages gives a segment for each, by
-    characters (one at least); empty intervals and sentences without a region give none.
+    start). ``regions``: doc_id, sentence_id, page, chars, and rects if there are ``paragraphs``. A sentence on several pages
+    gives a segment for each, by characters (one at least); empty intervals and sentences without a region give none.
+
+    ``words`` (doc_id, sentence_id, page, start, end; from the chapter's start) turn the page exactly where the first word on
+    the next one is said. ``paragraphs`` (doc_id, sentence_id, page, rects) give their rects in place of the sentence's.
     """
     offsets = durations.withColumn("offset", exclusive_sum(F.col("duration"), ["doc_id"], "chapter"))
     timed = timings.where("end > start").join(offsets, ["doc_id", "chapter"])
-    timed = timed.select("doc_id", "chapter", "sentence_id", (F.col("offset") + F.col("start")).alias("a"), (F.col("offset") + F.col("end")).alias("b"))
+    timed = timed.select("doc_id", "chapter", "sentence_id", "offset", (F.col("offset") + F.col("start")).alias("a"), (F.col("offset") + F.col("end")).alias("b"))
     rows = timed.join(regions, ["doc_id", "sentence_id"])
     parts = shares(rows, ["doc_id", "chapter", "sentence_id"], ["page"], F.greatest(F.lit(1.0), F.col("chars").cast("double")), "a", "b", "start", "end")
+    if words is not None:
+        said = words.groupBy("doc_id", "sentence_id", "page").agg(F.min("start").alias("_from"), F.max("end").alias("_to"))
+        parts = parts.join(said, ["doc_id", "sentence_id", "page"], "left").withColumn("start", F.coalesce(F.col("offset") + F.col("_from"), "start")).withColumn("end", F.coalesce(F.col("offset") + F.col("_to"), "end"))
+    rects = []
+    if paragraphs is not None:
+        parts = parts.join(paragraphs.select("doc_id", "sentence_id", "page", F.col("rects").alias("_own")), ["doc_id", "sentence_id", "page"], "left")
+        rects = [F.coalesce("_own", "rects").alias("rects")]
     order = Window.partitionBy("doc_id").orderBy("chapter", "a", "sentence_id", "page")
     before = F.lag("page").over(order)
-    return parts.select("doc_id", (F.row_number().over(order) - 1).alias("i"), "chapter", "sentence_id", "page", rounded(F.col("start"), 4).alias("start"), rounded(F.col("end"), 4).alias("end"), (before.isNull() | (before != F.col("page"))).alias("page_change"))
+    return parts.select("doc_id", (F.row_number().over(order) - 1).alias("i"), "chapter", "sentence_id", "page", rounded(F.col("start"), 4).alias("start"), rounded(F.col("end"), 4).alias("end"), (before.isNull() | (before != F.col("page"))).alias("page_change"), *rects)
 
 
 def as_of(facts: DataFrame, probes: DataFrame, keys: list[str], time: str, values: list[str], probe_values: list[str]) -> DataFrame:

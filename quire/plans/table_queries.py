@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as g
@@ -103,9 +103,62 @@ def caption_cards(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def script_batches(spark: SparkSession, sf: str) -> DataFrame:
-    pasted = F.concat(F.lit("Title: "), F.substring("text", 1, 20), F.lit("\nScript: "), F.col("text"), F.lit("\n---\nTitle: Next\nScript: "), F.substring("text", 1, 200))
-    rows = table(spark, sf, "benchmark").select("item_id", read_script_batch(pasted).alias("b"))
-    return rows.select("item_id", F.col("b.format").alias("format"), F.posexplode("b.items").alias("idx", "x")).select("item_id", "format", "idx", "x.title", "x.script")
+    """Texts pasted as a batch of two labelled scripts each, read again."""
+    own = F.regexp_replace("text", r"\s+", " ")
+    title = F.regexp_extract(own, r"^\s*(\S+)", 1)
+    pasted = F.concat(F.lit("Title: "), title, F.lit("\nScript: "), own, F.lit("\n---\nTitle: Next\nScript: "), own)
+    rows = table(spark, sf, "documents").where("text rlike '[A-Za-z]'").select("doc_id", read_script_batch(pasted).alias("b"))
+    return rows.select("doc_id", F.col("b.format").alias("format"), F.posexplode("b.items").alias("idx", "x")).select("doc_id", "format", "idx", "x.title", "x.script")
+
+
+PARTED = f"""WITH o AS ({OFFSETS}), w AS (SELECT conv_id, turn, start, dur, unnest({TOKENS.format('text')}) AS word, generate_subscripts({TOKENS.format('text')}, 1) - 1 AS k FROM o),
+x AS (SELECT *, (length(word) + 1)::DOUBLE AS wt FROM w), r AS (SELECT *, sum(wt) OVER (PARTITION BY conv_id, turn) AS total, coalesce(sum(wt) OVER (PARTITION BY conv_id, turn ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, k = max(k) OVER (PARTITION BY conv_id, turn) AS last FROM x),
+t AS (SELECT conv_id, turn, k, word, dur * before / total AS a, CASE WHEN last THEN dur ELSE dur * (before + wt) / total END AS b FROM r),
+p AS (SELECT conv_id, turn, k, a, b, CASE WHEN k % 5 = 4 THEN 2 ELSE 1 END AS n, k // 5 AS page, length(word) * 4.0 AS w FROM t),
+g AS (SELECT *, page + i AS pg, greatest(1.0, CASE WHEN i = 0 THEN w ELSE w / 2 END) AS width FROM p, (SELECT unnest([0, 1]) AS i) WHERE i < n),
+s AS (SELECT *, sum(width) OVER (PARTITION BY conv_id, turn, k) AS all_, coalesce(sum(width) OVER (PARTITION BY conv_id, turn, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM g),
+q AS (SELECT conv_id, turn, k AS word_no, pg AS page, floor((a + (b - a) * done / all_) * 10000 + 0.5) / 10000 AS start, floor(CASE WHEN i = n - 1 THEN b ELSE a + (b - a) * (done + width) / all_ END * 10000 + 0.5) / 10000 AS "end", k * 10.0 AS x0 FROM s)"""
+
+
+def _parted_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of turns, timed from the turn's start; five are printed on a page, and the last of them goes on on the next."""
+    rows = _turns(spark, sf).select("conv_id", "turn", F.lit(0.0).alias("zero"), "dur", F.posexplode(t.tokens(F.col("text"))).alias("word_no", "word"))
+    timed = timeline.shares(rows, ["conv_id", "turn"], ["word_no"], (F.length("word") + 1).cast("double"), "zero", "dur", "start", "end")
+    k, page, width = F.col("word_no"), F.floor(F.col("word_no") / 5).cast("int"), F.length("word") * 4.0
+
+    def part(i: int, w: Column) -> Column:
+        return F.struct((page + i).alias("page"), (k * 10.0).alias("x0"), F.lit(0.0).alias("y0"), (k * 10.0 + w).alias("x1"), F.lit(9.0).alias("y1"))
+
+    parts = F.when(k % 5 == 4, F.array(part(0, width), part(1, width / 2))).otherwise(F.array(part(0, width)))
+    return timeline.words_by_page(timed.select("conv_id", "turn", "word_no", "start", "end", parts.alias("parts")), ["conv_id", "turn"])
+
+
+@query(PARTED + """ SELECT conv_id, turn, word_no, page, start, "end", x0 FROM q""")
+def words_on_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return _parted_words(spark, sf).select("conv_id", "turn", "word_no", "page", "start", "end", F.col("rects")[0][0].alias("x0"))
+
+
+@query(PARTED + f""", d AS (SELECT conv_id, turn, dur, start AS off FROM o WHERE dur > 0), pg AS (SELECT conv_id, turn, page, min(start) AS f, max("end") AS u, max(x0) AS x FROM q GROUP BY 1, 2, 3),
+y AS (SELECT d.conv_id AS doc_id, d.turn AS chapter, page, off + f AS a, off + u AS b, CASE WHEN page % 2 = 0 THEN x END AS own, x FROM d JOIN pg USING (conv_id, turn))
+SELECT doc_id, row_number() OVER v - 1 AS i, chapter, page, floor(a * 10000 + 0.5) / 10000 AS start, floor(b * 10000 + 0.5) / 10000 AS "end", coalesce(page <> lag(page) OVER v, true) AS page_change, CASE WHEN page % 2 = 0 THEN -1.0 ELSE x END AS x FROM y WINDOW v AS (PARTITION BY doc_id ORDER BY chapter, page)""")
+def timeline_by_words(spark: SparkSession, sf: str) -> DataFrame:
+    """A timeline that turns pages by words and shows the paragraph's place on even pages."""
+    turns, words = _turns(spark, sf), _parted_words(spark, sf)
+    named = [F.col("conv_id").alias("doc_id"), F.col("turn").alias("chapter"), F.col("turn").alias("sentence_id")]
+    said = words.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("sentence_id"), "page", "start", "end", F.col("rects")[0].alias("r"))
+    regions = said.groupBy("doc_id", "sentence_id", "page").agg(F.count(F.lit(1)).alias("chars"), F.array(F.max("r")).alias("rects"))
+    paragraphs = regions.where("page % 2 = 0").select("doc_id", "sentence_id", "page", F.array(F.array(F.lit(-1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0))).alias("rects"))
+    timings, durations = turns.select(*named, F.lit(0.0).alias("start"), F.col("dur").alias("end")), turns.select(*named[:2], F.col("dur").alias("duration"))
+    built = timeline.build(timings, regions, durations, words=said, paragraphs=paragraphs)
+    return built.select("doc_id", "i", "chapter", "page", "start", "end", "page_change", F.col("rects")[0][0].alias("x"))
+
+
+@query()
+def printed_word_times(spark: SparkSession, sf: str) -> DataFrame:
+    """When each printed word of a turn is said, though the narration has other words."""
+    rows = _turns(spark, sf).select("conv_id", "turn", "start", (F.col("start") + F.col("dur")).alias("end"), t.tokens(F.col("text")).alias("w"), t.narration(F.col("text")).alias("said"))
+    timed = rows.withColumn("x", q.time_printed_words("w", "said", "start", "end"))
+    return timed.select("conv_id", "turn", F.posexplode("x").alias("word_no", "t")).select("conv_id", "turn", "word_no", tm.rounded(F.col("t.start"), 4).alias("start"), tm.rounded(F.col("t.end"), 4).alias("end"))
 
 
 # --- events as progress -----------------------------------------------------------------------------------------------
