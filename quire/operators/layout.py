@@ -100,3 +100,8 @@ def restored_openings(openings: DataFrame, counts: DataFrame, pairs: DataFrame,
     best = able.groupBy(key, "fragment", "next").agg(F.max_by("reading", F.struct("bi", "uni", -F.col("place"))).alias("reading"))
     titled = F.concat(F.substring("reading", 1, 1), F.lower(F.substring("reading", 2, 99)))
     return best.select(key, "fragment", "next", F.when(F.col("reading") != F.col("fragment"), titled).otherwise(F.col("reading")).alias("word"))
+
+
+def titled(steps: DataFrame, titles: DataFrame, key: str) -> DataFrame:
+    """Steps with the titles of their stages; steps of unknown stages go."""
+    return steps.join(titles, key)

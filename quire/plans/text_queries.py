@@ -56,9 +56,10 @@ def body_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return furniture.body_size(laid_out(_lines(spark, sf)))
 
 
-@query(
-    _BODY
-    + f""", n AS (SELECT book, count(DISTINCT page) AS pages FROM l GROUP BY 1),
+def furniture_sql() -> str:
+    return (
+        _BODY
+        + f""", n AS (SELECT book, count(DISTINCT page) AS pages FROM l GROUP BY 1),
 b AS (SELECT body.*, CASE WHEN pages <= 4 THEN 2 ELSE greatest(3, ceil(pages * 0.2)) END AS strong FROM body JOIN n USING (book)),
 f AS (SELECT l.book, strong, CASE WHEN (y0 + y1) / 2 <= height * 0.25 THEN 'top' WHEN (y0 + y1) / 2 >= height * 0.75 THEN 'bottom' END AS edge, (y0 + y1) / 2 AS c, height
       FROM l JOIN b USING (book) WHERE regexp_matches(text, '{PAGE_NUMBER}') AND regexp_matches(text, '[0-9০-৯]') AND size <= body * 1.15),
@@ -76,7 +77,10 @@ r AS (SELECT z.*, len({TOKENS.format('text')}) AS words, seen, CASE WHEN z.zone
 SELECT page, line_no, zone, CASE WHEN regexp_matches(text, '{CONTENTS}') THEN 'contents' WHEN regexp_matches(text, '{BARE}') AND size <= body * 0.85 THEN 'page number' WHEN zone IS NULL THEN NULL
   WHEN regexp_matches(text, '{PAGE_NUMBER}') AND size <= body * 1.15 THEN 'page number' WHEN words = 1 AND length(text) <= 4 AND size <= body * 1.6 AND dist >= lo - 3 AND dist <= hi + 3 THEN 'page number'
   WHEN key = '' THEN NULL WHEN seen >= strong OR (seen >= 3 AND size <= body * 1.1 AND words <= 12) THEN CASE WHEN zone = 'top' THEN 'header' ELSE 'footer' END END AS reason FROM r"""
-)
+    )
+
+
+@query(furniture_sql())
 def furniture_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return furniture.classified(laid_out(_lines(spark, sf))).select("page", "line_no", "zone", "reason")
 
