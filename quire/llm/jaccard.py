@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import space
 from .graph import components
-from .words import chunks, flat_bytes, mixed, rolling, spans, split_words
+from .words import chunks, flat_bytes, mixed, only, rolling, spans, split_words
 
 #: Words of a shingle; percent of the union that near copies have in common.
 SHINGLE, PERCENT = 5, 80
@@ -84,6 +84,7 @@ def _described(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """key, doc_id, n, sig, tokens for rows (doc_id, text, key): the set's size, its signature and its hashes of the routing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for batch in batches:
             for part in chunks(batch):
                 counts, sigs, tokens = [], [], []
@@ -147,6 +148,7 @@ def _sets_of(rows: DataFrame, size: int) -> DataFrame:
     names = ("family", "block", "partners", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for batch in batches:
             for part in chunks(batch):
                 own = list(shingle_sets(part.column("text"), size))
@@ -236,10 +238,10 @@ def forest(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int
 def _filtered_joins(spark: SparkSession) -> Iterator[None]:
     """Let Spark filter the large side of a join with a Bloom filter of the other's keys, for the jobs that run inside.
 
-    The filter has 8 MB at most; where more keys make it less selective, more rows are shuffled, and the result is the same.
+    The filter has 2 MB at most; where more keys make it less selective, more rows are shuffled, and the result is the same.
     """
     names = "spark.sql.optimizer.runtime.bloomFilter."
-    wanted = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "1TB", "expectedNumItems": "4000000", "numBits": "67108864"}
+    wanted = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "1TB", "expectedNumItems": "2000000", "numBits": "16777216"}
     before = {k: spark.conf.get(names + k, None) for k in wanted}
     try:
         for k, v in wanted.items():
@@ -275,6 +277,7 @@ def _classes(docs: DataFrame, size: int, percent: int, nulls: bool) -> tuple[Dat
         paired = items.select("family", "block", "set", "items", F.explode("partners").alias("p")).select("family", "p.i", "p.j", "block", "set", "items")
 
         def search(key: tuple, table: pa.Table) -> pa.Table:
+            only()
             table = table.combine_chunks().sort_by("set")
             block, first = table.column("block").to_numpy(), key[1].as_py()
             sets = table.column("set").to_numpy()

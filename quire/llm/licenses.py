@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from . import space
-from .words import chunks, flat_bytes, mixed, rolling, spans, split_words
+from .words import chunks, flat_bytes, mixed, only, rolling, spans, split_words
 
 GRAM, WINDOW = 2, 2
 #: Words up to which a template is short: all of its runs are kept.
@@ -246,6 +246,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, *, l
     schema = "doc_id long, n_licenses long, licenses string, found array<struct<license: string, coverage: double, start: long, end: long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         own = Templates(texts, least)
         for batch in batches:
             for part in chunks(batch):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import space
-from .words import chunks, flat_bytes, spans, split_words
+from .words import chunks, flat_bytes, loaded, only, spans, split_words
 
 #: Tokens of a sequence.
 CAPACITY = 4096
@@ -110,13 +110,12 @@ class WordEncoder:
         return self.ids[spans(self.at[row], lengths)], np.r_[0, np.cumsum(lengths)][words.of]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """The tokenizer at ``path``, built once in each process."""
+    known = loaded("words")
+    if path not in known:
+        known[path] = WordEncoder(path)
+    return known[path]
 
 
 def tokenize_pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -127,6 +126,7 @@ def tokenize_pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, wit
     schema = "doc_id long, row_hash long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("words")
         own = encoder(path)
         for batch in batches:
             for part in chunks(batch):

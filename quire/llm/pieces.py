@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from . import space
-from .words import chunks, flat_bytes, spans
+from .words import chunks, flat_bytes, loaded, only, spans
 
 _BAR = "▁"
 #: Units that a process remembers at most; beyond that it starts anew.
@@ -353,14 +353,12 @@ def _valid(raw: bytes) -> bytes:
     return bytes(out)
 
 
-_MODELS: dict[str, PieceModel] = {}
-
-
 def model(path: str) -> PieceModel:
     """The model at ``path``, built once in each process."""
-    if path not in _MODELS:
-        _MODELS[path] = PieceModel(path)
-    return _MODELS[path]
+    known = loaded("pieces")
+    if path not in known:
+        known[path] = PieceModel(path)
+    return known[path]
 
 
 def encode_documents(docs: DataFrame, path: str, *, with_ids: bool = False) -> DataFrame:
@@ -373,6 +371,7 @@ def encode_documents(docs: DataFrame, path: str, *, with_ids: bool = False) -> D
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>, decoded string" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("pieces")
         own = model(path)
         for batch in batches:
             for part in chunks(batch):

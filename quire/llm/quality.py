@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import space
-from .words import Words, chunks, flat_bytes, mixed, rolling, spans, split_words
+from .words import Words, chunks, flat_bytes, mixed, only, rolling, spans, split_words
 
 #: Words with a bin of their own, in each language.
 COMMON = 40
@@ -127,6 +127,7 @@ def _corpus_counts(docs: DataFrame) -> DataFrame:
     """lang, word (null: a class of characters), class, n: counts over batches, for Spark to add up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for batch in batches:
             for part in chunks(batch):
                 langs = part.column("lang").dictionary_encode()
@@ -240,6 +241,7 @@ def judge(docs: DataFrame, refs: list[Reference]) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for batch in batches:
             for part in chunks(batch):
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id")} | _verdicts(part.column("text"), part.column("lang").to_pylist(), refs))
@@ -252,6 +254,7 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     refs = references(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for batch in batches:
             for part in chunks(batch):
                 yield part.filter(_verdicts(part.column("text"), part.column("lang").to_pylist(), refs)["kept"])

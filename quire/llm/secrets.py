@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import space
-from .words import chunks
+from .words import chunks, loaded, only
 
 #: Base kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "token")
@@ -64,13 +64,12 @@ def known_or_name(found: str, words: Vocabulary) -> bool:
     return all(len(x) <= ABBREVIATION or len(x) >= WORD_CHARS_PER_TOKEN * words.tokens(x) for x in _LETTERS.findall(found))
 
 
-_VOCABULARIES: dict[str, Vocabulary] = {}
-
-
 def vocabulary(path: str, pattern: str) -> Vocabulary:
-    if path not in _VOCABULARIES:
-        _VOCABULARIES[path] = Vocabulary(path, pattern)
-    return _VOCABULARIES[path]
+    """The vocabulary at ``path``, built once in each process."""
+    known = loaded("vocabularies")
+    if path not in known:
+        known[path] = Vocabulary(path, pattern)
+    return known[path]
 
 
 def secret_spans(text: str, words: Vocabulary) -> list[tuple[int, int, int]]:
@@ -97,6 +96,7 @@ def find_secrets(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("vocabularies")
         words = vocabulary(path, pattern)
         for batch in batches:
             for part in chunks(batch):
@@ -115,6 +115,7 @@ def redacted_rows(docs: DataFrame, path: str, pattern: str, mark: str) -> DataFr
     """``docs`` with ``mark`` in place of every span in ``text``; null texts and all other columns stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("vocabularies")
         words = vocabulary(path, pattern)
         for batch in batches:
             for part in chunks(batch):

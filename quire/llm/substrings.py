@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import space
-from .words import Words, chunks, flat_bytes, mixed, rolling, spans, split_words
+from .words import Words, chunks, flat_bytes, mixed, only, rolling, spans, split_words
 
 #: Words of a window, and of the runs of which the least hash is its minimizer.
 WINDOW, GRAM = 50, 25
@@ -59,6 +59,7 @@ def minimizers(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """key, whole, doc_id: the minimizers of each text (whole: 0), and a row for the text itself (key and whole: its hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for batch in batches:
             for part in chunks(batch):
                 data, at = flat_bytes(part.column("text"))
@@ -80,6 +81,7 @@ def window_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """whash, doc_id, h, start: the windows of the texts whose minimizer is among ``keys``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for batch in batches:
             for part in chunks(batch):
                 words = split_words(*flat_bytes(part.column("text")))
@@ -150,6 +152,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, w
         schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), *([StructField("rest", StructType(kept))] if kept else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for batch in batches:
             for part in chunks(batch):
                 data, at = flat_bytes(part.column("text"))

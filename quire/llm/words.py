@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +30,28 @@ def _steady_memory() -> None:
 
 
 _steady_memory()
+#: Models that a worker process has loaded, by name and path.
+_LOADED: dict[str, dict[str, object]] = {}
+
+
+def loaded(kind: str) -> dict[str, object]:
+    """The models of a kind that this process has loaded."""
+    return _LOADED.setdefault(kind, {})
+
+
+def only(*kinds: str) -> None:
+    """Let go of all loaded models but those of ``kinds``, and of memory that libraries keep for later.
+
+    A Python worker lives through many stages; each begins with this call, so that it doesn't hold what others have needed.
+    """
+    old = [k for k, models in _LOADED.items() if k not in kinds and models]
+    for k in old:
+        _LOADED[k].clear()
+    pa.default_memory_pool().release_unused()
+    if old:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
