@@ -103,3 +103,8 @@ def quantized_speed(speed: Column) -> Column:
 def short_parts(words: Column, per_minute: float = 165.0, seconds: float = 58.0, most: int = 10) -> Column:
     """How many short videos a script of so many words makes."""
     return F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(words * 60 / per_minute / seconds).cast("int")))
+
+
+def kit_text(parts: dict[str, Column]) -> Column:
+    """Everything that a site asks for, as text under headings; what is empty is left out."""
+    return joined(*[F.when(F.trim(F.coalesce(v, F.lit(""))) != "", F.concat(F.lit(f"{k}\n"), v)) for k, v in parts.items()])

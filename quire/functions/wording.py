@@ -129,7 +129,7 @@ def fitting_title(candidates: Column) -> Column:
     """The first candidate that search results show whole, else the shortest, clipped."""
     clean = F.filter(F.transform(candidates, _squeezed), lambda c: F.coalesce(c != "", F.lit(False)))
     fits = F.try_element_at(F.filter(clean, lambda c: F.length(c) <= TITLE_VISIBLE), F.lit(1))
-    shortest = F.array_min(F.transform(clean, lambda c, i: F.struct(F.length(c).alias("n"), i.alias("i"), c.alias("c"))))["c"]
+    shortest = F.array_min(F.transform(clean, lambda c, i: F.named_struct(F.lit("n"), F.length(c), F.lit("i"), i, F.lit("c"), c)))["c"]
     return F.coalesce(fits, F.trim(F.substring(shortest, 1, TITLE_MOST)), F.lit("Audiobook"))
 
 

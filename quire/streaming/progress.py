@@ -34,7 +34,7 @@ def throttled(events: DataFrame, keys: list[str], time: str, seconds: float) ->
 def recovered(steps: DataFrame, alive: list[str]) -> DataFrame:
     """Steps after a crash: what ran in a project that no worker has any more is pending again, with its progress gone."""
     orphan = (F.col("status") == "RUNNING") & ~F.col("worker").isin(alive)
-    return steps.withColumn("status", F.when(orphan, "PENDING").otherwise(F.col("status"))).withColumn("progress", F.when(orphan, 0.0).otherwise(F.col("progress")))
+    return steps.withColumns({"status": F.when(orphan, "PENDING").otherwise(F.col("status")), "progress": F.when(orphan, 0.0).otherwise(F.col("progress"))})
 
 
 def claims(events: DataFrame, key: str, order: str = "seq") -> DataFrame:
