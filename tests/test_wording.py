@@ -349,8 +349,19 @@ def test_artifact_keys_are_chained(spark):
 
 
 def test_job_claims_equal_plain_python(spark):
-    rows = rows_of(spark, "job_claims")
-    assert rows and all(r["owner"] is None for r in rows if r["cancelled"])
+    owner, cancelled = {}, {}
+    for e in sorted(table(spark, "events"), key=lambda e: e["event_id"]):
+        job, who = e["event_id"] % 200, f"w{e['user_id'] % 5}"
+        kind = {"click": "claim", "view": "release"}.get(e["event_type"], "cancel" if e["value"] > 90 else "claim")
+        owner.setdefault(job, None)
+        cancelled.setdefault(job, False)
+        if kind == "cancel":
+            owner[job], cancelled[job] = None, True
+        elif kind == "claim" and owner[job] is None and not cancelled[job]:
+            owner[job] = who
+        elif kind == "release" and owner[job] == who:
+            owner[job] = None
+    assert {r["job"]: (r["owner"], r["cancelled"]) for r in rows_of(spark, "job_claims")} == {k: (owner[k], cancelled[k]) for k in owner}
 
 
 def test_script_batches_read_what_was_pasted(spark):
