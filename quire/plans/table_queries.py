@@ -489,8 +489,9 @@ def timeline_slice(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of each source without its repeated headers, as sentences on one timeline: source, doc_id, sentence_idx, start, end, text."""
     from quire.sources.tables import document_lines
 
-    lines = document_lines(table(spark, sf, "documents")).withColumn("key", t.header_key(F.col("text")))
-    pages = lines.groupBy("book").agg(F.countDistinct("page").alias("n"))
+    docs = table(spark, sf, "documents")
+    lines = document_lines(docs).withColumn("key", t.header_key(F.col("text")))
+    pages = docs.where(F.col("text").rlike(r"[^ \n]")).groupBy(F.col("source").alias("book")).agg(F.countDistinct("doc_id").alias("n"))  # those with a line that isn't blank
     seen = lines.groupBy("book", "key").agg(F.countDistinct("page").alias("seen"))
     strong = F.when(F.col("n") <= 4, 2).otherwise(F.greatest(F.lit(3), F.ceil(F.col("n") * 0.2)))
     repeated = seen.join(pages, "book").where(F.col("seen") >= strong).select("book", "key")
