@@ -13,9 +13,9 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from quire.functions import bangla, display, wording
+from quire.functions import bangla, display, engines, wording
 from quire.functions import sequences as q
-from quire.operators import catalog, structure
+from quire.operators import catalog, characters, marks, structure
 from quire.plans import lineage
 from quire.plans.queries import QUERIES
 from quire.sources import table_kits as kits
@@ -177,6 +177,38 @@ def test_list_helpers(spark):
     assert [tuple(r) for r in catalog.defaults(rows, {"a": "d", "b": 7}).collect()] == [("d", 5), ("x", 7)]
 
 
+def test_lines_cut_in_pieces(spark):
+    data = [(1, 0, 0.0, 0.0, 50.0, 10.0, 10.0, ["জিজ্ঞে"], False, False), (1, 1, 52.0, 0.0, 90.0, 10.0, 10.0, ["স", "করল"], False, False), (1, 2, 0.0, 15.0, 50.0, 25.0, 10.0, ["latin"], False, True), (1, 3, 52.0, 15.0, 90.0, 25.0, 10.0, ["line"], True, False), (1, 4, 92.0, 15.0, 99.0, 25.0, 10.0, ["ক"], False, False), (1, 5, 101.0, 15.0, 120.0, 25.0, 10.0, ["খ"], True, False)]
+    lines = spark.createDataFrame(data, "page int, line_no int, x0 double, y0 double, x1 double, y1 double, size double, words array<string>, blank_before boolean, blank_after boolean")
+    got = [(r["line_no"], list(r["words"]), r["x1"]) for r in characters.whole_lines(lines, ["page"]).orderBy("line_no").collect()]
+    assert got == [(0, ["জিজ্ঞেস", "করল"], 90.0), (2, ["latin"], 50.0), (3, ["line"], 90.0), (4, ["ক", "খ"], 120.0)]
+    both = spark.createDataFrame([(["a", "b"], ["x", "y"]), (["a"], ["x", "y"])], "words array<string>, spelled array<string>")
+    assert sorted(r["words"] for r in characters.respelled(both).collect()) == [["a"], ["x", "y"]]
+    turned = spark.createDataFrame([(1.0, 0.0), (0.0, 1.0), (-1.0, 0.0)], "dx double, dy double")
+    assert characters.upright(turned).count() == 1
+
+
+def test_camera_moves_out_of_its_dead_zone_only(spark):
+    parts = spark.createDataFrame([("r", 0.0, 0.0, 10.0), ("r", 2.0, 160.0, 170.0), ("r", 4.0, 300.0, 310.0), ("r", 4.1, 640.0, 650.0)], "run string, start double, y0 double, y1 double")
+    got = [tuple(r)[1:] for r in marks.camera_keys(parts, ["run"], 300.0, 648.0).orderBy("k").collect()]
+    assert got == [(0, 0.0, 150.0, 0.0), (1, 3.65, 305.0, 0.9), (2, pytest.approx(3.75), 498.0, 0.9)]
+
+
+def test_engines_and_helpers(spark):
+    rows = spark.createDataFrame([(1, "one two three"), (2, "one two three"), (3, None), (4, "abc")], "id int, said string")
+    engines.register_helper("upper", lambda task, x: x.str.upper() + ("!" if task == "shout" else ""))
+    known = engines.asked(rows, "shout", "said", "upper").collect()
+    assert sorted(r["answer"] for r in known) == ["ABC!", "ONE TWO THREE!"]
+    kept = spark.createDataFrame([(known[0]["key"], "kept")], "key string, answer string")
+    assert "kept" in {r["answer"] for r in engines.asked(rows, "shout", "said", "upper", kept).collect()}
+    even = engines.engine("even")
+    assert [round(r[0], 2) for r in rows.where("id = 1").select(even(F.col("said"), F.lit(0.3))).collect()] == [0.54]
+    with pytest.raises(KeyError, match="even"):
+        engines.engine("none")
+    pair = spark.createDataFrame([("the cat sat", "the cats sat"), ("the cat sat", "something else"), ("a", None)], "a string, b string")
+    assert [r[0] for r in pair.select(engines.guarded(F.col("a"), F.col("b"))).collect()] == ["the cats sat", "the cat sat", "a"]
+
+
 # --- queries without SQL, over whole tables -------------------------------------------------------------------------------
 
 
