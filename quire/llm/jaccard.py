@@ -322,9 +322,11 @@ def keep_one(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT) ->
     marks = judged.groupBy("key").agg(F.first(F.expr("key = best")).alias("stays"), F.count(F.lit(1)).alias("copies")).where("NOT stays OR copies > 1")
     marks = space.cut(marks.withColumnRenamed("key", _KEY), "marks", done=(described, classes))
     rows = docs.withColumn(_KEY, _row_key())
-    alone = rows.join(marks, _KEY, "left_anti")
-    first = rows.join(marks.where("stays").select(_KEY), _KEY, "left_semi").dropDuplicates([_KEY])
-    return alone.unionByName(first).select(*[F.col(f"`{c}`") for c in docs.columns])
+    with _filtered_joins(docs.sparkSession):
+        first = space.cut(rows.join(marks.where("stays AND copies > 1").select(_KEY), _KEY, "left_semi").dropDuplicates([_KEY]), "firsts")
+    # By a sort on both sides at every size: what is marked grows with the documents.
+    alone = rows.join(marks.select(_KEY).hint("merge"), _KEY, "left_anti")
+    return alone.unionByName(first).select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ SHARD_TOKENS = 4_000_000
 #: What a piece counts for in the size of a shard, besides its tokens: so that many small pieces are no burden either.
 PIECE_COST = 50
 #: Words that a process remembers at most; beyond that it starts anew.
-_MOST_KNOWN = 250_000
+_MOST_KNOWN = 150_000
 _PLAIN = re.compile(rb"(?:[a-zA-Z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+")
 #: 1: ASCII letter, 2: other ASCII, 0: what must stay with its neighbours (white space is cut in any case).
 _KIND = np.array([1 if chr(i).isalpha() else 0 if chr(i) == "'" else 2 for i in range(128)] + [0] * 128, dtype=np.uint8)

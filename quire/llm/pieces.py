@@ -26,7 +26,7 @@ from .words import chunks, flat_bytes, loaded, only, spans
 
 _BAR = "▁"
 #: Units that a process remembers at most; beyond that it starts anew.
-MOST_KNOWN = 250_000
+MOST_KNOWN = 200_000
 #: Symbols of a unit from which on a heap of pairs takes the place of rounds.
 LONG = 2000
 _NONE = np.iinfo(np.int32).max
@@ -366,7 +366,7 @@ def encode_documents(docs: DataFrame, path: str, *, with_ids: bool = False) -> D
 
     Returns for each row doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids and the decoded text if ``with_ids``.
     A null or empty text has the begin and end ids only. Rows with one doc_id, or a null one, each give a row; an empty
-    table gives none. Memory is bounded by about 2 MB of text at a time, or one text if that is longer.
+    table gives none. Memory is bounded by about 1 MB of text at a time, or one text if that is longer.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>, decoded string" if with_ids else "")
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch at most.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 #: Folders of the tables that ``cut`` wrote.
 _WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
