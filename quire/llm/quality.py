@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import space
@@ -36,6 +36,8 @@ MOST_CHARACTERS = 0.26
 #: Distance of the words at most, as a share of that which a text without any common word has: how much of a language its
 #: common words make up, and so how far a text can be from it, differs between languages and corpora.
 MOST_WORDS, MOST_WORDS_STRICT = 0.97, 0.9
+#: Parts of a language's words of which the most frequent are found one by one.
+PARTS = 64
 #: Classes: a-z, A-Z, digits, white space, marks of sentences, symbols, other ASCII, all beyond ASCII.
 CLASSES = 8
 
@@ -156,20 +158,21 @@ def references(docs: DataFrame, *, common: int = COMMON) -> list[Reference]:
     All documents are counted. What comes to the driver is ``common`` words and a few sums for each language that has
     LEAST_DOCUMENTS or more.
     """
-    from pyspark.sql import Window
-
     rows = _corpus_counts(docs.where("lang IS NOT NULL AND text <> ''").select("lang", "text"))
     counts = space.cut(rows.groupBy("lang", "class", "word").agg(F.sum("n").alias("n")), "counts")
     sizes = counts.where(F.col("class") == CLASSES).select("lang", "n")
-    sums = {r["lang"]: r["n"] for r in sizes.where(F.col("n") >= LEAST_DOCUMENTS).collect()}
+    large = sizes.where(F.col("n") >= LEAST_DOCUMENTS).select("lang", F.col("n").alias("documents"))
+    sums = {r["lang"]: r["documents"] for r in large.collect()}
     if not sums:
         return []
     documents = sizes.agg(F.sum("n")).first()[0]
-    own = counts.join(sizes.where(F.col("n") >= LEAST_DOCUMENTS).select("lang"), "lang")
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = own.where(F.col("class") == -1).withColumn("k", F.row_number().over(order)).where(F.col("k") <= common).select("lang", "word", "n", "k").collect()
-    total = {r["lang"]: r["n"] for r in own.where(F.col("class") == -1).groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    pooled = {(r["lang"], r["class"]): r["n"] for r in own.where(F.col("class").between(0, CLASSES - 1)).select("lang", "class", "n").collect()}
+    words = counts.where(F.col("class") == -1).select("lang", "word", "n")
+    # The best of each part of a language's words first, so that no task sees a whole language.
+    part, order = F.pmod(F.xxhash64("word"), F.lit(PARTS)), (F.desc("n"), "word")
+    some = words.withColumn("k", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).where(F.col("k") <= common)
+    top = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("k") <= common).join(large, "lang").select("lang", "word", "n", "k").collect()
+    total = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).join(large, "lang").select("lang", "n").collect()}
+    pooled = {(r["lang"], r["class"]): r["n"] for r in counts.where(F.col("class").between(0, CLASSES - 1)).join(large, "lang").select("lang", "class", "n").collect()}
     best = {}
     for r in sorted(top, key=lambda r: r["k"]):
         best.setdefault(r["lang"], []).append(r)
