@@ -27,6 +27,8 @@ ERRORS = {
     "OUT_OF_MEMORY": ("The computer ran out of memory.", True),
 }
 PORTS = {6379: "REDIS_UNAVAILABLE", 5432: "DB_UNAVAILABLE", 5433: "DB_UNAVAILABLE", 11434: "OLLAMA_UNAVAILABLE"}
+STAGE_LABELS = {"EXTRACT": "Reading", "CLEAN": "Cleaning", "ANALYZE": "Chapters", "TTS": "Narration", "MASTER": "Mastering", "TIMELINE": "Timeline", "VIDEO": "Video", "MUX": "Finishing"}
+PAGE_SIZE = (612.0, 792.0)
 # End of the fixed values.
 
 
@@ -139,3 +141,37 @@ def main_title(title: Column) -> Column:
 def voice_language(voice: Column) -> Column:
     """The language of a voice's name: en of en-US or en_GB, other of nothing."""
     return F.element_at(F.split(F.lower(F.coalesce(F.nullif(voice, F.lit("")), F.lit("other"))), "[-_]"), 1)
+
+
+def stage_label(stage: Column) -> Column:
+    return F.coalesce(*[F.when(stage == k, F.lit(v)) for k, v in STAGE_LABELS.items()])
+
+
+def step_label(stage: Column, chapter: Column, title: Column, key: Column) -> Column:
+    """A step by its chapter (from 0) and the chapter's title, else by its stage, else by its key."""
+    number = (chapter + 1).cast("string")
+    return F.when(chapter.isNotNull(), F.coalesce(F.concat(number, F.lit(". "), title), F.concat(F.lit("Chapter "), number))).otherwise(F.coalesce(stage_label(stage), key))
+
+
+def retry_label(code: Column, chapter: Column, step: Column) -> Column:
+    """What a button says after an error: resume what was interrupted, else retry a chapter, a stage, or all."""
+    numbered = F.regexp_extract(F.coalesce(step, F.lit("")), r"^(?:TTS|VIDEO)_CHAPTER_([0-9]+)$", 1)
+    stage = stage_label(step)
+    return (
+        F.when(code.isNull(), "Retry")
+        .when(code == "INTERRUPTED", "Resume")
+        .when(chapter.isNotNull(), F.concat(F.lit("Retry Chapter "), (chapter + 1).cast("string")))
+        .when(numbered != "", F.concat(F.lit("Retry Chapter "), numbered))
+        .when(stage.isNotNull(), F.concat(F.lit("Retry "), stage))
+        .otherwise("Retry")
+    )
+
+
+def page_size(sizes: Column, page: Column) -> Column:
+    """The size of a page in a map of sizes (array<double>) by page; else that of page 1, else a letter's."""
+    return F.coalesce(F.try_element_at(sizes, page), F.try_element_at(sizes, F.lit(1)), F.array(*[F.lit(v) for v in PAGE_SIZE]))
+
+
+def rounded_box(b: Column) -> Column:
+    """A box (array<double>) to one place."""
+    return F.transform(b, lambda v: F.floor(v * 10 + 0.5) / 10)

@@ -147,3 +147,14 @@ def chapters_problem(chapters: DataFrame, key: str, least: int = 3, shortest: fl
     rows = chapters.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.floor(F.min("start")).alias("first"), F.count_if(F.col("end") - F.col("start") < shortest).alias("short"))
     problem = F.when(F.col("n") < least, "few").when(F.col("first") != 0, "first").when(F.col("short") > 0, "short")
     return rows.select(key, problem.alias("problem"))
+
+
+def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n of the keys that more than one row has: a table doesn't enforce them itself."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def dangling(children: DataFrame, parents: DataFrame, key: str, parent_key: str) -> DataFrame:
+    """key, n of the references (nulls aside) that no parent has."""
+    known = parents.select(F.col(parent_key).alias(key)).distinct()
+    return children.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).join(known, key, "left_anti")

@@ -156,3 +156,21 @@ def reading_order(rows: DataFrame) -> DataFrame:
 def freed_bytes(files: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
     """keys, files, bytes: what deleting the paths in ``dropped`` frees."""
     return files.join(dropped.select("path").distinct(), "path", "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+
+
+def picked_voices(wanted: DataFrame, voices: DataFrame) -> DataFrame:
+    """key, voice for rows (key, preferred, language): the preferred voice if it is there, else the first (by place) of the language,
+    else the first of all. ``voices``: id, language, place; they are few."""
+    listed = voices.agg(F.sort_array(F.collect_list(F.struct("place", "id", "language"))).alias("v"))
+    rows = wanted.join(F.broadcast(listed))  # one row
+    ids, own = F.transform("v", lambda x: x["id"]), F.filter("v", lambda x: x["language"].startswith(F.col("language")))
+    return rows.select("key", F.when(F.array_contains(ids, F.col("preferred")), F.col("preferred")).otherwise(F.coalesce(F.try_element_at(own, F.lit(1))["id"], F.try_element_at("v", F.lit(1))["id"])).alias("voice"))
+
+
+def same_drafts(a: DataFrame, b: DataFrame, keys: list[str], ignored: list[str]) -> DataFrame:
+    """keys, same: whether two versions of a draft are equal but for the columns in ``ignored``."""
+    own = [c for c in a.columns if c not in keys and c not in ignored]
+    def whole(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(*keys, F.to_json(F.struct(*own)).alias(name))
+
+    return whole(a, "_a").join(whole(b, "_b"), keys).select(*keys, (F.col("_a") == F.col("_b")).alias("same"))

@@ -180,3 +180,36 @@ def metadata_checks(spark: SparkSession, sf: str) -> DataFrame:
         F.when(n % 5 == 0, F.array(F.lit("not one"))).otherwise(F.array(F.lit("One"))).alias("hashtags"), F.when(n > 25, "t.jpg").otherwise("").alias("thumbnail"), F.when(n > 10, "Hello?").otherwise(" ").alias("pinned"), F.lit("current").alias("applied"),
     )
     return seo.worst_first(seo.metadata_checks(drafts, ["p_partkey"]), ["p_partkey"])
+
+
+@query("""WITH w AS (SELECT c_custkey, 's' || c_nationkey * 3 AS pref, CASE c_nationkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'bn' ELSE 'fr' END AS lang FROM customer), v AS (SELECT 's' || s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'en-US' ELSE 'bn' END AS language, s_suppkey AS place FROM supplier),
+f AS (SELECT c_custkey, CASE WHEN pref IN (SELECT id FROM v) THEN pref END AS p, (SELECT min_by(id, place) FROM v WHERE starts_with(language, lang)) AS o FROM w) SELECT c_custkey AS key, coalesce(p, o, (SELECT min_by(id, place) FROM v)) AS voice FROM f""")
+def picked_voices(spark: SparkSession, sf: str) -> DataFrame:
+    n, k = F.col("c_nationkey"), F.col("s_suppkey")
+    wanted = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.concat(F.lit("s"), (n * 3).cast("string")).alias("preferred"), F.when(n % 3 == 0, "en").when(n % 3 == 1, "bn").otherwise("fr").alias("language"))
+    voices = table(spark, sf, "supplier").select(F.concat(F.lit("s"), k.cast("string")).alias("id"), F.when(k % 2 == 0, "en-US").otherwise("bn").alias("language"), k.alias("place"))
+    return reviews.picked_voices(wanted, voices)
+
+
+@query("""SELECT p_partkey, p_size % 4 > 0 AS same FROM part""")
+def unchanged_drafts(spark: SparkSession, sf: str) -> DataFrame:
+    a = table(spark, sf, "part").select("p_partkey", "p_name", "p_size", F.lit(1).alias("saved"))
+    b = a.withColumn("p_name", F.when(F.col("p_size") % 4 == 0, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name"))).withColumn("saved", F.lit(2))
+    return reviews.same_drafts(a, b, ["p_partkey"], ["saved"])
+
+
+@query("""SELECT 'repeated' AS what, o_custkey AS key, count(*) AS n FROM orders GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'dangling', o_custkey, count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey > 3) GROUP BY 2""")
+def broken_constraints(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys that a unique column repeats, and references to rows that aren't there."""
+    orders, customers = table(spark, sf, "orders"), table(spark, sf, "customer").where("c_nationkey > 3")
+    repeated = catalog.repeated_keys(orders, ["o_custkey"]).select(F.lit("repeated").alias("what"), F.col("o_custkey").alias("key"), "n")
+    return repeated.unionByName(catalog.dangling(orders, customers, "o_custkey", "c_custkey").select(F.lit("dangling").alias("what"), F.col("o_custkey").alias("key"), "n"))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS run, l_linenumber - 1 AS place, count(*) AS n FROM lineitem WHERE l_partkey % 4 > 0 GROUP BY 1, 2), g AS (SELECT run, coalesce(min(i), 7) AS gap FROM (SELECT DISTINCT run FROM r), (SELECT unnest(range(0, 7)) AS i) t WHERE NOT EXISTS (SELECT 1 FROM r x WHERE x.run = r.run AND x.place = i) GROUP BY 1)
+SELECT r.run, r.place FROM r LEFT JOIN g ON g.run = r.run WHERE r.place < coalesce(gap, 7)""".replace("(SELECT DISTINCT run FROM r),", "(SELECT DISTINCT run FROM r) r,"))
+def results_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    from quire.streaming import progress
+
+    rows = table(spark, sf, "lineitem").where("l_partkey % 4 > 0").select(F.col("l_orderkey").alias("run"), (F.col("l_linenumber") - 1).alias("place")).distinct()
+    return progress.in_order(rows, ["run"], "place", 7)

@@ -144,3 +144,24 @@ SELECT p_partkey, 'TITLE' || chr(10) || title || chr(10) || chr(10) || 'DESCRIPT
 def kit_texts(spark: SparkSession, sf: str) -> DataFrame:
     tags = F.when(F.col("p_size") % 3 == 0, publishing.hashtag_text(F.array("p_brand"))).otherwise("")
     return table(spark, sf, "part").select("p_partkey", publishing.kit_text({"TITLE": F.col("p_name"), "DESCRIPTION": F.col("p_type"), "HASHTAGS": tags}).alias("kit"))
+
+
+@query("""WITH e AS (SELECT event_id, ['EXTRACT', 'TTS', 'VIDEO', 'ODD'][event_id % 4 + 1] AS stage, CASE WHEN event_id % 3 = 0 THEN event_id % 9 END AS ch, CASE WHEN event_id % 2 = 0 THEN 'T' || event_id END AS title, CASE event_id % 5 WHEN 0 THEN 'INTERRUPTED' WHEN 1 THEN NULL ELSE 'X' END AS code, CASE event_id % 7 WHEN 0 THEN 'TTS_CHAPTER_' || event_id % 12 WHEN 1 THEN 'VIDEO' ELSE 'k' END AS step FROM events)
+SELECT event_id, CASE WHEN ch IS NOT NULL THEN coalesce(ch + 1 || '. ' || title, 'Chapter ' || ch + 1) ELSE coalesce(CASE stage WHEN 'EXTRACT' THEN 'Reading' WHEN 'TTS' THEN 'Narration' WHEN 'VIDEO' THEN 'Video' END, 'key') END AS step,
+CASE WHEN code IS NULL THEN 'Retry' WHEN code = 'INTERRUPTED' THEN 'Resume' WHEN ch IS NOT NULL THEN 'Retry Chapter ' || ch + 1 WHEN step LIKE 'TTS_CHAPTER_%' THEN 'Retry Chapter ' || event_id % 12 WHEN step = 'VIDEO' THEN 'Retry Video' ELSE 'Retry' END AS retry FROM e""")
+def step_labels(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("event_id")
+    stage = F.element_at(F.array(*[F.lit(x) for x in ("EXTRACT", "TTS", "VIDEO", "ODD")]), (k % 4 + 1).cast("int"))
+    chapter, title = F.when(k % 3 == 0, k % 9), F.when(k % 2 == 0, F.concat(F.lit("T"), k.cast("string")))
+    code = F.when(k % 5 == 0, "INTERRUPTED").when(k % 5 > 1, "X")
+    step = F.when(k % 7 == 0, F.concat(F.lit("TTS_CHAPTER_"), (k % 12).cast("string"))).when(k % 7 == 1, "VIDEO").otherwise("k")
+    return table(spark, sf, "events").select("event_id", display.step_label(stage, chapter, title, F.lit("key")).alias("step"), display.retry_label(code, chapter, step).alias("retry"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 432.0 WHEN 2 THEN 500.0 ELSE CASE WHEN l_orderkey % 2 = 0 THEN 432.0 ELSE 612.0 END END AS width, floor(l_extendedprice / 7 * 10 + 0.5) / 10 AS x0 FROM lineitem WHERE NOT (l_orderkey % 2 = 1 AND l_linenumber = 1)""")
+def page_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    size = {p: F.array(F.lit(w), F.lit(648.0)) for p, w in ((1, 432.0), (2, 500.0))}
+    sizes = F.when(k % 2 == 0, F.create_map(F.lit(1), size[1], F.lit(2), size[2])).otherwise(F.create_map(F.lit(2), size[2]))
+    rows = table(spark, sf, "lineitem").where(~((k % 2 == 1) & (n == 1)))
+    return rows.select("l_orderkey", "l_linenumber", display.page_size(sizes, n)[0].alias("width"), display.rounded_box(F.array(F.col("l_extendedprice") / 7))[0].alias("x0"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -78,3 +78,19 @@ def event_windows(events: DataFrame, time: str, width: str, late: str, *keys: st
     timed = events.withColumn(time, F.col(time).cast("timestamp"))
     grouped = timed.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return grouped.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "n", "total")
+
+
+def jobs(spark: SparkSession, path: str, topic: str, most: int = 1) -> DataFrame:
+    """A stream of the jobs (topic, project, seq, payload) of one topic, from JSON lines that appear below ``path``.
+
+    A batch takes ``most`` files at a time. A job that fails isn't tried again by itself: its query ends with the error.
+    """
+    rows = spark.readStream.schema("topic string, project string, seq long, payload string").option("maxFilesPerTrigger", most).json(path)
+    return rows.where(F.col("topic") == topic)
+
+
+def in_order(results: DataFrame, keys: list[str], place: str, upto: int) -> DataFrame:
+    """What can be handed on of results that came out of order: each row whose predecessors (from 0) are all there, of ``upto`` in all."""
+    have = results.groupBy(*keys).agg(F.collect_set(place).alias("_have"))
+    first_gap = F.coalesce(F.array_min(F.array_except(F.sequence(F.lit(0), F.lit(upto - 1)), "_have")), F.lit(upto))
+    return results.join(have.select(*keys, first_gap.alias("_gap")), keys).where(F.col(place) < F.col("_gap")).drop("_gap")
