@@ -59,6 +59,17 @@ def test_scripts(one):
     assert one(*[wording.clean_batch_title(x) for x in texts('"A **title**"', "x " * 80)]) == ["A title", ("x " * 49).strip() + "…"]
 
 
+def test_chatter_around_scripts():
+    from quire.sources import scripts
+
+    raw = "Sure! Here are 2 scripts:\n\n## Short 1: One\n**Hook (0-3 s):** Have you heard?\nVisual: a cat\n\nBody: More of it.\n\n## Short 2: Two\nScript: Said here.\nশিরোনাম: ক\n\nLet me know if you want more!"
+    kind, items = scripts.parse_batch(raw)
+    assert kind == "sections" and [(x["title"], x["script"]) for x in items] == [("One", "Have you heard?\nMore of it."), ("ক", "Said here.")]
+    kind, items = scripts.parse_batch("Certainly, these are they:\n---\nTitle: A\nScript: one\n---\nTitle: B\nScript: two\n\nI hope these help.")
+    assert [(x["title"], x["script"]) for x in items] == [("A", "one"), ("B", "two")]
+    assert [x["script"] for x in scripts.parse_batch("A first script that stands alone.\n---\nA second one.")[1]] == ["A first script that stands alone.", "A second one."]
+
+
 def test_tags_of_shorts(one):
     tags = wording.suggested_tags(F.lit("My short"), F.array(*texts("TheAlchemist", "shorts", "paulo")), F.lit("Emma : A novel"), F.lit("Jane Austen"))
     assert one(tags)[0][:8] == ["Emma", "Emma Jane Austen", "Jane Austen", "Emma audiobook", "Emma summary", "Jane Austen books", "My short", "The Alchemist"]
