@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from quire.functions import text as t
 
 
-def nearest_rank(x: Column, p: float) -> Column:
-    """Percentile by nearest rank, round(p / 100 * (n - 1)) from 0; an aggregate over the group's values."""
-    values = F.array_sort(F.collect_list(x))
-    return F.try_element_at(values, (F.floor((F.size(values) - 1) * (p / 100) + 0.5) + 1).cast("int"))
+def nearest_ranks(rows: DataFrame, keys: list[str], value: str, percents: dict[str, float]) -> DataFrame:
+    """keys and a column for each percentile by nearest rank: the value at place round(p / 100 * (n - 1)), from 0.
+
+    Values are counted first, so a key's work is that of its distinct values.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("_run", F.sum("_n").over(order)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
+    found = [F.min(F.when(F.col("_run") > F.floor((F.col("_all") - 1) * (p / 100) + 0.5), F.col("_v"))).alias(name) for name, p in percents.items()]
+    return counts.groupBy(*keys).agg(*found)
 
 
 def median(x: Column) -> Column:

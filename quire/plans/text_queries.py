@@ -146,8 +146,9 @@ def cleaned_texts(spark: SparkSession, sf: str) -> DataFrame:
 @query(r"""SELECT book, size AS median_length, lo AS p10, hi AS p90 FROM (SELECT book, median(n) AS size, list_sort(list(n))[CAST(floor(0.1 * (count(*) - 1) + 0.5) AS INT) + 1] AS lo, list_sort(list(n))[CAST(floor(0.9 * (count(*) - 1) + 0.5) AS INT) + 1] AS hi
 FROM (SELECT book, length(text) AS n FROM (""" + LINES + ")) GROUP BY book)")
 def line_lengths(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.length("text")
-    return _lines(spark, sf).groupBy("book").agg(statistics.median(n).alias("median_length"), statistics.nearest_rank(n, 10).alias("p10"), statistics.nearest_rank(n, 90).alias("p90"))
+    rows = _lines(spark, sf).select("book", F.length("text").alias("n"))
+    middle = rows.groupBy("book").agg(statistics.median(F.col("n")).alias("median_length"))
+    return middle.join(statistics.nearest_ranks(rows, ["book"], "n", {"p10": 10, "p90": 90}), "book")
 
 
 @query(f"""WITH w AS (SELECT source, unnest({TOKENS.format('text')}) AS w FROM documents),

@@ -59,7 +59,8 @@ def claims(events: DataFrame, key: str, order: str = "seq") -> DataFrame:
 def write_latest(stream: DataFrame, keys: list[str], path: str, checkpoint: str, order: str = "seq") -> StreamingQuery:
     """Keep the current state of each key as Parquet below ``path``, a folder for each batch; the greatest batch is current.
 
-    Each batch folds its own events with the state before it. A batch that runs again writes the same folder again.
+    Each batch folds its own events with the state before it. A batch that runs again writes the same folder again; the
+    state two batches back is deleted, for nothing can ask for it any more.
     """
     schema = stream.schema
 
@@ -69,6 +70,8 @@ def write_latest(stream: DataFrame, keys: list[str], path: str, checkpoint: str,
         if number > 0:
             rows = spark.read.schema(schema).parquet(f"{path}/batch={number - 1}").unionByName(batch)
         fold(rows, keys, order).select(*schema.names).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={number - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

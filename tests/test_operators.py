@@ -59,7 +59,7 @@ def test_dehyphenate(spark, a, b, joined, hyphen, known, want):
 
 def test_statistics(spark):
     df = spark.createDataFrame([("k", float(v)) for v in (1, 2, 3, 4)], "k string, v double")
-    row = df.groupBy("k").agg(statistics.nearest_rank(F.col("v"), 50).alias("p"), statistics.median(F.col("v")).alias("m")).first()
+    row = df.groupBy("k").agg(statistics.median(F.col("v")).alias("m")).join(statistics.nearest_ranks(df, ["k"], "v", {"p": 50}), "k").first()
     assert (row["p"], row["m"]) == (3.0, 2.5)
     df = spark.createDataFrame([("k", 2, 1, 1), ("k", 1, 1, 2)], "k string, v int, w int, o int")
     assert rows(statistics.weighted_mode(df, ["k"], "v", "w", "o"), "k") == [("k", 2, 1)]
