@@ -137,7 +137,7 @@ def sentence_regions(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc", "rect", *[F.col("b")[k].alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))], "chars")
 
 
-@query()
+@query(r"""WITH l AS (SELECT source AS book, doc_id AS page, string_split(text, chr(10))[1] AS t FROM documents) SELECT book, page, -1 AS cap, 0 AS line, 'Q' || string_split(t, ' ')[1] AS joined FROM l WHERE trim(t) <> '' AND regexp_matches(t, '^[\pL"''“‘]')""")
 def drop_cap_lines(spark: SparkSession, sf: str) -> DataFrame:
     """A large first letter put before the first line of each document, and found again."""
     lines = laid_out(document_lines(table(spark, sf, "documents"))).withColumn("body", F.lit(11.0)).withColumn("size", F.lit(11.0))

@@ -464,7 +464,9 @@ def _keys(spark: SparkSession, sf: str) -> DataFrame:
     return lineage.stage_keys(table(spark, sf, "part"), ["p_partkey"], inputs)
 
 
-@query()
+@query("""WITH a AS (SELECT *, substr(sha256('v1:EXTRACT' || chr(10) || '{"i0":"","i1":' || to_json(p_name)::VARCHAR || '}'), 1, 20) AS a FROM part), b AS (SELECT *, substr(sha256('v1:TTS' || chr(10) || '{"i0":"' || a || '","i1":' || to_json(p_brand)::VARCHAR || '}'), 1, 20) AS b FROM a),
+c AS (SELECT *, substr(sha256('v1:VIDEO' || chr(10) || '{"i0":"' || b || '","i1":' || to_json(p_type)::VARCHAR || ',"i2":' || p_size || '}'), 1, 20) AS c FROM b), k AS (SELECT p_partkey, unnest(['EXTRACT', 'TTS', 'VIDEO']) AS stage, unnest([a, b, c]) AS key FROM c)
+SELECT p_partkey, stage, key, 'artifacts/' || lower(stage) || '/' || substr(key, 1, 2) || '/' || key AS path FROM k""")
 def artifact_keys(spark: SparkSession, sf: str) -> DataFrame:
     return _keys(spark, sf).withColumn("path", lineage.artifact_path("artifacts", F.col("stage"), F.col("key")))
 
