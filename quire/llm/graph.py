@@ -18,21 +18,21 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = cut(_normal(edges), "edges")
     maps: list[DataFrame] = []
-    while not now.isEmpty():
+    while n := now.count():  # read from the files' footers
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")), "hooks")
+        near = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")), "hooks", rows=2 * n)
         above = near.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-        hooks = cut(near.join(above, "up").select("node", F.col("upper").alias("label")), "hooks", done=(near,))
+        hooks = cut(near.join(above, "up").select("node", F.col("upper").alias("label")), "hooks", done=(near,), rows=2 * n)
         maps.append(hooks)
         to_a, to_b = (hooks.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
-        now = cut(_normal(now.join(to_a, "a").join(to_b, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))), "edges", done=(now,))
+        now = cut(_normal(now.join(to_a, "a").join(to_b, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))), "edges", done=(now,), rows=n)
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0)
     known = maps.pop()
     while maps:
         earlier = maps.pop()
         last = known.select(F.col("node").alias("label"), F.col("label").alias("final"))
-        known = cut(earlier.join(last, "label", "left").select("node", F.coalesce("final", "label").alias("label")), "labels", done=(earlier, known))
+        known = cut(earlier.join(last, "label", "left").select("node", F.coalesce("final", "label").alias("label")), "labels", done=(earlier, known), rows=earlier.count())
     return known
 
 

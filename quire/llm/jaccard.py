@@ -123,7 +123,7 @@ def _families(sets: DataFrame, percent: int) -> DataFrame:
     return components(edges).select(F.col("node").alias("set"), F.col("label").alias("family"))
 
 
-def _placed(members: DataFrame, percent: int) -> DataFrame:
+def _placed(members: DataFrame, percent: int, n_sets: int) -> DataFrame:
     """family, block, partners of the sets ``members`` (set, n, family, ...): where a set lies and the block pairs it is in.
 
     Blocks take the sets of a family by rising size; a size with more sets than a block holds is dealt by hash. The window
@@ -132,15 +132,15 @@ def _placed(members: DataFrame, percent: int) -> DataFrame:
     order = Window.partitionBy("family").orderBy("n")
     sizes = members.groupBy("family", "n").agg(F.count(F.lit(1)).alias("c")).withColumn("w", F.greatest(F.col("c") / BLOCK_SETS, F.col("c") * F.col("n") / BLOCK_HASHES))
     sizes = sizes.withColumn("end", F.sum("w").over(order)).withColumn("first", F.floor(F.round(F.col("end") - F.col("w"), 9)).cast("int"))
-    sizes = space.cut(sizes.withColumn("last", F.greatest("first", (F.ceil(F.round("end", 9)) - 1).cast("int"))).select("family", "n", "first", "last"), "sizes")
+    sizes = space.cut(sizes.withColumn("last", F.greatest("first", (F.ceil(F.round("end", 9)) - 1).cast("int"))).select("family", "n", "first", "last"), "sizes", rows=n_sets)
     blocks = sizes.select("family", "n", F.explode(F.sequence("first", "last")).alias("block")).groupBy("family", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    blocks = space.cut(blocks, "blocks")
+    blocks = space.cut(blocks, "blocks", rows=n_sets)
     left = blocks.select("family", F.col("block").alias("i"), "hi")
     pairs = left.join(blocks.select("family", F.col("block").alias("j"), "lo"), "family").where(f"j >= i AND lo * {percent} <= hi * 100")
     sides = pairs.select("family", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), F.struct("i", "j").alias("p"))
-    partners = space.cut(sides.groupBy("family", "block").agg(F.collect_list("p").alias("partners")), "partners", done=(blocks,))
+    partners = space.cut(sides.groupBy("family", "block").agg(F.collect_list("p").alias("partners")), "partners", done=(blocks,), rows=n_sets)
     dealt = members.join(sizes, ["family", "n"]).withColumn("block", F.col("first") + F.pmod(F.xxhash64("set"), F.col("last") - F.col("first") + 1).cast("int"))
-    return space.cut(dealt.join(partners, ["family", "block"]).drop("first", "last"), "placed", done=(sizes, partners))
+    return space.cut(dealt.join(partners, ["family", "block"]).drop("first", "last"), "placed", done=(sizes, partners), rows=n_sets)
 
 
 def _sets_of(rows: DataFrame, size: int) -> DataFrame:
@@ -267,9 +267,10 @@ def _classes(docs: DataFrame, size: int, percent: int, nulls: bool) -> tuple[Dat
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "key")).alias("rep")
     sets = described.where(takes_part).groupBy("sig").agg(rep, F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     sets = space.cut(sets.withColumn("set", F.monotonically_increasing_id()), "sets")
+    n_sets = sets.count()
     families = _families(sets.select("set", "n", "tokens"), percent)
-    members = space.cut(families.join(sets.select("set", "n", "sig", F.col("rep.key").alias("key")), "set"), "members", done=(families,))
-    placed = _placed(members, percent)
+    members = space.cut(families.join(sets.select("set", "n", "sig", F.col("rep.key").alias("key")), "set"), "members", done=(families,), rows=n_sets)
+    placed = _placed(members, percent, n_sets)
     with _filtered_joins(docs.sparkSession):
         # Equal rows have equal keys and meet in the join: one of them is enough.
         texts = own.select("key", "text").join(placed.where("n > 0"), "key").dropDuplicates(["key"])
@@ -292,9 +293,9 @@ def _classes(docs: DataFrame, size: int, percent: int, nulls: bool) -> tuple[Dat
 
         links = space.cut(paired.groupBy("family", "i", "j").applyInArrow(search, "a long, b long"), "links", done=(members, placed))
     labels = components(links).select(F.col("node").alias("set"), "label")
-    joined = space.cut(sets.select("set", "sig", "rep").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set")), "labelled", done=(sets, links))
-    smallest = space.cut(joined.groupBy("label").agg(F.min("rep").alias("best")), "smallest")
-    return described.drop("tokens"), space.cut(joined.join(smallest, "label").select("sig", "best"), "classes", done=(joined, smallest))
+    joined = space.cut(sets.select("set", "sig", "rep").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set")), "labelled", done=(sets, links), rows=n_sets)
+    smallest = space.cut(joined.groupBy("label").agg(F.min("rep").alias("best")), "smallest", rows=n_sets)
+    return described.drop("tokens"), space.cut(joined.join(smallest, "label").select("sig", "best"), "classes", done=(joined, smallest), rows=n_sets)
 
 
 def jaccard_classes(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -320,7 +321,7 @@ def keep_one(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT) ->
     described, classes = _classes(docs, size, percent, nulls=True)
     judged = described.where("n > 0").join(classes.select("sig", F.col("best.key").alias("best")), "sig")
     marks = judged.groupBy("key").agg(F.first(F.expr("key = best")).alias("stays"), F.count(F.lit(1)).alias("copies")).where("NOT stays OR copies > 1")
-    marks = space.cut(marks.withColumnRenamed("key", _KEY), "marks", done=(described, classes))
+    marks = space.cut(marks.withColumnRenamed("key", _KEY), "marks", done=(described, classes), rows=described.count())
     rows = docs.withColumn(_KEY, _row_key())
     with _filtered_joins(docs.sparkSession):
         first = space.cut(rows.join(marks.where("stays AND copies > 1").select(_KEY), _KEY, "left_semi").dropDuplicates([_KEY]), "firsts")

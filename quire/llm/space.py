@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch at most.
 BATCH_ROWS = 1000
+#: Rows of a file of a table whose size is known, and files of it at least.
+FILE_ROWS, LEAST_FILES = 500_000, 8
 #: Folders of the tables that ``cut`` wrote.
 _WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -36,16 +38,18 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str, done: tuple[DataFrame, ...] = ()) -> DataFrame:
+def cut(df: DataFrame, name: str, done: tuple[DataFrame, ...] = (), rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it again: its lineage ends there.
 
+    ``rows``: how many rows it has at most, if that is known and they are small. They are then written in as many files as
+    they need, and not one for each partition: most of these tables are small in most corpora.
     ``done`` are tables that an earlier call wrote and that nothing reads once ``df`` is written: their files are deleted.
     The driver's garbage is collected then, for Spark deletes the shuffle files of ended jobs only with their objects.
     """
     spark = df.sparkSession
     small_batches(spark)
     path = fresh_dir(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))).write.parquet(path)
     drop(*done)
     spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
