@@ -34,7 +34,9 @@ SHARD_TOKENS = 4_000_000
 #: What a piece counts for in the size of a shard, besides its tokens: so that many small pieces are no burden either.
 PIECE_COST = 50
 #: Words that a process remembers at most; beyond that it starts anew.
-_MOST_KNOWN = 150_000
+_MOST_KNOWN = 500_000
+#: Bytes of text that are tokenized at once: a word that occurs in several texts of a part is looked up once.
+PART_BYTES = 2 << 20
 _PLAIN = re.compile(rb"(?:[a-zA-Z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])+")
 #: 1: ASCII letter, 2: other ASCII, 0: what must stay with its neighbours (white space is cut in any case).
 _KIND = np.array([1 if chr(i).isalpha() else 0 if chr(i) == "'" else 2 for i in range(128)] + [0] * 128, dtype=np.uint8)
@@ -129,7 +131,7 @@ def tokenize_pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, wit
         only("words")
         own = encoder(path)
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, most=PART_BYTES):
                 ids, at = own.encode(part.column("text"))
                 n = len(at) - 1
                 out = np.full(len(ids) + n, END_ID, dtype="<u4")
