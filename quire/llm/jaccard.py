@@ -22,8 +22,9 @@ are read again; Spark filters the others before the shuffle with a Bloom filter
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -80,8 +81,14 @@ def _row_key() -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit("")))))
 
 
-def _described(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """key, doc_id, n, sig, tokens for rows (doc_id, text, key): the set's size, its signature and its hashes of the routing."""
+def routing_tokens(own: np.ndarray, percent: int) -> np.ndarray:
+    """The least hashes of a set, of which linked sets share some."""
+    n = len(own)
+    return own[: n - _needed(n, percent) + _sample(n)] if n else own
+
+
+def _described(docs: DataFrame, size: int, percent: int, tokens_of: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
+    """key, doc_id, n, sig, tokens for rows (doc_id, text, key): the set's size, its signature and what the routing takes of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
@@ -92,7 +99,7 @@ def _described(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     n = len(own)
                     counts.append(n)
                     sigs.append(signature(own))
-                    tokens.append(own[: n - _needed(n, percent) + _sample(n)] if n else own)
+                    tokens.append(tokens_of(own, percent))
                 ends = np.r_[0, np.cumsum([len(t) for t in tokens])].astype(np.int32)
                 flat = np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.uint64)
                 yield pa.RecordBatch.from_pydict({"key": part.column("key"), "doc_id": part.column("doc_id"), "n": pa.array(counts, pa.int64()), "sig": pa.array(sigs, pa.binary()), "tokens": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))})
@@ -124,28 +131,42 @@ def _families(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _placed(members: DataFrame, percent: int, n_sets: int) -> DataFrame:
-    """family, block, partners of the sets ``members`` (set, n, family, ...): where a set lies and the block pairs it is in.
+    """family, block, first, last of the sets ``members`` (set, n, family, ...): where a set lies and the blocks that its own meets.
 
-    Blocks take the sets of a family by rising size; a size with more sets than a block holds is dealt by hash. The window
-    runs over the distinct sizes of a family, not over its sets.
+    Blocks take the sets of a family by rising size; a size with more sets than a block holds is dealt by hash. So the blocks
+    that a block meets follow each other: from ``first``, the least whose greatest set isn't too small, to ``last``, the
+    greatest whose least set isn't too large. Both are looked up in one window over the distinct sizes of a family, not over
+    its sets; no pair of blocks is formed that sizes rule out.
     """
     order = Window.partitionBy("family").orderBy("n")
     sizes = members.groupBy("family", "n").agg(F.count(F.lit(1)).alias("c")).withColumn("w", F.greatest(F.col("c") / BLOCK_SETS, F.col("c") * F.col("n") / BLOCK_HASHES))
-    sizes = sizes.withColumn("end", F.sum("w").over(order)).withColumn("first", F.floor(F.round(F.col("end") - F.col("w"), 9)).cast("int"))
-    sizes = space.cut(sizes.withColumn("last", F.greatest("first", (F.ceil(F.round("end", 9)) - 1).cast("int"))).select("family", "n", "first", "last"), "sizes", rows=n_sets)
-    blocks = sizes.select("family", "n", F.explode(F.sequence("first", "last")).alias("block")).groupBy("family", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    blocks = space.cut(blocks, "blocks", rows=n_sets)
-    left = blocks.select("family", F.col("block").alias("i"), "hi")
-    pairs = left.join(blocks.select("family", F.col("block").alias("j"), "lo"), "family").where(f"j >= i AND lo * {percent} <= hi * 100")
-    sides = pairs.select("family", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), F.struct("i", "j").alias("p"))
-    partners = space.cut(sides.groupBy("family", "block").agg(F.collect_list("p").alias("partners")), "partners", done=(blocks,), rows=n_sets)
-    dealt = members.join(sizes, ["family", "n"]).withColumn("block", F.col("first") + F.pmod(F.xxhash64("set"), F.col("last") - F.col("first") + 1).cast("int"))
-    return space.cut(dealt.join(partners, ["family", "block"]).drop("first", "last"), "placed", done=(sizes, partners), rows=n_sets)
+    sizes = sizes.withColumn("end", F.sum("w").over(order)).withColumn("low", F.floor(F.round(F.col("end") - F.col("w"), 9)).cast("int"))
+    sizes = space.cut(sizes.withColumn("high", F.greatest("low", (F.ceil(F.round("end", 9)) - 1).cast("int"))).select("family", "n", "low", "high"), "sizes", rows=n_sets)
+    # Sizes n are met from ceil(n * percent / 100) to floor(n * 100 / percent).
+    least, most = F.expr(f"(n * {percent} + 99) div 100"), F.expr(f"(n * 100) div {percent}")
+    down, up = Window.partitionBy("family").orderBy("n").rangeBetween(Window.currentRow, Window.unboundedFollowing), Window.partitionBy("family").orderBy("n").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    empty = F.lit(None).cast("int")
+    asked = sizes.select("family", "n", "low", "high", empty.alias("from"), empty.alias("to"))
+    asked = asked.unionByName(sizes.select("family", least.alias("n"), empty.alias("low"), empty.alias("high"), F.col("low").alias("from"), F.col("high").alias("to")))
+    asked = asked.unionByName(sizes.select("family", most.alias("n"), empty.alias("low"), empty.alias("high"), (-1 - F.col("low")).alias("from"), F.col("high").alias("to")))
+    found = asked.withColumn("below", F.min("low").over(down)).withColumn("above", F.max("high").over(up)).where("to IS NOT NULL")
+    # A block has one row for each of its sizes: the widest reach of all of them counts.
+    reach = found.select("family", F.explode(F.sequence(F.expr("if(from < 0, -1 - from, from)"), "to")).alias("block"), F.when(F.col("from") >= 0, F.col("below")).alias("first"), F.when(F.col("from") < 0, F.col("above")).alias("last"))
+    reach = space.cut(reach.groupBy("family", "block").agg(F.min("first").alias("first"), F.max("last").alias("last")), "reach", rows=n_sets)
+    dealt = members.join(sizes, ["family", "n"]).withColumn("block", F.col("low") + F.pmod(F.xxhash64("set"), F.col("high") - F.col("low") + 1).cast("int"))
+    return space.cut(dealt.join(reach, ["family", "block"]).drop("low", "high"), "placed", done=(sizes, reach), rows=n_sets)
+
+
+def block_pairs(items: DataFrame) -> DataFrame:
+    """``items`` (family, block, first, last, set, items) once for each pair of blocks (i, j), i <= j, that its block is in."""
+    later = F.transform(F.sequence("block", "last"), lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))
+    earlier = F.when(F.col("first") < F.col("block"), F.transform(F.sequence("first", F.col("block") - 1), lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    return items.select("family", "block", "set", "items", F.explode(F.concat(later, earlier)).alias("p")).select("family", "p.i", "p.j", "block", "set", "items")
 
 
 def _sets_of(rows: DataFrame, size: int) -> DataFrame:
-    """family, block, partners, set, items (bytes of the sorted hashes), for rows (text, sig, and the others)."""
-    names = ("family", "block", "partners", "set")
+    """family, block, first, last, set, items (bytes of the sorted hashes), for rows (text, sig, and the others)."""
+    names = ("family", "block", "first", "last", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only()
@@ -156,7 +177,7 @@ def _sets_of(rows: DataFrame, size: int) -> DataFrame:
                     raise ValueError("the table of documents has changed while it was read")
                 yield pa.RecordBatch.from_pydict({c: part.column(c) for c in names} | {"items": pa.array([s.tobytes() for s in own], pa.binary())})
 
-    return rows.mapInArrow(run, "family long, block int, partners array<struct<i:int,j:int>>, set long, items binary")
+    return rows.mapInArrow(run, "family long, block int, first int, last int, set long, items binary")
 
 
 class Index:
@@ -255,27 +276,36 @@ def _filtered_joins(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(names + k, v)
 
 
-def _classes(docs: DataFrame, size: int, percent: int, nulls: bool) -> tuple[DataFrame, DataFrame]:
+@dataclass(frozen=True)
+class Method:
+    """How candidates are found: what the routing takes of a set, the families by it, and the links between two blocks of sets."""
+
+    tokens: Callable[[np.ndarray, int], np.ndarray] = routing_tokens
+    families: Callable[[DataFrame, int], DataFrame] = _families
+    forest: Callable[[list[np.ndarray], list[np.ndarray] | None, int], list[tuple[int, int]]] = forest
+
+
+def _classes(docs: DataFrame, size: int, percent: int, nulls: bool, method: Method = Method()) -> tuple[DataFrame, DataFrame]:
     """Rows (key, doc_id, n, sig) of ``docs``, and best = (lost, doc_id, key) of the class of each sig that takes part.
 
     ``best`` is the row of the class with the least doc_id; ``lost`` is true if it has none. ``nulls``: rows without a doc_id
     take part.
     """
+    linked = method.forest
     own = space.documents(docs, _row_key().alias("key"))
-    described = space.cut(_described(own, size, percent), "described")
+    described = space.cut(_described(own, size, percent, method.tokens), "described")
     takes_part = F.col("n") > 0 if nulls else (F.col("n") > 0) & F.col("doc_id").isNotNull()
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "key")).alias("rep")
     sets = described.where(takes_part).groupBy("sig").agg(rep, F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     sets = space.cut(sets.withColumn("set", F.monotonically_increasing_id()), "sets")
     n_sets = sets.count()
-    families = _families(sets.select("set", "n", "tokens"), percent)
+    families = method.families(sets.select("set", "n", "tokens"), percent)
     members = space.cut(families.join(sets.select("set", "n", "sig", F.col("rep.key").alias("key")), "set"), "members", done=(families,), rows=n_sets)
     placed = _placed(members, percent, n_sets)
     with _filtered_joins(docs.sparkSession):
         # Equal rows have equal keys and meet in the join: one of them is enough.
         texts = own.select("key", "text").join(placed.where("n > 0"), "key").dropDuplicates(["key"])
-        items = _sets_of(texts.select("text", "sig", "family", "block", "partners", "set"), size)
-        paired = items.select("family", "block", "set", "items", F.explode("partners").alias("p")).select("family", "p.i", "p.j", "block", "set", "items")
+        paired = block_pairs(_sets_of(texts.select("text", "sig", "family", "block", "first", "last", "set"), size))
 
         def search(key: tuple, table: pa.Table) -> pa.Table:
             only()
@@ -284,10 +314,10 @@ def _classes(docs: DataFrame, size: int, percent: int, nulls: bool) -> tuple[Dat
             sets = table.column("set").to_numpy()
             own = [np.frombuffer(x, dtype=np.uint64) for x in table.column("items").to_pylist()]
             if first == key[2].as_py():
-                order, found = np.arange(len(own)), forest(own, None, percent)
+                order, found = np.arange(len(own)), linked(own, None, percent)
             else:
                 lo, hi = np.flatnonzero(block == first), np.flatnonzero(block != first)
-                order, found = np.r_[lo, hi], forest([own[i] for i in lo.tolist()], [own[i] for i in hi.tolist()], percent)
+                order, found = np.r_[lo, hi], linked([own[i] for i in lo.tolist()], [own[i] for i in hi.tolist()], percent)
             ends = np.array(found, dtype=np.int64).reshape(-1, 2)
             return pa.table({"a": pa.array(sets[order[ends[:, 0]]], pa.int64()), "b": pa.array(sets[order[ends[:, 1]]], pa.int64())})
 
@@ -298,14 +328,14 @@ def _classes(docs: DataFrame, size: int, percent: int, nulls: bool) -> tuple[Dat
     return described.drop("tokens"), space.cut(joined.join(smallest, "label").select("sig", "best"), "classes", done=(joined, smallest), rows=n_sets)
 
 
-def jaccard_classes(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def jaccard_classes(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, method: Method = Method()) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     component_id is the smallest doc_id that links reach. A null or empty text, or one without words, has no shingles and
     its own doc_id. A row without a doc_id takes no part and has a null component_id. Rows with equal sets are linked,
     also those that share a doc_id.
     """
-    described, classes = _classes(docs, size, percent, nulls=False)
+    described, classes = _classes(docs, size, percent, nulls=False, method=method)
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     found = classes.select("sig", F.col("best.doc_id").alias("component_id"))
     return described.join(found, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

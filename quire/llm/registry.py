@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, jaccard, licenses, neighbours, packing, pieces, pseudonyms, quality, secrets, substrings
+from . import archives, centroids, crosstoken, hyperminhash, jaccard, licenses, neighbours, packing, pieces, pseudonyms, quality, secrets, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": licenses.op8_licenses,
     "op9_substrings": substrings.op9_substrings,
     "op10_pseudonyms": pseudonyms.op10_pseudonyms,
+    "op11_crosstoken": crosstoken.op11_crosstoken,
+    "op12_hyperminhash": hyperminhash.op12_hyperminhash,
+    "op13_centroids": centroids.op13_centroids,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_warc": archives.OP2_SQL, "op4_jaccard": jaccard.OP4_SQL, "op9_substrings": substrings.OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc": archives.OP2_SQL, "op4_jaccard": jaccard.OP4_SQL, "op9_substrings": substrings.OP9_SQL, "op12_hyperminhash": hyperminhash.OP12_SQL, "op13_centroids": centroids.OP13_SQL}
