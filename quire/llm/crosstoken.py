@@ -7,14 +7,14 @@ token overlaps; the gap after an A token is a group boundary if none of them spa
 Neither tokenizer joins anything over a space that follows a visible character (see ``cuts``), so a text's alignment is that
 of its units one after another. Each distinct unit is aligned once and remembered; a text is the sum of its units.
 
-Corpus-wide counts of id pairs are one shuffle of what each task has counted. The counted pairs are a statistic of the two
-vocabularies, and mostly few: up to MOST_PAIRS of them are broadcast, and texts are read once more. If there are more, the
-pairs of each text are written with it and joined with the counts.
+Texts are encoded once, and written with their distinct id pairs. Corpus-wide counts of pairs are one aggregate of that table;
+they are a statistic of the two vocabularies, and mostly few: up to MOST_PAIRS of them are broadcast, more are joined.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,22 +30,29 @@ from .words import chunks, flat_bytes, loaded, only, spans
 #: Pairs of ids that are broadcast at most (17 bytes each); beyond that they are joined.
 MOST_PAIRS = 4_000_000
 #: Units that a process remembers at most; beyond that it starts anew. Units that are encoded as one text.
-MOST_KNOWN, TOGETHER = 150_000, 1000
+MOST_KNOWN, TOGETHER = 300_000, 1000
 #: Bytes of texts at a time.
 PART_BYTES = 1 << 20
 
 
+def _visible(unit: bytes) -> bool:
+    """Whether a unit ends in a character after which ``cuts`` cuts; of those with several bytes, only two-byte ones are looked for."""
+    return 0x20 < unit[-1] < 0x7F or (unit[-1] >= 0x80 and 0xC3 <= unit[-2] < 0xE0)
+
+
 def cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Where units begin in the texts data[at[i]:at[i + 1]]: at spaces after a visible character, and at each text's first byte.
+    """Where units begin in the texts data[at[i]:at[i + 1]]: at spaces and line feeds after a visible character, and at each text's first byte.
 
-    Of characters with several bytes only those count whose first byte no white space has.
+    A's pattern ends a token before white space after a visible character; no piece of B goes on past a space that follows a
+    letter, nor has one a line feed (both are checked when the model is loaded). Of characters with several bytes only those
+    count whose first byte no white space has.
     """
     n = len(data)
     begin = np.zeros(n + 1, dtype=bool)
     p1, p2, p3 = (np.r_[np.zeros(k, dtype=np.uint8), data[: n - k]] if n > k else np.zeros(n, dtype=np.uint8) for k in (1, 2, 3))
     two = (p1 >= 0x80) & (p2 >= 0xC3) & (p2 < 0xE0)
     three = (p1 >= 0x80) & (p2 >= 0x80) & (p2 < 0xC0) & ((p3 >= 0xE4) | (p3 == 0xE0))
-    begin[:n] = (data == 0x20) & (((p1 > 0x20) & (p1 < 0x7F)) | two | three)
+    begin[:n] = ((data == 0x20) | (data == 0x0A)) & (((p1 > 0x20) & (p1 < 0x7F)) | two | three)
     begin[at] = True
     return np.flatnonzero(begin[:n])
 
@@ -59,8 +66,9 @@ class Aligner:
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         self.b = PieceModel(b_path)
+        if b"\n" in self.b.shown[: self.b.shown_at[-1]][np.repeat(~self.b.is_byte, np.diff(self.b.shown_at))].tobytes():
+            raise ValueError("a piece has a line feed: units are not independent in this model")
         self.overlaps = overlaps
-        self.known, self.times, self.flushed = {}, np.zeros(0, dtype=np.int64), []
         # The byte-level alphabet: visible Latin-1 characters stand for themselves, the others follow from U+0100 on.
         own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte = {chr(x): x for x in own} | {chr(0x100 + i): x for i, x in enumerate(sorted(set(range(256)) - set(own)))}
@@ -71,65 +79,51 @@ class Aligner:
         self.forget()
 
     def forget(self) -> None:
-        """Start with no known units. What has been counted of them goes to ``flushed``."""
-        if self.times.any():
-            self.flushed.append(self.taken())
+        """Start with no known units."""
         self.known: dict[bytes, int] = {}
         self.shown: list[bytes | None] = []  # groups as text; None: the tokens' bytes aren't the unit's
         self.sizes = np.zeros((0, 3), dtype=np.int64)  # A tokens, B tokens, groups
         self.pairs, self.pairs_at = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
         self._parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def count(self, units: np.ndarray) -> None:
-        """Count known units."""
-        times = np.bincount(units, minlength=len(self.known))
-        times[: len(self.times)] += self.times
-        self.times = times
-
-    def taken(self) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of the counted units and how often they are linked; counting starts anew."""
-        met = np.flatnonzero(self.times)
-        links, times = self.pairs_at[met + 1] - self.pairs_at[met], self.times[met]
-        self.times = np.zeros(0, dtype=np.int64)
-        return _counted(self.pairs[spans(self.pairs_at[met], links)], np.repeat(times, links))
-
-    def encoded(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
-        """For each text that begins with a space: A's ids and their ends, B's ids and their ends, and whether both give its bytes."""
-        out = []
-        found = self.a.encode_batch_fast(texts, add_special_tokens=False)
-        b_ids, b_of = self.b.encode(pa.array([t[1:] for t in texts], pa.large_string()), add_ids=False)
-        b_ids = b_ids.astype(np.int64)
-        for i, (text, tokens) in enumerate(zip(texts, found, strict=True)):
-            want = np.frombuffer(text.encode(), dtype=np.uint8)
-            sides, same = [], True
-            for ids, shown, at in ((np.array(tokens.ids, dtype=np.int64), self.a_shown, self.a_at), (b_ids[b_of[i] : b_of[i + 1]], self.b.shown, self.b.shown_at)):
-                width = at[ids + 1] - at[ids]
-                ends = np.cumsum(width)
-                same = same and len(ids) > 0 and ends[-1] == len(want) and bool((shown[spans(at[ids], width)] == want).all())
-                sides += [ids, ends]
-            out.append((*sides, same))
-        return out
+    def encoded(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For A and B: the ids of all texts, the bytes of each id, and the n + 1 offsets of the texts. Texts begin with a space."""
+        shown = [t.decode() for t in texts]
+        found = [x.ids for x in self.a.encode_batch_fast(shown, add_special_tokens=False)]
+        a = np.fromiter(itertools.chain.from_iterable(found), dtype=np.int64)
+        b, b_of = self.b.encode(pa.array([t[1:] for t in shown], pa.large_string()), add_ids=False)
+        b = b.astype(np.int64)
+        return [(a, self.a_at[a + 1] - self.a_at[a], np.r_[0, np.cumsum([len(x) for x in found])]), (b, self.b.shown_at[b + 1] - self.b.shown_at[b], b_of)]
 
     def learn(self, units: list[bytes]) -> None:
-        """Align units that aren't known yet."""
+        """Align units that aren't known yet. Many are encoded as one text each time: a space parts them."""
         # A unit that ends a text may end in white space; what follows would change it, so it is encoded alone.
-        joined = [u for u in units if 0x20 < u[-1] < 0x7F]
-        groups = [joined[i : i + TOGETHER] for i in range(0, len(joined), TOGETHER)] + [[u] for u in units if not 0x20 < u[-1] < 0x7F]
+        joined = [u for u in units if _visible(u)]
+        groups = [joined[i : i + TOGETHER] for i in range(0, len(joined), TOGETHER)] + [[u] for u in units if not _visible(u)]
         while groups:
-            again = []
-            for own, (a, a_end, b, b_end, same) in zip(groups, self.encoded([(b" x" + b"".join(g)).decode() for g in groups]), strict=True):
-                if same:
-                    self._add(own, a, a_end, b, b_end)
-                elif len(own) == 1:
-                    self._keep(own, [None], np.zeros((1, 3), dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64))
-                else:
-                    again += [[u] for u in own]
-            groups = again
+            texts = [b" x" + b"".join(g) for g in groups]
+            sides = self.encoded(texts)
+            good = np.ones(len(texts), dtype=bool)
+            size = np.array([len(t) for t in texts])
+            for (ids, width, of), shown, at in zip(sides, (self.a_shown, self.b.shown), (self.a_at, self.b.shown_at), strict=True):
+                total = np.r_[0, np.cumsum(width)]
+                good &= total[of[1:]] - total[of[:-1]] == size
+                for i in np.flatnonzero(good).tolist():
+                    own = ids[of[i] : of[i + 1]]
+                    good[i] = shown[spans(at[own], width[of[i] : of[i + 1]])].tobytes() == texts[i]
+            live = [np.repeat(good, np.diff(of)) for _, _, of in sides]
+            if good.any():
+                (a, a_width, _), (b, b_width, _) = sides
+                self._add([g for g, ok in zip(groups, good.tolist(), strict=True) if ok], a[live[0]], np.cumsum(a_width[live[0]]), b[live[1]], np.cumsum(b_width[live[1]]))
+            failed = [g for g, ok in zip(groups, good.tolist(), strict=True) if not ok]
+            if lost := [g[0] for g in failed if len(g) == 1]:
+                self._keep(lost, [None] * len(lost), np.zeros((len(lost), 3), dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(len(lost), dtype=np.int64))
+            groups = [half for g in failed if len(g) > 1 for half in (g[: len(g) // 2], g[len(g) // 2 :])]
         self.b.forget()
         if self._parts:
             self.sizes = np.concatenate([self.sizes, *[p[0] for p in self._parts]])
             self.pairs = np.concatenate([self.pairs, *[p[1] for p in self._parts]])
-            self.pairs_at = np.r_[0, np.cumsum(np.concatenate([np.diff(self.pairs_at), *[p[2] for p in self._parts]]))]
+            self.pairs_at = np.r_[self.pairs_at, self.pairs_at[-1] + np.cumsum(np.concatenate([p[2] for p in self._parts]))]
             self._parts = []
 
     def _keep(self, units: list[bytes], shown: list[bytes | None], sizes: np.ndarray, pairs: np.ndarray, n_pairs: np.ndarray) -> None:
@@ -137,31 +131,32 @@ class Aligner:
         self.shown += shown
         self._parts.append((sizes, pairs, n_pairs))
 
-    def _add(self, units: list[bytes], a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> None:
-        """Align the tokens of " x" and the units after it, and keep those of the units."""
+    def _add(self, groups: list[list[bytes]], a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> None:
+        """Align the tokens of all texts, " x" and the units of a group each, one after another, and keep those of the units."""
         first, last, bound = stabbed(a_end, b_end)
-        a_to, b_to = np.flatnonzero(bound) + 1, last[bound] + 1  # groups end before these tokens
+        a_to, b_to = np.flatnonzero(bound) + 1, last[bound] + 1  # groups of tokens end before these
         ends = a_end[bound]
-        unit_end = 2 + np.cumsum([len(u) for u in units])
-        stop = np.searchsorted(ends, np.r_[2, unit_end])  # the group that ends with " x", and with each unit
-        if not (stop < len(ends)).all() or not (ends[stop] == np.r_[2, unit_end]).all():
+        marks = np.cumsum([x for g in groups for x in (2, *map(len, g))])  # " x" and each unit end here
+        stop = np.searchsorted(ends, marks)
+        if not (stop < len(ends)).all() or not (ends[stop] == marks).all():
             raise ValueError("a token spans a space after a visible character: units are not independent in these tokenizers")
-        stop = stop + 1
+        unit = np.ones(len(marks), dtype=bool)
+        unit[np.r_[0, np.cumsum([len(g) + 1 for g in groups])[:-1]]] = False
+        to = np.flatnonzero(unit)
+        begin, stop = stop[to - 1] + 1, stop[to] + 1  # a unit's groups of tokens
         if self.overlaps:
             count = last - first + 1
-            code = np.repeat(a, count) << 32 | b[spans(first, count)]
-            total = np.r_[0, np.cumsum(count)]
+            code, total = np.repeat(a, count) << 32 | b[spans(first, count)], np.r_[0, np.cumsum(count)]
         else:
-            code = (a << 32 | b[last])[bound]
-            total = np.r_[0, np.cumsum(bound)]
-        a_stop, b_stop = a_to[stop - 1], b_to[stop - 1]
+            code, total = (a << 32 | b[last])[bound], np.r_[0, np.cumsum(bound)]
+        a_from, b_from = np.r_[0, a_to], np.r_[0, b_to]
+        lo, hi = total[a_from[begin]], total[a_from[stop]]
         a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        a_from, b_from = [0, *a_to.tolist()], [0, *b_to.tolist()]
-        group = [",".join(a_text[i:j]) + "|" + ",".join(b_text[k:m]) for i, j, k, m in zip(a_from[:-1], a_from[1:], b_from[:-1], b_from[1:], strict=True)]
-        stops = stop.tolist()
-        shown: list[bytes | None] = [";".join(group[i:j]).encode() for i, j in zip(stops[:-1], stops[1:], strict=True)]
-        sizes = np.stack([np.diff(a_stop), np.diff(b_stop), np.diff(stop)], axis=1)
-        self._keep(units, shown, sizes, code[total[a_stop[0]] : total[a_stop[-1]]], total[a_stop[1:]] - total[a_stop[:-1]])
+        a_at, b_at = a_from.tolist(), b_from.tolist()
+        group = [(a_text[i] if j == i + 1 else ",".join(a_text[i:j])) + "|" + (b_text[k] if m == k + 1 else ",".join(b_text[k:m])) for i, j, k, m in zip(a_at[:-1], a_at[1:], b_at[:-1], b_at[1:], strict=True)]
+        shown: list[bytes | None] = [";".join(group[i:j]).encode() for i, j in zip(begin.tolist(), stop.tolist(), strict=True)]
+        sizes = np.stack([a_from[stop] - a_from[begin], b_from[stop] - b_from[begin], stop - begin], axis=1)
+        self._keep([u for g in groups for u in g], shown, sizes, code[spans(lo, hi - lo)], hi - lo)
 
     def units_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The known units of all texts, flat, and the n + 1 offsets of the texts in them. An empty text has none."""
@@ -203,61 +198,54 @@ def aligner(a_path: str, b_path: str, overlaps: bool) -> Aligner:
     return known[name]
 
 
-def _counted(code: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes and how often each counts."""
-    order = np.argsort(code, kind="stable")
-    code = code[order]
-    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, dtype=np.int64)
-    return code[first], np.add.reduceat(times[order], first) if len(first) else first
+def _counted(text: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct codes of each text (texts rise), and how often each occurs in it."""
+    order = np.lexsort((code, text))
+    text, code = text[order], code[order]
+    first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (text[1:] != text[:-1])]) if len(code) else np.zeros(0, dtype=np.int64)
+    return text[first], code[first], np.diff(np.r_[first, len(code)]).astype(np.int64)
 
 
-def pair_counts(docs: DataFrame, a_path: str, b_path: str, overlaps: bool = False) -> DataFrame:
-    """pair (A's id << 32 | B's id), n, best (n is the most of all pairs of that B id): links of all texts. Written once."""
+def _aligned(docs: DataFrame, a_path: str, b_path: str, overlaps: bool, with_groups: bool) -> DataFrame:
+    """A row for each text: what it gives by itself, and its distinct pairs with how often it links them. Written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("aligners")
         own = aligner(a_path, b_path, overlaps)
-        own.times, own.flushed = np.zeros(0, dtype=np.int64), []
         for batch in batches:
             for part in chunks(batch, most=PART_BYTES):
                 row, at = own.units_of(part.column("text"))
-                own.count(row[np.repeat(own.usable(row, at), np.diff(at))])
-                while own.flushed:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in own.flushed.pop()], ["pair", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in own.taken()], ["pair", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+                ok = own.usable(row, at)
+                sums = np.concatenate([np.zeros((1, 3), dtype=np.int64), np.cumsum(own.sizes[row], axis=0)])
+                n_a, n_b, n_groups = (np.where(ok[:, None], sums[at[1:]] - sums[at[:-1]], 0)).T
+                shown = list(map(own.shown.__getitem__, row.tolist()))
+                texts = [b";".join(shown[i:j]) if good else None for i, j, good in zip(at[:-1].tolist(), at[1:].tolist(), ok.tolist(), strict=True)]
+                live = np.repeat(ok, np.diff(at))
+                text = np.repeat(np.arange(len(ok)), np.diff(at))[live]
+                links = (own.pairs_at[1:] - own.pairs_at[:-1])[row[live]]
+                text, code, times = _counted(np.repeat(text, links), own.pairs[spans(own.pairs_at[row[live]], links)])
+                ends = np.searchsorted(text, np.arange(len(ok) + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (code, times)]
+                columns = {"row": part.column("row"), "doc_id": part.column("doc_id"), "n_a": pa.array(n_a), "n_b": pa.array(n_b), "n_groups": pa.array(n_groups)}
+                columns["n_links"] = pa.array(np.add.reduceat(np.r_[times, 0], ends[:-1]) * (np.diff(ends) > 0) if len(ok) else times)
+                columns["groups_sha256"] = pa.array(["" if t is None else hashlib.sha256(t).hexdigest() for t in texts], pa.string())
+                if with_groups:
+                    columns["groups"] = pa.array(["" if t is None else t.decode() for t in texts], pa.string())
+                yield pa.RecordBatch.from_pydict(columns | {"pairs": lists[0], "times": lists[1]})
+
+    schema = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, " + ("groups string, " if with_groups else "") + "pairs array<long>, times array<long>"
+    return space.cut(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, schema), "aligned")
+
+
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """pair (A's id << 32 | B's id), n, best (n is the most of all pairs of that B id): links of all texts. Written once."""
+    counted = texts.select(F.explode(F.arrays_zip("pairs", "times")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.times").alias("n"))
     counted = space.cut(counted, "pair-counts")
-    b = F.col("pair").bitwiseAND(0xFFFFFFFF).alias("b")
-    best = counted.groupBy(b).agg(F.max("n").alias("most"))
+    b = F.col("pair").bitwiseAND(0xFFFFFFFF)
+    best = counted.groupBy(b.alias("b")).agg(F.max("n").alias("most"))
     return space.cut(counted.withColumn("b", b).join(best, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best")), "pairs", done=(counted,))
 
 
-_BASE = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
-
-
-def _columns(own: Aligner, part: pa.RecordBatch, with_groups: bool) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
-    """The columns that a text gives by itself; its units, their offsets, and which texts have tokens."""
-    row, at = own.units_of(part.column("text"))
-    ok = own.usable(row, at)
-    sums = np.concatenate([np.zeros((1, 3), dtype=np.int64), np.cumsum(own.sizes[row], axis=0)])
-    n_a, n_b, n_groups = (np.where(ok[:, None], sums[at[1:]] - sums[at[:-1]], 0)).T
-    links = np.r_[0, np.cumsum((own.pairs_at[1:] - own.pairs_at[:-1])[row])]
-    shown = list(map(own.shown.__getitem__, row.tolist()))
-    texts = [b";".join(shown[i:j]) if good else None for i, j, good in zip(at[:-1].tolist(), at[1:].tolist(), ok.tolist(), strict=True)]
-    columns = {
-        "doc_id": part.column("doc_id"),
-        "n_a": pa.array(n_a),
-        "n_b": pa.array(n_b),
-        "n_groups": pa.array(n_groups),
-        "n_links": pa.array(np.where(ok, links[at[1:]] - links[at[:-1]], 0)),
-        "groups_sha256": pa.array(["" if t is None else hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
-    }
-    if with_groups:
-        columns["groups"] = pa.array(["" if t is None else t.decode() for t in texts], pa.string())
-    return columns, row, at, ok
-
-
 def align(docs: DataFrame, a_path: str, b_path: str, *, overlaps: bool = False, with_groups: bool = False, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 (and groups) for each row of ``docs`` (doc_id, text).
 
@@ -269,63 +257,33 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, overlaps: bool = False,
     doesn't count in the corpus either. Each row gives a row, whatever doc_id it has or lacks. Other columns are ignored, and an
     empty table gives none. Up to ``most_pairs`` distinct id pairs are broadcast; more are joined.
     """
-    own = space.documents(docs)
-    pairs = pair_counts(own, a_path, b_path, overlaps)
+    texts = _aligned(space.documents(docs), a_path, b_path, overlaps, with_groups)
+    pairs = pair_counts(texts)
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"] + ["groups"] * with_groups
-    schema = _BASE + (", groups string" if with_groups else "")
     if pairs.count() > most_pairs:  # read from the files' footers
-        return _joined(own, pairs, a_path, b_path, overlaps, with_groups, schema).select(names)
+        links = texts.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("p")).select("row", F.col("p.pairs").alias("pair"), "p.times")
+        sums = links.join(pairs, "pair").groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
+        return texts.drop("pairs", "times").join(sums, "row", "left").na.fill(0, ["n_best", "count_sum"]).select(names)
     table = pairs.toArrow().sort_by("pair")
     sent = docs.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("pair", "n", "best")))
     space.drop(pairs)
+    kept = [c for c in names if c not in ("n_best", "count_sum")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only("aligners")
-        own = aligner(a_path, b_path, overlaps)
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         code, n, best = sent.value
         for batch in batches:
-            for part in chunks(batch, most=PART_BYTES):
-                columns, row, at, ok = _columns(own, part, with_groups)
-                met, place = np.unique(row, return_inverse=True)
-                links = own.pairs_at[met + 1] - own.pairs_at[met]
-                found = np.searchsorted(code, own.pairs[spans(own.pairs_at[met], links)])
-                found = np.minimum(found, max(len(code) - 1, 0))  # units of texts without tokens may have pairs that nothing counts
-                of = np.r_[0, np.cumsum(links)]
-                for name, values in (("n_best", best), ("count_sum", n)):
-                    total = np.r_[0, np.cumsum(values[found].astype(np.int64))] if len(code) else np.zeros(len(found) + 1, dtype=np.int64)
-                    by_unit = np.r_[0, np.cumsum((total[of[1:]] - total[of[:-1]])[place])]
-                    columns[name] = pa.array(np.where(ok, by_unit[at[1:]] - by_unit[at[:-1]], 0))
-                yield pa.RecordBatch.from_pydict(columns)
-
-    fields = schema + ", n_best long, count_sum long"
-    return own.mapInArrow(run, fields).select(names)
-
-
-def _joined(docs: DataFrame, pairs: DataFrame, a_path: str, b_path: str, overlaps: bool, with_groups: bool, schema: str) -> DataFrame:
-    """The same by a join: each text is written with its distinct pairs, and these meet the counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only("aligners")
-        own = aligner(a_path, b_path, overlaps)
-        for batch in batches:
-            for part in chunks(batch, most=PART_BYTES):
-                columns, row, at, ok = _columns(own, part, with_groups)
-                code, times, ends = [], [], [0]
-                for i, j, good in zip(at[:-1].tolist(), at[1:].tolist(), ok.tolist(), strict=True):
-                    unit, count = np.unique(row[i:j] if good else row[:0], return_counts=True)
-                    links = own.pairs_at[unit + 1] - own.pairs_at[unit]
-                    c, n = _counted(own.pairs[spans(own.pairs_at[unit], links)], np.repeat(count, links))
-                    code.append(c)
-                    times.append(n)
-                    ends.append(ends[-1] + len(c))
-                items = pa.StructArray.from_arrays([pa.array(np.concatenate(code).astype(np.int64)), pa.array(np.concatenate(times).astype(np.int64))], ["pair", "times"])
-                yield pa.RecordBatch.from_pydict(columns | {"row": part.column("row"), "pairs": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)})
-
-    fields = schema + ", row long, pairs array<struct<pair:long,times:long>>"
-    texts = space.cut(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, fields), "aligned")
-    links = texts.select("row", F.explode("pairs").alias("p")).select("row", "p.pair", "p.times")
-    sums = links.join(pairs, "pair").groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
-    return texts.drop("pairs").join(sums, "row", "left").na.fill(0, ["n_best", "count_sum"])
+            lists, times = batch.column("pairs"), batch.column("times").flatten().to_numpy()
+            size = lists.value_lengths().to_numpy()
+            found, of = np.searchsorted(code, lists.flatten().to_numpy()), np.r_[0, np.cumsum(size)]
+            columns = {c: batch.column(c) for c in kept}
+            for name, values in (("n_best", best), ("count_sum", n)):
+                total = np.r_[0, np.cumsum(values[found] * times)] if len(found) else np.zeros(1, dtype=np.int64)
+                columns[name] = pa.array(total[of[1:]] - total[of[:-1]])
+            yield pa.RecordBatch.from_pydict(columns)
+
+    kinds = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
+    return texts.drop("row").mapInArrow(looked_up, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", n_best long, count_sum long").select(names)
 
 
 def op11_crosstoken(spark: SparkSession, sf_dir: str) -> DataFrame:
