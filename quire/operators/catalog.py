@@ -78,6 +78,7 @@ FRONT_MATTER = unicodedata.normalize(
     r"|^(সূচিপত্র|সূচীপত্র|সূচি|সূচী|বিষয়সূচি|বিষয়সূচী|উৎসর্গ|প্রচ্ছদ|কৃতজ্ঞতা|কৃতজ্ঞতা স্বীকার|প্রকাশকের কথা|সর্বস্বত্ব|স্বত্ব)(?![\p{L}\p{M}])",
 )
 OPENING_TITLES = ["Opening Pages", "প্রারম্ভিক অংশ"]
+END_OF_TEXT = r"(?i)^[*]{3}\s*end of (the|this) project gutenberg"
 # End of the fixed values.
 
 
@@ -90,6 +91,12 @@ def matter(rows: DataFrame, keys: list[str], order: str, title: str) -> DataFram
     return rows.withColumn("matter", F.when(first & front, "front").when(own.rlike(BACK_MATTER), "back"))
 
 
+def without_license(paras: DataFrame, key: str, order: str) -> DataFrame:
+    """Paragraphs (key, order, text) before the line that ends a book's own text; what follows it is its license."""
+    ends = paras.where(F.trim("text").rlike(END_OF_TEXT)).groupBy(key).agg(F.min(order).alias("_end"))
+    return paras.join(ends, key, "left").where(F.col("_end").isNull() | (F.col(order) < F.col("_end"))).drop("_end")
+
+
 def plan(chapters: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
     """Chapters (doc_id, idx, title, page_end, exclude, merge, new_title) with part, kept title and reason (null: kept).
 
@@ -98,7 +105,7 @@ def plan(chapters: DataFrame, first: int | None = None, last: int | None = None)
     """
     book = Window.partitionBy("doc_id")
     tail = book.orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
-    matter = F.trim("title").rlike(BACK_MATTER) & ~F.coalesce(F.col("exclude") == False, F.lit(False))  # noqa: E712
+    matter = F.trim(nfc(F.col("title"))).rlike(BACK_MATTER) & ~F.coalesce(F.col("exclude") == False, F.lit(False))  # noqa: E712
     rows = chapters.withColumn("_back", matter).withColumn("_tail", F.min(F.col("_back").cast("int")).over(tail) == 1)
     rows = rows.withColumn("_tail", F.col("_tail") & (F.col("idx") != F.min("idx").over(book)))
     rows = rows.withColumn("_in", ~F.col("_tail") & ~F.coalesce("exclude", F.lit(False)))

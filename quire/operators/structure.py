@@ -1,373 +1,19 @@
-"""Structure of printed books: paragraphs from lines, chapters from paragraphs, regions from words. One book is one group."""
+"""Structure of printed books: paragraphs from lines, chapters from paragraphs, regions from words."""
 
 from __future__ import annotations
 
-import math
-import re
-import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
-import regex
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from quire.operators.furniture import COMPOUND_PREFIXES, STRONG_PREFIXES
+from quire.operators.chapters import candidates, chapters, section_openings
+from quire.operators.paragraphs import paragraphs
+from quire.operators.regions import line_regions, located, sentences, word_parts
 
-# The words and forms by which books mark chapters, in the languages that have rules of their own.
-_NUMBER_WORDS = "one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty"
-NUMBER = rf"(\d{{1,3}}|[ivxlcdm]{{1,7}}|(?:{_NUMBER_WORDS})(?:[\s-](?:{_NUMBER_WORDS}))?)"
-_BN_END = r"(?![\p{L}\p{M}])"
-_BN_UNIT = "(?:অধ্যায়|পরিচ্ছেদ|পর্ব|খণ্ড|খন্ড|ভাগ|সর্গ|অঙ্ক|প্রকরণ)"
-_BN_ORDINAL = "(?:প্রথম|দ্বিতীয়|তৃতীয়|চতুর্থ|পঞ্চম|ষষ্ঠ|সপ্তম|অষ্টম|নবম|দশম|একাদশ|দ্বাদশ|ত্রয়োদশ|চতুর্দশ|পঞ্চদশ|ষোড়শ|সপ্তদশ|অষ্টাদশ|ঊনবিংশ|বিংশ|একবিংশ|দ্বাবিংশ|ত্রয়োবিংশ|চতুর্বিংশ|পঞ্চবিংশ|শেষ)"
-_BN_NUMBER_WORDS = "(?:এক|দুই|তিন|চার|পাঁচ|ছয়|সাত|আট|নয়|দশ|এগারো|বারো|তেরো|চোদ্দো|চৌদ্দ|পনেরো|ষোলো|সতেরো|আঠারো|উনিশ|বিশ)"
-_BN_NUMBER = rf"(?:[০-৯\d]{{1,3}}(?:ম|য়|র্থ|ষ্ঠ|শ|তম)?|{_BN_NUMBER_WORDS}{_BN_END})"
-_BN_MARKER = rf"(?:{_BN_UNIT}\s*[-–—:ঃ]?\s*{_BN_NUMBER}|(?:{_BN_ORDINAL}|{_BN_NUMBER})\s*{_BN_UNIT}{_BN_END})"
-_BN_NAMED = rf"(?:ভূমিকা|মুখবন্ধ|প্রস্তাবনা|প্রাক্কথন|প্রাককথন|উপক্রমণিকা|সূচনা|নিবেদন|লেখকের কথা|উপসংহার|পরিশিষ্ট|শেষকথা|শেষ কথা|পূর্বকথা|প্রসঙ্গকথা){_BN_END}"
-_CHAPTERS = [
-    rf"^(chapter|chap\.?|kapitel|chapitre|capítulo)\s+{NUMBER}\b",
-    rf"^(part|book|section)\s+{NUMBER}\b",
-    r"^(prologue|epilogue|introduction|preface|foreword|afterword|conclusion|acknowledg(e)?ments|appendix(\s+[a-z0-9]+)?|interlude|postscript)\b",
-    rf"^{_BN_MARKER}",
-    rf"^{_BN_NAMED}",
-]
-_MARKERS = [rf"^((chapter|chap\.?)\s*|(part|book)\s+){NUMBER}\s*[.:]?$", rf"^{_BN_MARKER}\s*[.:।]?$"]
-_NUMBERED = r"^(\d{1,2})(\.|\s|:)\s*\p{Lu}[^.!?]{1,80}$|^([০-৯]{1,2}|\d{1,2})[.:।)]?\s*(?=\p{L})\p{Script=Bengali}[^।!?]{1,80}$"
-# End of the fixed values.
-
-
-def _nfc(text: str) -> str:
-    return unicodedata.normalize("NFC", text)
-
-
-PATTERNS = [regex.compile(_nfc(p), regex.IGNORECASE) for p in _CHAPTERS]
-MARKER_LINES = [regex.compile(_nfc(p), regex.IGNORECASE) for p in _MARKERS]
-NUMBERED_HEADING = regex.compile(_NUMBERED)
-
-
-def names_chapter(text: str) -> bool:
-    """Whether a text begins as the headings of chapters do."""
-    return any(p.search(_nfc(text)) for p in PATTERNS)
-
-
-def is_marker(text: str) -> bool:
-    """Whether a line is nothing but the marker of a chapter."""
-    return any(p.search(_nfc(text.strip())) for p in MARKER_LINES)
-
-
-_TERMINAL = regex.compile(r"""[.!?…।॥]["'”’)\]]*$""")
-_LOWER = regex.compile(r"""^["'“‘(\[]?\p{Ll}""")
-_LIST_ITEM = re.compile(r"^([•◦▪‣∙·●○■□*–]|\(?(\d{1,2}|[a-z]|[ivx]{1,4})[.)])$")
-
-
-def nearest_rank(values: np.ndarray, p: float) -> float:
-    s = np.sort(values)
-    return float(s[min(len(s) - 1, max(0, math.floor(p / 100 * (len(s) - 1) + 0.5)))]) if len(s) else 0.0
-
-
-def page_stats(lines: pd.DataFrame, body: float) -> tuple[float, float, float]:
-    """(left, right, gap) of a page's text: percentiles of the edges, and the median distance of neighbouring lines."""
-    own = lines[(lines["size"] - body).abs() <= 1]
-    own = own if len(own) >= 3 else lines
-    gaps = (own["y0"].to_numpy()[1:] - own["y1"].to_numpy()[:-1]) if len(own) > 1 else np.zeros(0)
-    gaps = np.maximum(0, gaps[(gaps > -0.5 * body) & (gaps < 2 * body)])
-    return nearest_rank(own["x0"].to_numpy(), 10), nearest_rank(own["x1"].to_numpy(), 90), float(np.median(gaps)) if len(gaps) else 0.3 * body
-
-
-class _Open:
-    """The paragraph that lines are being added to."""
-
-    def __init__(self, number: int, kind: str, first: object) -> None:
-        self.number, self.kind, self.first, self.lines = number, kind, first, 1
-
-
-def _breaks(line: object, before: object, now: _Open, kind: str, stats: dict, body: float) -> bool:
-    """Whether ``line`` begins a new paragraph after ``before``, of the same kind."""
-    left, right, gap = stats[line.page]
-    jump = abs(line.size - before.size) > max(0.8, 0.1 * body)
-    if kind == "heading":
-        return abs(line.size - now.first.size) > 0.6 or line.page != before.page or line.y0 - before.y1 > 1.6 * line.size
-    ended = bool(_TERMINAL.search(before.text)) or before.text.endswith((":", '"', "”"))
-    low = bool(_LOWER.search(line.text))
-    indent, indent_before = line.x0 - left, before.x0 - stats[before.page][0]
-    deep = 0.8 * body < indent < 8 * body and abs(line.x0 - before.x0) > 0.5 * body
-    item = _LIST_ITEM.match((now.first.text.split() or [""])[0]) is not None
-    hangs = line.x0 > before.x0 and (item or (low and not ended))
-    indented = deep and not hangs
-    again = now.lines == 1 and ended and 0.8 * body < indent_before < 8 * body and abs(indent - indent_before) <= 0.5 * body and not low
-    short = before.x1 < (stats[line.page][1]) - 2.5 * body
-    if line.page != before.page:
-        return jump or (ended and (indented or short or again) and not low)
-    if line.y0 < before.y0 - body:  # the next column
-        return jump or (ended and (indented or short))
-    return jump or line.y0 - before.y1 > gap + 0.45 * body or indented or again or (short and ended)
-
-
-def paragraph_numbers(lines: pd.DataFrame, body: float) -> Iterator[tuple[int, str]]:
-    """(paragraph, kind) of each line (page, line_no order; x0, y0, x1, y1, size, bold, text)."""
-    stats = {p: page_stats(rows, body) for p, rows in lines.groupby("page", sort=False)}
-    size = lines["text"].str.len()
-    bold_body = bool(size.sum()) and size[lines["bold"]].sum() / size.sum() > 0.5
-    now: _Open | None = None
-    before = None
-    for line in lines.itertuples():
-        marker = is_marker(line.text)
-        loud = line.bold and not bold_body and len(line.text.split()) <= 14 and not line.text.endswith((",", ";")) and not _TERMINAL.search(line.text)
-        kind = "heading" if marker or line.size >= 1.18 * body or loud else "body"
-        if now is None or now.kind != kind or marker or is_marker(before.text) or _breaks(line, before, now, kind, stats, body):
-            now = _Open(0 if now is None else now.number + 1, kind, line)
-        else:
-            now.lines += 1
-        before = line
-        yield now.number, kind
-
-
-_BROKEN = regex.compile(r"[\p{L}\p{M}][-\u2010\u2011\u00AD]$")
-_AUTO = regex.compile(r"[\p{L}\p{M}]\u2010$")
-_EDGES = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{M}\p{N}]+$")
-
-
-def word_key(word: str) -> str:
-    return _EDGES.sub("", word.lower())
-
-
-def whole_words(lines: list[list[str]]) -> set[str]:
-    """Words that are printed whole: neither the last of a broken line nor the first of the next."""
-    out, broken = set(), False
-    for tokens in lines:
-        if not tokens:
-            continue
-        ends = _BROKEN.search(tokens[-1]) is not None
-        out |= {word_key(w) for w in tokens[1 if broken else 0 : len(tokens) - (1 if ends else 0)]}
-        broken = ends
-    return out - {""}
-
-
-def rejoined(a: str, b: str, known: set[str], auto: str | None) -> str | None:
-    """How the two parts of a word at a line break read together; None: they are two words."""
-    if len(a) < 2 or not _BROKEN.search(a):
-        return None
-    stem = a[:-1]
-    together, apart = stem + b, f"{stem}-{b}"
-    if a.endswith("\u00AD"):
-        return together
-    if auto:
-        return together if a.endswith(auto) else apart
-    letter = regex.search(r"\p{L}", b)
-    if letter and letter[0].lower() == letter[0].upper():
-        return together if word_key(together) in known and word_key(apart) not in known else apart
-    if not _LOWER.search(b):
-        return apart
-    if word_key(together) in known:
-        return together
-    last = word_key(regex.split(r"[-\u2010\u2011]", stem)[-1])
-    hyphenated = word_key(apart) in known or last in STRONG_PREFIXES or (last in COMPOUND_PREFIXES and word_key(b) in known)
-    return apart if hyphenated else together
-
-
-def joined_lines(lines: list[str], known: set[str], auto: str | None) -> str:
-    """The text of a paragraph's lines, words broken at line ends put together."""
-    out: list[str] = []
-    for line in lines:
-        tokens = line.split()
-        if out and tokens and (one := rejoined(out[-1], tokens[0], known, auto)) is not None:
-            out[-1:] = [one]
-            tokens = tokens[1:]
-        out += tokens
-    return " ".join(out)
-
-
-def paragraphs(lines: DataFrame) -> DataFrame:
-    """book, para, kind, page_start, page_end, lines, size, text for lines (book, page, line_no, x0, y0, x1, y1, size, bold, body, text).
-
-    Words that a line break divides are put together by what the book prints elsewhere, or by its own mark of automatic
-    breaks, if three lines or more end with it.
-    """
-    schema = "book string, para int, kind string, page_start long, page_end long, lines long, size double, text string"
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["page", "line_no"], ignore_index=True)
-        tokens = [t.split() for t in rows["text"]]
-        known = whole_words(tokens)
-        auto = "\u2010" if sum(bool(t) and _AUTO.search(t[-1]) is not None for t in tokens) >= 3 else None
-        numbers = list(paragraph_numbers(rows, float(rows["body"].iloc[0])))
-        rows = rows.assign(para=[n for n, _ in numbers], kind=[k for _, k in numbers])
-        grouped = rows.groupby("para", sort=True)
-        out = grouped.agg(book=("book", "first"), kind=("kind", "first"), page_start=("page", "min"), page_end=("page", "max"), lines=("text", "size"), size=("size", "first")).reset_index()
-        out["text"] = [joined_lines(t, known, auto) for t in grouped["text"].agg(list)]
-        return out[["book", "para", "kind", "page_start", "page_end", "lines", "size", "text"]]
-
-    return lines.groupBy("book").applyInPandas(run, schema)
-
-
-def _bare_words(text: str) -> set[str]:
-    return set(regex.sub(r"[^\p{L}\p{M}\p{N}]+", " ", _nfc(text).lower()).split())
-
-
-def outline_starts(texts: list[str], pages: list[int], outline: list[tuple[int, int, str]]) -> list[tuple[int, str]]:
-    """(paragraph, title) for the entries (level, page, title) of a book's outline, each after the one before.
-
-    Entries of the first level count; of the second, if the first has fewer than three and the second three or more. An
-    entry's paragraph is the first short one on its page that shares three fifths of the words of the shorter of the two, else
-    the first that begins on its page or later.
-    """
-    def of_level(n: int) -> list[tuple[int, int, str]]:
-        return [e for e in outline if e[0] == n and e[1] > 0]
-
-    level = 2 if len(of_level(1)) < 3 <= len(of_level(2)) else 1
-    found: list[tuple[int, str]] = []
-    at = 0
-    for _, page, title in of_level(level):
-        want = _bare_words(title)
-        if not title.strip():
-            continue
-        near = (i for i in range(at, len(texts)) if pages[i] == page and len(texts[i].split()) <= 25)
-        place = next((i for i in near if want and (have := _bare_words(texts[i])) and len(want & have) >= 0.6 * min(len(want), len(have))), None)
-        if place is None:
-            place = next((i for i in range(at, len(texts)) if pages[i] >= page), None)
-        if place is not None:
-            found.append((place, title.strip()))
-            at = place + 1
-    return found
-
-
-def _titled(texts: list[str], kinds: list[str], pages: list[int], i: int) -> str:
-    """A heading's text, with that of a subtitle right after it."""
-    k = i + 1
-    if k < len(texts) and kinds[k] == "heading" and pages[k] == pages[i] and len(texts[k].split()) <= 14 and not names_chapter(texts[k]):
-        return texts[i] + (" " if texts[i].endswith((":", ".", "—", "-", "ঃ", "।")) else ": ") + texts[k]
-    return texts[i]
-
-
-def _starts(rows: pd.DataFrame, outline: list[tuple[int, int, str]] = ()) -> tuple[list[tuple[int, str]], str, bool]:
-    """(place, title) of the paragraphs that begin chapters, by what they were found, and whether that is doubtful."""
-    texts, kinds, pages = rows["text"].tolist(), rows["kind"].tolist(), rows["page_start"].tolist()
-    if sum(page > 0 for _, page, _ in outline) >= 2 and len(listed := outline_starts(texts, pages, outline)) >= 2:
-        return listed, "toc", False
-    n = len(texts)
-    short = [len(t.split()) <= 16 for t in texts]
-    marked, named = [is_marker(t) for t in texts], [names_chapter(t) for t in texts]
-    first = [i == 0 or rows["page_end"].iloc[i - 1] != pages[i] for i in range(n)]
-    found: list[int] = []
-    for i in range(n):
-        clear = (marked[i] or named[i]) and (kinds[i] == "heading" or first[i] or marked[i])
-        if not short[i] or not (clear or (kinds[i] == "heading" and NUMBERED_HEADING.search(texts[i]))):
-            continue
-        if found and found[-1] == i - 1 and not marked[i] and not named[i]:
-            continue  # a subtitle is no chapter
-        found.append(i)
-    # Three or more with next to nothing between them on one page are a table of contents.
-    runs: list[list[int]] = []
-    for i in found:
-        if runs and pages[runs[-1][0]] == pages[i] and i - runs[-1][-1] <= 2:
-            runs[-1].append(i)
-        else:
-            runs.append([i])
-    found = [i for run in runs if len(run) < 3 for i in run]
-    sizes: dict[int, list[int]] = {}
-    for i in range(n):
-        if kinds[i] == "heading" and short[i]:
-            sizes.setdefault(math.floor(rows["size"].iloc[i] + 0.5), []).append(i)
-    large = next((sizes[s] for s in sorted(sizes, reverse=True) if 2 <= len(sizes[s]) <= max(2, n / 4)), [])
-    body = float(rows.loc[rows["kind"] == "body", "size"].median()) if "body" in kinds else 0.0
-    maybe = sum(short[i] and (kinds[i] == "heading" or rows["size"].iloc[i] > 1.05 * body > 0) for i in range(n))
-    if 2 <= len(found) <= max(2, n / 3):
-        return [(i, _titled(texts, kinds, pages, i)) for i in found], "pattern", bool(large) and abs(len(large) - len(found)) > max(3, len(found))
-    if large:
-        return [(i, _titled(texts, kinds, pages, i)) for i in large], "font", len(large) > 80 or maybe > 3 * len(large)
-    return [], "fallback", maybe >= 2
-
-
-def _sections(rows: pd.DataFrame, pages: int) -> list[int]:
-    """Places at which sections of about ``pages`` pages begin, after body text."""
-    out, due = [0], int(rows["page_start"].iloc[0]) + pages
-    for i in range(1, len(rows)):
-        if rows["page_start"].iloc[i] >= due and rows["kind"].iloc[i - 1] == "body":
-            out.append(i)
-            due = int(rows["page_start"].iloc[i]) + pages
-    return out
-
-
-def chapters(paras: DataFrame, outline: DataFrame | None = None, pages_per_section: int = 12) -> DataFrame:
-    """book, idx, title, para_start, para_end (exclusive), page_start, page_end, source, ambiguous.
-
-    Chapters come from the book's outline (book, n, level, page, title), if one is given and leads to two or more, else from
-    patterns, else from sizes of headings, else from sections of about ``pages_per_section`` pages.
-    """
-    schema = "book string, idx int, title string, para_start int, para_end int, page_start long, page_end long, source string, ambiguous boolean"
-
-    def made(rows: pd.DataFrame, entries: list[tuple[int, int, str]]) -> pd.DataFrame:
-        rows = rows.sort_values("para", ignore_index=True)
-        found, source, doubtful = _starts(rows, entries)
-        starts, titles = [i for i, _ in found], [title for _, title in found]
-        if not starts:
-            starts = _sections(rows, pages_per_section)
-            titles = [f"Part {k + 1}" for k in range(len(starts))]
-        if starts[0] > 0:
-            starts, titles = [0, *starts], ["Opening Pages", *titles]
-        ends = [*starts[1:], len(rows)]
-        return pd.DataFrame(
-            {
-                "book": rows["book"].iloc[0],
-                "idx": range(len(starts)),
-                "title": titles,
-                "para_start": [int(rows["para"].iloc[i]) for i in starts],
-                "para_end": [int(rows["para"].iloc[e - 1]) + 1 for e in ends],
-                "page_start": [int(rows["page_start"].iloc[i]) for i in starts],
-                "page_end": [int(rows["page_end"].iloc[s:e].max()) for s, e in zip(starts, ends, strict=True)],
-                "source": source,
-                "ambiguous": doubtful,
-            }
-        )
-
-    if outline is None:
-        return paras.groupBy("book").applyInPandas(lambda rows: made(rows, []), schema)
-
-    def both(rows: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame(columns=["book", "idx", "title", "para_start", "para_end", "page_start", "page_end", "source", "ambiguous"])
-        entries = entries.sort_values("n")
-        return made(rows, list(zip(entries["level"].tolist(), entries["page"].tolist(), entries["title"].tolist(), strict=True)))
-
-    return paras.groupBy("book").cogroup(outline.groupBy("book")).applyInPandas(both, schema)
+__all__ = ["candidates", "chapters", "fold", "line_regions", "located", "paragraphs", "section_openings", "sentences", "word_parts"]
 
 
 def fold(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``step`` on each group in order: for scans that carry state from row to row."""
+    """``step`` on each group in order: for scans of small groups that carry state from row to row."""
     return rows.groupBy(*keys).applyInPandas(lambda pdf: step(pdf.sort_values(order, ignore_index=True)), schema)
-
-
-def line_regions(words: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, page, rects, chars: one box for each printed line of a range of words (word_no, page, x0, y0, x1, y1, t)."""
-    kinds = {f.name: f.dataType.simpleString() for f in words.schema.fields}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", page long, rects array<array<double>>, chars int"
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for page, own in rows.groupby("page"):
-            boxes: list[list[float]] = []
-            for w in own.itertuples():
-                h = w.y1 - w.y0
-                if boxes:
-                    b = boxes[-1]
-                    level = abs((b[1] + b[3]) / 2 - (w.y0 + w.y1) / 2) < max(2.0, h / 2)
-                    if level and w.x0 >= b[0] - h and w.x0 - b[2] < 3 * h:
-                        boxes[-1] = [min(b[0], w.x0), min(b[1], w.y0), max(b[2], w.x1), max(b[3], w.y1)]
-                        continue
-                boxes.append([w.x0, w.y0, w.x1, w.y1])
-            rounded = [[math.floor(v * 100 + 0.5) / 100 for v in b] for b in boxes]
-            out.append({k: rows[k].iloc[0] for k in keys} | {"page": page, "rects": rounded, "chars": int(own["t"].str.len().sum())})
-        return pd.DataFrame(out)
-
-    return fold(words, keys, ["page", "word_no"], run, schema)
-
-
-def section_openings(paras: DataFrame) -> DataFrame:
-    """Paragraphs that open a section: body text with a heading among the three before, and only short ones between."""
-    w = Window.partitionBy("book").orderBy("para")
-    kind = [F.lag("kind", k).over(w) for k in (1, 2, 3)]
-    size = [F.size(F.split(F.lag("text", k).over(w), r"\s+")) for k in (1, 2, 3)]
-    head = [F.coalesce(k == "heading", F.lit(False)) for k in kind]
-    brief = [F.coalesce(s <= 12, F.lit(False)) for s in size]
-    return paras.withColumn("_opens", head[0] | (brief[0] & (head[1] | (brief[1] & head[2])))).where("kind = 'body' AND _opens").drop("_opens")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import publishing as p
 from quire.functions import sequences as q
 from quire.functions import text as t
 from quire.functions.times import rounded
-from quire.operators import layout, statistics, structure
+from quire.operators import layout, regions, statistics, structure
 from quire.plans.registry import query
 from quire.plans.table_queries import BOXES, _boxes
 from quire.sources.tables import document_lines, laid_out, table
@@ -143,3 +143,59 @@ def drop_cap_lines(spark: SparkSession, sf: str) -> DataFrame:
     lines = laid_out(document_lines(table(spark, sf, "documents"))).withColumn("body", F.lit(11.0)).withColumn("size", F.lit(11.0))
     caps = lines.where("line_no = 0").select("book", "page", F.lit(-1).alias("line_no"), F.lit("Q").alias("text"), (F.col("x0") - 20).alias("x0"), F.col("y0"), (F.col("x0") - 2).alias("x1"), (F.col("y0") + 30).alias("y1"), F.lit(30.0).alias("size"), F.col("height"), F.col("body"))
     return layout.drop_caps(lines.unionByName(caps), ["book", "page"])
+
+
+@query(r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w FROM documents), k AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS k FROM d),
+p AS (SELECT doc_id, k, t, k // 10 AS line, 54.0 + k % 10 * 30 AS x0, 82.0 + k % 10 * 30 AS x1, CASE WHEN k % 40 = 9 THEN length(t) / 2 ELSE length(t) END AS c FROM k UNION ALL SELECT doc_id, k, t, k // 10 + 1, 30.0, 52.0, length(t) / 2 FROM k WHERE k % 40 = 9),
+r AS (SELECT doc_id, k // 25 AS span, line // 30 + 1 AS page, line, min(x0) AS x0, max(x1) AS x1, 20.0 + line % 30 * 15 AS y0, sum(c) AS c FROM p GROUP BY 1, 2, 3, 4)
+SELECT doc_id, span, page, row_number() OVER (PARTITION BY doc_id, span, page ORDER BY line) - 1 AS rect, x0, y0, x1, y0 + 11 AS y1, CAST(floor(sum(c) OVER (PARTITION BY doc_id, span, page) + 0.5) AS INT) AS chars FROM r""")
+def span_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Stretches of 25 words of each document, as characters, and where they stand; each 40th word is divided over two lines, some over two pages."""
+    words = F.split(F.btrim("text", F.lit(" \t\n\r\f\v")), r"[\x09-\x0D\x20]+")
+    docs = table(spark, sf, "documents").where(F.col("text").rlike(r"[^\x09-\x0D\x20]")).select("doc_id", words.alias("w"))
+
+    def part(line: Column, x0: Column, x1: Column) -> Column:
+        y = 20.0 + line % 30 * 15
+        return F.struct((F.floor(line / 30) + 1).alias("page"), x0.cast("double").alias("x0"), y.alias("y0"), x1.cast("double").alias("x1"), (y + 11).alias("y1"))
+
+    def token(t: Column, k: Column) -> Column:
+        line, x = F.floor(k / 10), 54.0 + k % 10 * 30
+        own = part(line, x, x + 28)
+        return F.struct(t.alias("t"), F.when(k % 40 == 9, F.array(own, part(line + 1, F.lit(30.0), F.lit(52.0)))).otherwise(F.array(own)).alias("parts"))
+
+    docs = docs.select("doc_id", F.array_join("w", " ").alias("text"), F.transform("w", token).alias("tokens"), F.col("w"), F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 25).cast("int"))).alias("span"))
+    start = F.when(F.col("span") > 0, F.length(F.array_join(F.slice("w", F.lit(1), F.col("span") * 25), " ")) + 1).otherwise(0)
+    end = F.length(F.array_join(F.slice("w", F.lit(1), F.least(F.size("w"), (F.col("span") + 1) * 25)), " "))
+    found = regions.located(docs, regions.tokens_between(F.col("text"), F.col("tokens"), start, end)).select("doc_id", "span", F.explode("regions").alias("r"))
+    rects = found.select("doc_id", "span", "r.page", "r.chars", F.posexplode("r.rects").alias("rect", "b"))
+    return rects.select("doc_id", "span", "page", "rect", *[F.col("b")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))], "chars")
+
+
+def _boxed_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    lines = laid_out(document_lines(table(spark, sf, "documents"))).withColumn("bold", F.lit(False)).withColumn("body", F.lit(11.0))
+    box = lambda w, i: F.struct((F.col("x0") + i * 20).alias("x0"), "y0", (F.col("x0") + i * 20 + 18).alias("x1"), "y1")
+    return structure.paragraphs(lines.withColumn("boxes", F.transform(t.tokens(F.col("text")), box)))
+
+
+@query()
+def book_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """The sentences of all books with their boxes by page: lines, paragraphs, broken words, sentences, regions."""
+    found = structure.sentences(_boxed_paragraphs(spark, sf))
+    return found.select("book", "para", "sentence", "text", F.size("tokens").alias("words"), F.explode("regions").alias("r")).select("book", "para", "sentence", "text", "words", "r.page", "r.rects", "r.chars")
+
+
+@query(r"""WITH l AS (SELECT source AS book, doc_id AS page, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents), p AS (SELECT book, page, text, row_number() OVER (PARTITION BY book ORDER BY page, line_no) - 1 AS para FROM l WHERE trim(text) <> ''),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS tok, list_distinct(list_filter(string_split(regexp_replace(lower(nfc_normalize(text)), '[^\pL\pM\pN]+', ' ', 'g'), ' '), lambda x: x <> '')) AS bare FROM p),
+e AS (SELECT source AS book, doc_id AS page, trim(string_split(text, chr(10))[1]) AS title, list_distinct(list_filter(string_split(regexp_replace(lower(nfc_normalize(string_split(text, chr(10))[1])), '[^\pL\pM\pN]+', ' ', 'g'), ' '), lambda x: x <> '')) AS want FROM documents WHERE doc_id % 3 = 0),
+g AS (SELECT book FROM e GROUP BY 1 HAVING count(*) >= 2), f AS (SELECT * FROM e WHERE title <> ''),
+m AS (SELECT f.book, f.page, f.title, coalesce(min(w.para) FILTER (w.page = f.page AND len(w.tok) <= 25 AND len(w.bare) > 0 AND len(f.want) > 0 AND len(list_intersect(w.bare, f.want)) >= 0.6 * least(len(w.bare), len(f.want))), min(w.para) FILTER (w.page >= f.page)) AS para FROM f JOIN w ON w.book = f.book WHERE f.book IN (SELECT book FROM g) GROUP BY 1, 2, 3),
+s AS (SELECT book, para, title FROM m WHERE para IS NOT NULL UNION ALL SELECT book, 0, 'Opening Pages' FROM m GROUP BY book HAVING min(para) > 0)
+SELECT book, row_number() OVER (PARTITION BY book ORDER BY para) - 1 AS idx, title, para AS para_start, 'toc' AS source FROM s""")
+def outline_chapters(spark: SparkSession, sf: str) -> DataFrame:
+    """Chapters of books whose outline names the first line of each third document."""
+    docs = table(spark, sf, "documents")
+    lines = document_lines(docs).select("book", "page", "line_no", "text")
+    order = Window.partitionBy("book").orderBy("page", "line_no")
+    paras = lines.select("book", (F.row_number().over(order) - 1).alias("para"), F.lit("body").alias("kind"), F.col("page").alias("page_start"), F.col("page").alias("page_end"), F.lit(11.0).alias("size"), "text")
+    outline = docs.where("doc_id % 3 = 0").select(F.col("source").alias("book"), F.col("doc_id").alias("n"), F.lit(1).alias("level"), F.col("doc_id").alias("page"), F.substring_index("text", "\n", 1).alias("title"))
+    return structure.chapters(paras, outline).where("source = 'toc'").select("book", "idx", "title", "para_start", "source")

@@ -272,7 +272,7 @@ def _paragraphs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def book_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
-    return _paragraphs(spark, sf)
+    return _paragraphs(spark, sf).drop("bold")
 
 
 @query()

@@ -146,12 +146,95 @@ def test_crash_and_staleness(spark):
 # --- structure and timelines ----------------------------------------------------------------------------------------------
 
 
-def test_broken_words_are_joined():
-    known = {"revolution", "well-known", "in", "part", "time"}
-    cases = [("Revolu-", "tion", "Revolution"), ("well-", "known", "well-known"), ("anti-", "American", "anti-American"), ("self-", "made", "self-made"), ("leave-", "taking", "leavetaking"), ("so­", "ft", "soft"), ("part-", "time", "parttime"), ("- ", "x", None), ("plain", "word", None)]
-    assert [structure.rejoined(a, b, known, None) for a, b, _ in cases] == [want for *_, want in cases]
-    assert structure.rejoined("in‐", "side", known, "‐") == "inside" and structure.rejoined("old-", "time", known, "‐") == "old-time"
-    assert structure.joined_lines(["the Revolu-", "tion was", "well-", "known"], known, None) == "the Revolution was well-known"
+def _page(book, page, words_of_lines, **more):
+    """Lines of one page, 15 points each, with a box for each word."""
+    out = []
+    for n, (x0, text) in enumerate(words_of_lines):
+        y = 20.0 + 15 * n
+        boxes = [(x0 + 40 * k, y, x0 + 40 * k + 36, y + 11) for k in range(len(text.split()))]
+        out.append((book, page, n, x0, y, more.get("x1", 400.0), y + 11, more.get("size", 11.0), more.get("bold", False), 11.0, text, boxes))
+    return out
+
+
+LINE = "book string, page long, line_no int, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, body double, text string, boxes array<struct<x0:double,y0:double,x1:double,y1:double>>"
+
+
+def test_broken_words_are_joined(spark):
+    known = "revolution well-known in part time"
+    cases = [("the Revolu-", "tion was", "the Revolution was"), ("a well-", "known man", "a well-known man"), ("an anti-", "American one", "an anti-American one"), ("the self-", "made man", "the self-made man"), ("a leave-", "taking there", "a leavetaking there"), ("it is so\u00ad", "ft there", "it is soft there"), ("so part-", "time here", "so parttime here"), ("a plain", "word here", "a plain word here"), ("an extra-", "ordi-", "an extraordi-")]
+    data = []
+    for k, (a, b, _) in enumerate(cases):
+        data += _page(f"b{k:02}", 1, [(54.0, a), (54.0, b), *([(54.0, "nary end")] if b == "ordi-" else [])]) + _page(f"b{k:02}", 2, [(68.0, known)])
+    data += _page("auto", 1, [(54.0, "it is in\u2010"), (54.0, "side of old-"), (54.0, "time and be\u2010"), (54.0, "fore the af\u2010"), (54.0, "ter all")])
+    for pages in (1, 64):
+        got = {r["book"]: r for r in structure.paragraphs(spark.createDataFrame(data, LINE), range_pages=pages).where("para = 0").collect()}
+        for k, (_, b, want) in enumerate(cases):
+            assert got[f"b{k:02}"]["text"].startswith(want if b != "ordi-" else "an extraordinary end")
+            assert [t["t"] for t in got[f"b{k:02}"]["tokens"]] == got[f"b{k:02}"]["text"].split(" ")
+        assert got["auto"]["text"] == "it is inside of old-time and before the after all"
+
+
+def _book(seed, pages):
+    """Lines with indents, short ends, items, headings and columns at random."""
+    import random
+
+    r, out = random.Random(seed), []
+    for page in range(pages):
+        y = 20.0
+        for n in range(r.randrange(1, 14)):
+            size = r.choice((11.0,) * 12 + (13.0, 13.5, 16.0))
+            words = [r.choice(("word", "Other", "and", "then.", "so:", "self-", "1.", "•", "chapter")) for _ in range(r.randrange(1, 7))]
+            text = r.choice(("Chapter 3", " ".join(words))) if r.random() < 0.05 else " ".join(words)
+            x0 = r.choice((54.0, 54.0, 68.0, 74.0, 60.0))
+            y = 20.0 if r.random() < 0.03 else y + r.choice((4.0, 4.0, 4.0, 12.0)) + size
+            out.append(("b", page, n, x0, y, r.choice((400.0, 400.0, 300.0)), y + size, size, r.random() < 0.1, 11.0, text, [(x0 + k, y, x0 + k + 1, y + size) for k in range(len(text.split()))]))
+    return out
+
+
+def test_a_book_over_many_ranges_reads_as_one(spark):
+    """Paragraphs, their words and boxes don't depend on how a book is cut into ranges: 60 of a page each, 9, or one."""
+    for seed in (1, 2):
+        lines = spark.createDataFrame(_book(seed, 60), LINE).repartition(5)
+        got = [[tuple(r) for r in structure.paragraphs(lines, range_pages=n).orderBy("para").collect()] for n in (1, 7, 1000)]
+        assert len(got[0]) > 200 and got[0] == got[1] == got[2]
+        assert [r[1] for r in got[0]] == list(range(len(got[0])))
+
+
+def test_regions_follow_a_word_over_two_pages(spark):
+    lines = _page("b", 1, [(54.0, "It was an extraor-")]) + _page("b", 2, [(54.0, "dinary day. It ended")])
+    paras = structure.paragraphs(spark.createDataFrame(lines, LINE))
+    first, second = structure.sentences(paras).orderBy("sentence").collect()
+    assert first["text"] == "It was an extraordinary day." and [t["t"] for t in first["tokens"]] == first["text"].split()
+    assert [(p["page"], p["x0"]) for p in first["tokens"][3]["parts"]] == [(1, 174.0), (2, 54.0)]
+    assert [(r["page"], r["rects"], r["chars"]) for r in first["regions"]] == [(1, [[54.0, 20.0, 210.0, 31.0]], 14), (2, [[54.0, 20.0, 130.0, 31.0]], 11)]
+    assert [(r["page"], r["rects"]) for r in second["regions"]] == [(2, [[134.0, 20.0, 210.0, 31.0]])]
+    words = structure.word_parts(structure.sentences(paras), ["sentence"]).where("word_no = 3 AND sentence = 0").collect()
+    assert sorted(w["page"] for w in words) == [1, 2]
+
+
+def test_neighbours_over_ranges(spark):
+    from quire.operators import ranges
+
+    rows = spark.range(50).select(F.lit("k").alias("k"), F.col("id").cast("int").alias("n"))
+    got = ranges.beside(rows, "k", "n", {"a": ("n", -2), "b": ("n", 1)}, size=4).orderBy("n").collect()
+    assert [(r["a"], r["b"]) for r in got] == [(n - 2 if n > 1 else None, n + 1 if n < 49 else None) for n in range(50)]
+
+
+def test_bold_and_numbered_starts_and_candidates(spark):
+    def paras(rows):
+        return spark.createDataFrame([("b", k, kind, page, page, 11.0, bold, text) for k, (kind, page, bold, text) in enumerate(rows)], "book string, para int, kind string, page_start long, page_end long, size double, bold boolean, text string")
+
+    body = ("body", 1, False, "Some text of the book that goes on for more than sixteen words so that it is no heading at all, not even here.")
+    rows = paras([body, ("body", 1, True, "Chapter 1 of it"), body, body, ("body", 1, True, "Chapter 2 of it"), body, body, ("body", 1, False, "Chapter 9 isn't one"), body])
+    assert [(r["title"], r["para_start"]) for r in structure.chapters(rows).orderBy("idx").collect()] == [("Opening Pages", 0), ("Chapter 1 of it", 1), ("Chapter 2 of it", 4)]
+    rows = paras([("heading", 1, False, "Chapter 1"), ("heading", 1, False, "1. The Mill"), ("heading", 1, False, "2. The River"), body, body, body, ("heading", 2, False, "PART TWO"), body, body, body, body, body])
+    assert [r["para_start"] for r in structure.chapters(rows).orderBy("idx").collect()] == [0, 2, 6]
+    assert [r["para"] for r in structure.candidates(rows).orderBy("para").collect()] == [0, 1, 2, 6]
+
+
+def test_license_after_the_end_goes(spark):
+    rows = spark.createDataFrame([("b", 0, "One"), ("b", 1, " *** END OF THE PROJECT GUTENBERG EBOOK X ***"), ("b", 2, "license"), ("c", 0, "kept"), ("c", 5, "*** end of it")], "book string, para int, text string")
+    assert sorted((r["book"], r["para"]) for r in catalog.without_license(rows, "book", "para").collect()) == [("b", 0), ("c", 0), ("c", 5)]
 
 
 def test_outline_and_subtitles(spark):
