@@ -14,7 +14,7 @@ from quire.plans import lineage
 from quire.plans.registry import query
 from quire.sources.scripts import read_script_batch
 from quire.sources.tables import latest_per_key, table
-from quire.streaming import progress
+from quire.streaming import progress, timed
 
 # --- conversations as chapters (conv_id) of paragraphs (turn) ---------------------------------------------------------
 
@@ -266,6 +266,14 @@ def job_claims(spark: SparkSession, sf: str) -> DataFrame:
     return progress.claims(rows, "job")
 
 
+@query("""WITH e AS (SELECT DISTINCT user_id, event_type, epoch_us(ts) // 1000 AS ms FROM events), n AS (SELECT *, lead(ms) OVER (PARTITION BY user_id, event_type ORDER BY ms) AS nx FROM e)
+SELECT user_id, event_type, make_timestamp(ms * 1000) AS used, make_timestamp((ms + 21600000) * 1000) AS expired FROM n WHERE nx IS NULL OR nx - ms > 21600000""")
+def entry_expiries(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries (a user and a type of event) that nothing renewed for six hours."""
+    found = timed.expiries(table(spark, sf, "events"), ["user_id", "event_type"], "ts", 6 * 3600)
+    return found.select("user_id", "event_type", F.col("used").cast("timestamp_ntz").alias("used"), F.col("expired").cast("timestamp_ntz").alias("expired"))
+
+
 # --- catalogue ----------------------------------------------------------------------------------------------------------
 
 
