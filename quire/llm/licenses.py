@@ -31,6 +31,8 @@ BAND = 6
 LEAST_COVERAGE = 0.75
 #: Words of a text that are aligned at once; longer texts are aligned in overlapping parts.
 PART_WORDS = 1 << 22
+#: Words of a template at most.
+MOST_TEMPLATE = 250_000
 
 # Notices and license texts, as their authors ask for them to be given.
 TEMPLATES: dict[str, str] = {
@@ -98,6 +100,8 @@ class Templates:
     def __init__(self, texts: dict[str, str], least: float = LEAST_COVERAGE) -> None:
         self.names = sorted(texts)
         words = [np.array([x for w in texts[n].lower().encode().split() if (x := _word_hash(w))], dtype=np.uint64) for n in self.names]
+        if any(len(w) > MOST_TEMPLATE for w in words):
+            raise ValueError(f"a template has more than {MOST_TEMPLATE} words")
         self.vocabulary = np.unique(np.concatenate([*words, np.zeros(0, dtype=np.uint64)]))
         #: Templates as places in the vocabulary, and how often each has each word.
         self.words = [np.searchsorted(self.vocabulary, h) for h in words]
@@ -145,7 +149,7 @@ def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[
     of a row of the band are computed at once: score, matches and begin share a number, so that a maximum picks all three, and
     runs of inserted words are a running maximum.
     """
-    one, hit, mask = np.int64(1) << 38, np.int64(1) << 26, (1 << 26) - 1
+    one, hit, mask = np.int64(1) << 40, np.int64(1) << 22, (1 << 22) - 1  # places below PART_WORDS, matches below 1 << 18
     best = np.zeros(len(text), dtype=np.int64)
     width = high - low + 1
     row = np.zeros(width + 1, dtype=np.int64)  # by diagonal, and a last one outside the band
@@ -166,7 +170,7 @@ def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[
         row[:] = 0
         row[a:b] = new
         np.maximum(best[j[0] : j[-1] + 1], new, out=best[j[0] : j[-1] + 1])
-    return best >> 38, (best >> 26) & 0xFFF, best & mask
+    return best >> 40, (best >> 22) & 0x3FFFF, best & mask
 
 
 def occurrences(template: np.ndarray, text: np.ndarray, diagonals: np.ndarray, least: int, band: int = BAND) -> list[tuple[int, int, int]]:
@@ -238,11 +242,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, *, l
 
     Returns for each row doc_id, n_licenses, licenses (names in order of place, comma-joined), and found: an array of
     (license, coverage, start, end), places in code points of the text. A null or empty text, or one without words, has
-    none. Rows that share a doc_id, or have none, are each scanned alone. ``templates`` maps names to texts of 4,095 words at
-    most; ``least`` is the share of a template's words that a match has at least. Matches don't overlap; a notice that a text
+    none. Rows that share a doc_id, or have none, are each scanned alone. ``templates`` maps names to texts of MOST_TEMPLATE
+    words at most (an error beyond); ``least`` is the share of a template's words that a match has at least. Matches don't overlap; a notice that a text
     repeats is reported each time. Time grows with the length of a text, not with its square.
     """
     texts = TEMPLATES if templates is None else templates
+    Templates(texts, least)  # raises here, not in a task
     schema = "doc_id long, n_licenses long, licenses string, found array<struct<license: string, coverage: double, start: long, end: long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

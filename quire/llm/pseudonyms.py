@@ -28,6 +28,8 @@ _IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 #: a place in a run of digits after which one of the former begins, so that numbers before a card don't hide it.
 _GROUPS = r"(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}(?:[ -][0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{13,19})(?![0-9])"
 _CARD = rf"(?<![0-9])(?:{_GROUPS}|(?!(?:[0-9]++[ -]){{1,18}}?{_GROUPS})[0-9](?:[ -]?[0-9]){{12,18}}(?![0-9]))"
+#: Values whose places are added up at a time.
+BLOCK = 256
 #: Kinds in the order in which the pattern tries them at one place.
 KINDS: dict[str, str] = {"email": _EMAIL, "phone": _PHONE, "ssn": _SSN, "date": _DATE, "ip": _IP, "card": _CARD}
 PATTERN = "|".join(KINDS.values())
@@ -183,12 +185,30 @@ def _email(x: Column, key: str) -> Column:
     return F.when(F.length(chars) > 0, F.concat(_let(F.array_join(parts, ""), lambda n: _refilled(local, n, "[a-z0-9]")), F.lit("@"), F.lower(domain)))
 
 
+def _running(lengths: Column) -> Column:
+    """The sums of an array of integers up to each, in blocks: an array that grows value by value is copied each time."""
+    none = F.array().cast("array<int>")
+
+    def sums(values: Column, start: Column) -> Column:
+        step = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"] + x)).alias("out"))
+        return F.aggregate(values, F.struct(start.alias("at"), none.alias("out")), step, lambda s: s["out"])
+
+    def blocks(values: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def whole(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda s, x: s + x))
+        return F.flatten(F.zip_with(parts, sums(totals, F.lit(0)), lambda p, end: sums(p, end - F.aggregate(p, F.lit(0), lambda s, x: s + x))))
+
+    return F.when(F.size(lengths) > 0, _let(lengths, lambda v: _let(blocks(v), whole))).otherwise(none)
+
+
 def pseudonymize(docs: DataFrame, key: str, *, text: str = "text") -> DataFrame:
     """``docs`` with pseudonyms for the personal values in column ``text``, and the array pii: (kind, start, end, found) of each.
 
     Places are code points of the original text, ends exclusive. Values that a candidate's check refuses stay. A null text
     stays null and has an empty array; so has an empty one. Other columns stay as they are; ``pii`` and helper columns
-    replace any of the same name. Rows are independent, so repeated rows and ids need no rule.
+    replace any of the same name. Time grows with the length of a text and the number of its values. Rows are independent, so repeated rows and ids need no rule.
     """
     makers = {"email": _email, "phone": _phone, "ssn": _ssn, "date": _date, "ip": _ip, "card": _card}
     column = F.col(f"`{text}`")
@@ -207,15 +227,11 @@ def pseudonymize(docs: DataFrame, key: str, *, text: str = "text") -> DataFrame:
     found = found.withColumn("_quire_new", F.transform("_quire_old", judged))
     woven = F.array_join(F.zip_with("_quire_rest", "_quire_new", lambda a, b: F.concat(a, F.coalesce(b["new"], b["old"], F.lit("")))), "")
 
-    def placed(s: Column, p: Column) -> Column:
-        begin = s["at"] + F.length(p["rest"])
-        end = begin + F.length(p["x"]["old"])
-        entry = F.struct(p["x"]["kind"].alias("kind"), begin.alias("start"), end.alias("end"), p["x"]["old"].alias("found"))
-        return F.struct(end.alias("at"), F.when(p["x"]["new"].isNotNull(), F.concat(s["out"], F.array(entry))).otherwise(s["out"]).alias("out"))
-
-    pairs = F.zip_with("_quire_rest", "_quire_new", lambda a, b: F.struct(a.alias("rest"), b.alias("x")))
+    # Each value's end is the sum of all lengths up to it.
+    lengths = F.zip_with(F.slice("_quire_rest", F.lit(1), F.size("_quire_old")), "_quire_old", lambda a, b: F.length(a) + F.length(b))
     empty = F.array().cast("array<struct<kind:string,start:int,end:int,found:string>>")
-    listed = F.aggregate(F.filter(pairs, lambda p: p["x"].isNotNull()), F.struct(F.lit(0).alias("at"), empty.alias("out")), placed, lambda s: s["out"])
+    entries = F.zip_with("_quire_new", _running(lengths), lambda x, end: F.when(x["new"].isNotNull(), F.struct(x["kind"].alias("kind"), (end - F.length(x["old"])).alias("start"), end.alias("end"), x["old"].alias("found"))))
+    listed = F.filter(entries, lambda x: x.isNotNull())
     found = found.withColumn("pii", F.when(F.size("_quire_old") > 0, listed).otherwise(empty))
     return found.withColumn(text, F.when(F.size("_quire_old") > 0, woven).otherwise(column)).drop("_quire_old", "_quire_rest", "_quire_new")
 

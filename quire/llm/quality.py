@@ -27,8 +27,12 @@ from .words import Words, chunks, flat_bytes, mixed, only, rolling, spans, split
 COMMON = 40
 #: Words a document has at least, to be kept, and percent of its words in repeated 3-word windows at most.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Languages with fewer documents than this give no reference; those with this share of all in percent are large.
-LEAST_DOCUMENTS, LARGE_PERCENT = 5, 1
+#: Languages that have a reference, those with most documents; texts of others count as texts without a language.
+MOST_LANGUAGES = 1000
+#: Share of all documents at which a language's reference counts half where it judges texts of other languages.
+HALF_SHARE = 0.001
+#: Documents at which a language's reference counts half for its own texts: what few texts have in common says little.
+HALF_DOCUMENTS = 0.5
 #: Words from which a document is judged by its words, and by them more strictly; characters from which it is by those.
 GUARD, GUARD_STRICT, GUARD_CHARACTERS = 60, 100, 300
 #: Jensen-Shannon distance (the root of the divergence, to base 2) of the characters from the nearest reference at most.
@@ -119,7 +123,8 @@ class Reference:
     """What a language is compared by. Its size doesn't depend on the corpus."""
 
     lang: str
-    large: bool
+    weight: float  # what it counts for texts of other languages
+    sure: float  # what it counts for its own
     classes: np.ndarray
     words: list[bytes]
     counts: np.ndarray  # of the words, then of all others
@@ -155,13 +160,12 @@ def _corpus_counts(docs: DataFrame) -> DataFrame:
 def references(docs: DataFrame, *, common: int = COMMON) -> list[Reference]:
     """References of all languages in ``docs`` (lang, text). Rows without a language, or without text, add to none.
 
-    All documents are counted. What comes to the driver is ``common`` words and a few sums for each language that has
-    LEAST_DOCUMENTS or more.
+    All documents are counted. What comes to the driver is ``common`` words and a few sums for each of MOST_LANGUAGES.
     """
     rows = _corpus_counts(docs.where("lang IS NOT NULL AND text <> ''").select("lang", "text"))
     counts = space.cut(rows.groupBy("lang", "class", "word").agg(F.sum("n").alias("n")), "counts")
     sizes = counts.where(F.col("class") == CLASSES).select("lang", "n")
-    large = sizes.where(F.col("n") >= LEAST_DOCUMENTS).select("lang", F.col("n").alias("documents"))
+    large = sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang", F.col("n").alias("documents"))
     sums = {r["lang"]: r["documents"] for r in large.collect()}
     if not sums:
         return []
@@ -179,49 +183,57 @@ def references(docs: DataFrame, *, common: int = COMMON) -> list[Reference]:
     out = []
     for lang in sorted(sums):
         n = [r["n"] for r in best.get(lang, [])]
-        out.append(Reference(lang, 100 * sums[lang] >= LARGE_PERCENT * documents, np.array([pooled.get((lang, c), 0) for c in range(CLASSES)], dtype=float), [bytes(r["word"]) for r in best.get(lang, [])], np.array([*n, total.get(lang, 0) - sum(n)], dtype=float)))
+        share = sums[lang] / documents
+        out.append(Reference(lang, share / (share + HALF_SHARE), sums[lang] / (sums[lang] + HALF_DOCUMENTS), np.array([pooled.get((lang, c), 0) for c in range(CLASSES)], dtype=float), [bytes(r["word"]) for r in best.get(lang, [])], np.array([*n, total.get(lang, 0) - sum(n)], dtype=float)))
     return out
 
 
+def _distances(ref: Reference, rows: np.ndarray, classes: np.ndarray, text: np.ndarray, code: np.ndarray, place: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of the texts ``rows`` from a reference: of characters, and of words as a share of the farthest."""
+    of_classes = js_distance(classes[rows], ref.classes)
+    if not ref.counts.sum():
+        return of_classes, np.ones(len(rows))
+    new = np.full(len(classes), -1)
+    new[rows] = np.arange(len(rows))
+    owner = new[text]
+    bin_ = np.full(max(1, len(place)), len(ref.words), dtype=np.int64)
+    for k, w in enumerate(ref.words):
+        if w in place:
+            bin_[place[w]] = k
+    width = len(ref.words) + 1
+    counts = np.bincount(owner[owner >= 0] * width + bin_[code[owner >= 0]], minlength=len(rows) * width).reshape(len(rows), width)
+    alien = np.zeros((1, width))
+    alien[0, -1] = 1
+    return of_classes, js_distance(counts, ref.counts) / max(1e-9, js_distance(alien, ref.counts)[0])
+
+
 def nearest(refs: list[Reference], data: np.ndarray, at: np.ndarray, langs: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distance from the nearest reference, of its characters, and of its words as a share of the farthest.
+    """Each text's distance from a reference, of its characters, and of its words as a share of the farthest.
 
-    ``langs`` are the texts' languages. Both distances of a text that no reference judges are 0.
+    ``langs`` are the texts' languages. A text is judged by its own language's reference, whose distances count the less the fewer
+    documents it comes from. If that finds it too far (its label
+    may be wrong), or it has none, the nearest of all counts, where another language's nearness, 1 - distance, counts by its
+    weight: that rises with the language's share of all documents, without a step.
     """
     n = len(at) - 1
     classes = class_counts(data, at)
     words = split_words(data, at, lower=True)
     code, distinct = words.coded()
     text = np.repeat(np.arange(n), np.diff(words.of))
-    of_classes, of_words = np.ones(n), np.ones(n)
     place = {w: k for k, w in enumerate(distinct.to_pylist())}
-    rows_of = {}
-    for i, lang in enumerate(langs):
-        rows_of.setdefault(lang, []).append(i)
-    known = {ref.lang for ref in refs} | {None}
-    judged = np.array([lang in known for lang in langs], dtype=bool)
-    for ref in refs:
-        if ref.large:
-            rows, owner, codes = np.arange(n), text, code
-        elif ref.lang in rows_of or None in rows_of:
-            rows = np.array(sorted(rows_of.get(ref.lang, []) + rows_of.get(None, [])))
-            new = np.full(n, -1)
-            new[rows] = np.arange(len(rows))
-            owner, codes = new[text][new[text] >= 0], code[new[text] >= 0]
-        else:
-            continue
-        of_classes[rows] = np.minimum(of_classes[rows], js_distance(classes[rows], ref.classes))
-        if ref.counts.sum():
-            bin_ = np.full(max(1, len(distinct)), len(ref.words), dtype=np.int64)
-            for k, w in enumerate(ref.words):
-                if w in place:
-                    bin_[place[w]] = k
-            width = len(ref.words) + 1
-            counts = np.bincount(owner * width + bin_[codes], minlength=len(rows) * width).reshape(len(rows), width)
-            alien = np.zeros((1, width))
-            alien[0, -1] = 1
-            of_words[rows] = np.minimum(of_words[rows], js_distance(counts, ref.counts) / max(1e-9, js_distance(alien, ref.counts)[0]))
-    return np.where(judged, of_classes, 0.0), np.where(judged, of_words, 0.0)
+    of_classes, of_words = np.ones(n), np.ones(n)
+    number = {r.lang: k for k, r in enumerate(refs)}
+    own = np.array([-1 if x is None else number.get(x, -1) for x in langs]) if n else np.zeros(0, dtype=np.int64)
+    for k in np.unique(own[own >= 0]).tolist():
+        rows = np.flatnonzero(own == k)
+        of_classes[rows], of_words[rows] = (refs[k].sure * x for x in _distances(refs[k], rows, classes, text, code, place))
+    far = (of_classes > MOST_CHARACTERS) | (of_words > min(MOST_WORDS, MOST_WORDS_STRICT))
+    for k, ref in enumerate(refs):
+        rows = np.flatnonzero(far & (own != k))
+        if len(rows):
+            for known, found in zip((of_classes, of_words), _distances(ref, rows, classes, text, code, place), strict=True):
+                known[rows] = np.minimum(known[rows], 1 - ref.weight * (1 - found))
+    return of_classes, of_words
 
 
 def _verdicts(text: pa.Array, langs: list[str | None], refs: list[Reference]) -> dict[str, pa.Array]:

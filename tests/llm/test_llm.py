@@ -506,11 +506,11 @@ def test_quality_keeps_languages_with_a_small_share(spark):
 
     rows = [(i, prose(120, i), "en") for i in range(1100)]
     rows += [(2000 + i, foreign(150, i, ("ja", "on", "ei", "se", "han")), "fi") for i in range(6)]
-    rows += [(2100 + i, foreign(150, 50 + i, ("és", "egy", "nem", "az", "hogy")), "hu") for i in range(2)]  # too few for a reference
+    rows += [(2100 + i, foreign(150, 50 + i, ("és", "egy", "nem", "az", "hogy")), "hu") for i in range(2)]  # two documents: each other's reference
     rows += [(3000 + i, " | ".join(f"q{j * 7 + i}z###" for j in range(150)), lang) for i, lang in enumerate(("en", "fi", None))]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
     refs = quality.references(df)
-    assert [(r.lang, r.large) for r in refs] == [("en", True), ("fi", False)]
+    assert [r.lang for r in refs] == ["en", "fi", "hu"] and refs[0].weight > 0.99 > refs[1].weight > refs[2].weight
     kept = {r["doc_id"] for r in quality.kept_rows(df).collect()}
     assert kept == set(range(1100)) | set(range(2000, 2006)) | {2100, 2101}
     assert {r["doc_id"] for r in quality.quality(df).where("kept").collect()} == kept
@@ -884,6 +884,48 @@ def test_pseudonym_places_and_native_plan(spark, docs):
 # the pipeline ---------------------------------------------------------------------------------------------------------------
 
 
+def test_quality_verdicts_have_no_step(spark):
+    """The same texts get the same verdict whether another language has 3, 8 or 12 of a thousand documents."""
+    q = random.Random(1)
+    odd_words = ["".join(q.choice("bcdfgz") for _ in range(q.randrange(2, 9))) for _ in range(60)]
+
+    def odd(seed):
+        q = random.Random(seed)
+        return " ".join(q.choice(odd_words) for _ in range(120))
+
+    english = [prose(120, 4000 + i) for i in range(400)]
+    verdicts = set()
+    for others in (3, 4, 8, 12):
+        rows = [(i, t, "en", "s", 1) for i, t in enumerate(english)] + [(1000 + i, odd(i), "en", "s", 1) for i in range(5)] + [(2000 + i, odd(100 + i), "xx", "s", 1) for i in range(others)]
+        kept = {x["doc_id"] for x in quality.quality(spark.createDataFrame(rows, SCHEMA)).where("kept").collect()}
+        assert set(range(400)) <= kept and {2000 + i for i in range(others)} <= kept
+        verdicts.add(frozenset(k for k in kept if 1000 <= k < 2000))
+    assert len(verdicts) == 1
+
+
+def test_long_templates_are_measured_whole():
+    words = [f"w{i}" for i in range(6000)]
+    own = licenses.Templates({"long": " ".join(words)})
+    for part in (6000, 5200):
+        h = np.array([licenses._word_hash(w.encode()) for w in words[:part]], dtype=np.uint64)
+        score, matches, begin = licenses.align(own.words[0], own.coded(h), -6, 6)
+        assert matches.max() == part and begin[matches.argmax()] == 0
+    with pytest.raises(ValueError, match="words"):
+        licenses.Templates({"x": "a " * (licenses.MOST_TEMPLATE + 1)})
+
+
+def test_many_values_in_one_text(spark):
+    """Places are found in linear time: 60,000 dates in one text, which took minutes with a growing list."""
+    text = " ".join(f"{2000 + i % 20}-0{i % 9 + 1}-1{i % 10} on" for i in range(60_000))
+    began = time.time()
+    (row,) = pseudonymize_rows(spark, [(1, text)])
+    assert len(row["pii"]) == 60_000 and all(text[x["start"] : x["end"]] == x["found"] for x in row["pii"]) and time.time() - began < 90
+
+
+def pseudonymize_rows(spark, rows):
+    return pseudonyms.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), pseudonyms.DEMO_KEY).collect()
+
+
 def test_pipeline_stages_follow_each_other(spark, docs, tmp_path):
     now, columns = docs.withColumn("extra", F.lit("e")), [*docs.columns, "extra"]
     extra = spark.createDataFrame([(100 + i, prose(150, 5000 + i) + " token = abcdef123456", "en", "s", 1) for i in range(30)], SCHEMA).withColumn("extra", F.lit("e"))

@@ -97,18 +97,31 @@ def test_op5_verdicts_equal_brute_force(spark):
         total = sum((words[k] for k in own), Counter())
         top = [w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0].encode()))[: quality.COMMON]]
         refs[lang] = (sum(classes[k] for k in own), top, np.array([*[total[w] for w in top], sum(total.values()) - sum(total[w] for w in top)], dtype=float))
+    share = {lang: sum(r["lang"] == lang and bool(r["text"]) for r in rows) / sum(bool(r["text"] and r["lang"]) for r in rows) for lang in refs}
+
+    def far(k, n, lang):
+        _, top, counts = refs[lang]
+        return distance(classes[k], refs[lang][0]), distance(np.array([*[words[k][w] for w in top], n - sum(words[k][w] for w in top)], dtype=float), counts) / distance(np.r_[np.zeros(len(top)), 1.0], counts)
+
     got = {r["doc_id"]: r for r in rows_of(spark, "op5_quality")}
     for r in rows:
-        k, n = r["doc_id"], sum(words[r["doc_id"]].values())
-        failed = got[k]["base_failed"]
-        if n and not failed:
-            of_classes = min(distance(classes[k], c) for c, _, _ in refs.values())
-            of_words = min(distance(np.array([*[words[k][w] for w in top], n - sum(words[k][w] for w in top)], dtype=float), counts) / distance(np.r_[np.zeros(len(top)), 1.0], counts) for _, top, counts in refs.values())
+        k, w = r["doc_id"], WORD.findall(r["text"] or "")
+        n, seen = len(w), Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        repeated = {j for i in range(n - 2) if seen[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
+        failed = n < 50 or 100 * len(repeated) > 50 * n
+        assert got[k]["base_failed"] == failed
+        if not failed:
+            own = sum(x["lang"] == r["lang"] and bool(x["text"]) for x in rows)
+            of_classes, of_words = (x * own / (own + quality.HALF_DOCUMENTS) for x in far(k, n, r["lang"])) if r["lang"] in refs else (1, 1)
+            if of_classes > quality.MOST_CHARACTERS or of_words > quality.MOST_WORDS_STRICT:
+                for lang in refs.keys() - {r["lang"]}:
+                    a, b = (1 - share[lang] / (share[lang] + quality.HALF_SHARE) * (1 - x) for x in far(k, n, lang))
+                    of_classes, of_words = min(of_classes, a), min(of_words, b)
             odd = classes[k].sum() >= quality.GUARD_CHARACTERS and of_classes > quality.MOST_CHARACTERS
             odd = odd or (n >= quality.GUARD and of_words > (quality.MOST_WORDS_STRICT if n >= quality.GUARD_STRICT else quality.MOST_WORDS))
             assert got[k]["kept"] == (not odd)
         else:
-            assert failed and not got[k]["kept"]
+            assert not got[k]["kept"]
     assert 0 < sum(r["kept"] for r in got.values()) < len(rows)
 
 
