@@ -186,13 +186,13 @@ def book_sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(r"""WITH l AS (SELECT source AS book, doc_id AS page, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents), p AS (SELECT book, page, text, row_number() OVER (PARTITION BY book ORDER BY page, line_no) - 1 AS para FROM l WHERE trim(text) <> ''),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS tok, list_distinct(list_filter(string_split(regexp_replace(lower(nfc_normalize(text)), '[^\pL\pM\pN]+', ' ', 'g'), ' '), lambda x: x <> '')) AS bare FROM p),
-e AS (SELECT source AS book, doc_id AS page, trim(string_split(text, chr(10))[1]) AS title, list_distinct(list_filter(string_split(regexp_replace(lower(nfc_normalize(string_split(text, chr(10))[1])), '[^\pL\pM\pN]+', ' ', 'g'), ' '), lambda x: x <> '')) AS want FROM documents WHERE doc_id % 3 = 0),
+e AS (SELECT source AS book, doc_id AS page, trim(string_split(text, chr(10))[1]) AS title, list_distinct(list_filter(string_split(regexp_replace(lower(nfc_normalize(string_split(text, chr(10))[1])), '[^\pL\pM\pN]+', ' ', 'g'), ' '), lambda x: x <> '')) AS want FROM documents WHERE doc_id % 3 = 0 AND doc_id > 0),
 g AS (SELECT book FROM e GROUP BY 1 HAVING count(*) >= 2), f AS (SELECT * FROM e WHERE title <> ''),
 m AS (SELECT f.book, f.page, f.title, coalesce(min(w.para) FILTER (w.page = f.page AND len(w.tok) <= 25 AND len(w.bare) > 0 AND len(f.want) > 0 AND len(list_intersect(w.bare, f.want)) >= 0.6 * least(len(w.bare), len(f.want))), min(w.para) FILTER (w.page >= f.page)) AS para FROM f JOIN w ON w.book = f.book WHERE f.book IN (SELECT book FROM g) GROUP BY 1, 2, 3),
 s AS (SELECT book, para, title FROM m WHERE para IS NOT NULL UNION ALL SELECT book, 0, 'Opening Pages' FROM m GROUP BY book HAVING min(para) > 0)
 SELECT book, row_number() OVER (PARTITION BY book ORDER BY para) - 1 AS idx, title, para AS para_start, 'toc' AS source FROM s""")
 def outline_chapters(spark: SparkSession, sf: str) -> DataFrame:
-    """Chapters of books whose outline names the first line of each third document."""
+    """Chapters of books whose outline names the first line of each third document; an entry without a page, as for document 0, is none."""
     docs = table(spark, sf, "documents")
     lines = document_lines(docs).select("book", "page", "line_no", "text")
     order = Window.partitionBy("book").orderBy("page", "line_no")
