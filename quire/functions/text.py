@@ -243,9 +243,16 @@ def search_query(q: Column, filters: Sequence[str] = ()) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """A key that sorts names by the value of the numbers in them (up to 12 digits); a locale's order isn't reproduced."""
+    """A key that sorts names by the value of the numbers in them, of any length; letters sort by their code points.
+
+    Before a number, without zeros in front, stands how many digits it has: a longer number is a larger one.
+    """
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 12, "0")).otherwise(p)), "")
+
+    def key(p: Column) -> Column:
+        return let(F.regexp_replace(p, "^0+(?=[0-9])", ""), lambda n: F.concat(F.lpad(F.length(n).cast("string"), 6, "0"), n))
+
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), key(p)).otherwise(p)), "")
 
 
 def roman_to_int(text: Column) -> Column:

@@ -63,9 +63,18 @@ def coverage(chapters: DataFrame, segments: DataFrame, keys: list[str], ranged:
     return both.select(*keys, "narrated", "words", "first_page", "last_page", complete.alias("complete"))
 
 
-def cleaning_report(lines: DataFrame, keys: list[str], most: int = 20) -> DataFrame:
-    """keys, reason, n, texts: how many lines were dropped for each reason, and the first ``most`` of their distinct texts in order."""
-    return lines.where("reason IS NOT NULL").groupBy(*keys, "reason").agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_set(F.trim("text"))), 1, most).alias("texts"))
+def cleaning_report(lines: DataFrame, keys: list[str], most: int = 20, parts: int = 32) -> DataFrame:
+    """keys, reason, n, texts: how many lines (page, line_no, text) were dropped for each reason, and their first ``most`` distinct texts as they come.
+
+    Texts are counted first, and the first of each of ``parts`` shares of them are found before the first of all.
+    """
+    texts = lines.where("reason IS NOT NULL").groupBy(*keys, "reason", F.trim("text").alias("_t")).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("page", "line_no")).alias("_at"))
+    counts = texts.groupBy(*keys, "reason").agg(F.sum("_n").alias("n"))
+    share = Window.partitionBy(*keys, "reason", F.pmod(F.xxhash64("_t"), F.lit(parts))).orderBy("_at", "_t")
+    first = texts.withColumn("_r", F.row_number().over(share)).where(F.col("_r") <= most)
+    first = first.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "reason").orderBy("_at", "_t"))).where(F.col("_r") <= most)
+    listed = first.groupBy(*keys, "reason").agg(F.transform(F.sort_array(F.collect_list(F.struct("_r", "_t"))), lambda x: x["_t"]).alias("texts"))
+    return counts.join(listed, [*keys, "reason"])
 
 
 def voice_groups(voices: DataFrame, preferred: str) -> DataFrame:

@@ -63,7 +63,8 @@ def narration_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return reviews.coverage(chapters, rows.where("turn % 3 <> 2").select("doc", "text", F.col("turn").alias("page")), ["doc"], F.max(F.lit(False)))
 
 
-@query(f"""WITH f AS ({furniture_sql()}), l AS ({LINES}) SELECT book, reason, count(*) AS n, array_to_string(list_sort(list(DISTINCT trim(text)))[1:20], '|') AS texts FROM f JOIN l USING (page, line_no) WHERE reason IS NOT NULL GROUP BY 1, 2""")
+@query(f"""WITH f AS ({furniture_sql()}), l AS ({LINES}), s AS (SELECT book, reason, trim(text) AS txt, count(*) AS n, min(page * 1000000 + line_no) AS pos FROM f JOIN l USING (page, line_no) WHERE reason IS NOT NULL GROUP BY 1, 2, 3)
+SELECT book, reason, CAST(sum(n) AS BIGINT) AS n, array_to_string(list(txt ORDER BY pos, txt)[1:20], '|') AS texts FROM s GROUP BY 1, 2""")
 def cleaning_reports(spark: SparkSession, sf: str) -> DataFrame:
     found = furniture.classified(laid_out(_lines(spark, sf)))
     return reviews.cleaning_report(found, ["book"]).withColumn("texts", F.array_join("texts", "|"))

@@ -534,3 +534,16 @@ def test_drop_caps_and_restored_words(spark):
     assert {r["page"] for r in caps} == filled
     rows = rows_of(spark, "restored_first_words")
     assert rows and all(r["fragment"].upper() == r["fragment"] for r in rows)
+
+
+def test_natural_order_of_long_numbers_and_first_seen_texts(spark):
+    from quire.functions import text as t
+    from quire.operators import reviews
+
+    names = ["part 9", "part 10", "part 010", "part 99999999999999999999", "part 100000000000000000000", "part 1b", "part 01c", "Part 2"]
+    got = [r["n"] for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(t.natural_key(F.col("n")), "n").collect()]
+    assert got == ["part 1b", "part 01c", "Part 2", "part 9", "part 010", "part 10", "part 99999999999999999999", "part 100000000000000000000"]
+    rows = [("b", p, k, f"text {(p * 7 + k) % 50}", "header") for p in range(40) for k in range(3)]
+    seen = list(dict.fromkeys(f"text {(p * 7 + k) % 50}" for p in range(40) for k in range(3)))
+    (one,) = reviews.cleaning_report(spark.createDataFrame(rows, "book string, page int, line_no int, text string, reason string"), ["book"], most=5).collect()
+    assert one["n"] == 120 and one["texts"] == seen[:5]
