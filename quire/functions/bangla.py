@@ -37,6 +37,12 @@ DIGITS, ASCII = "০১২৩৪৫৬৭৮৯", "0123456789"
 # End of the fixed values.
 
 
+# Letters of the Bengali block that carry signs, and the signs that hang on a letter.
+CARRIERS = r"\x{0995}-\x{09B9}\x{09CE}\x{09DC}\x{09DD}\x{09DF}\x{09F0}\x{09F1}"
+HANGING = [0x09BC, *range(0x09BE, 0x09CE), 0x09D7]
+# End of the fixed values.
+
+
 def to_ascii(text: Column) -> Column:
     """Bengali digits as ASCII digits."""
     return F.translate(text, DIGITS, ASCII)
@@ -57,15 +63,20 @@ def orphans(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{M}]+", "").rlike(f"^{SIGN}")))
 
 
+def _stray_sign() -> str:
+    """A dependent sign in a place where none can stand, as a pattern: what may come before a sign is a state of its own for each."""
+    may_follow = {0x09CD: r"\x{200C}\x{200D}", 0x09BE: r"\x{09C7}", 0x09D7: r"\x{09C7}"}
+    return "|".join(rf"(?<![{CARRIERS}\x{{09BC}}\x{{{sign:04X}}}{may_follow.get(sign, '')}])\x{{{sign:04X}}}" for sign in HANGING)
+
+
 def is_broken(word: Column) -> Column:
-    """Whether a word can't be whole: an unmapped glyph, a joiner at an edge, or a dependent vowel sign that follows none but
-    another one, or no letter."""
-    vowel = r"[\x{09BE}-\x{09CC}\x{09D7}]"
-    joiner = r"\x{09CD}"
-    unmapped = word.rlike(r"[\x{FFFD}\x{E000}-\x{F8FF}]")
-    edge = word.rlike(rf"^[^\p{{L}}\p{{M}}]*{joiner}")
-    stray = F.regexp_replace(word, r"^[^\p{L}\p{M}]+", "").rlike(rf"^{SIGN}") | word.rlike(rf"[\x{{0985}}-\x{{0994}}]{vowel}") | word.rlike(rf"({vowel})(?!\1){vowel}")
-    return unmapped | edge | stray
+    """Whether a word can't be whole: an unmapped glyph, a joiner at an edge, or a dependent sign that follows neither a
+    consonant nor a nukta.
+
+    A sign may repeat itself (``repaired`` mends that), a hasanta may follow a joiner, and e may be completed to o or au. Null
+    stays null, and an empty word is whole.
+    """
+    return word.rlike(r"[\x{FFFD}\x{E000}-\x{F8FF}]") | word.rlike(r"^[\x{200C}\x{200D}]|[\x{200C}\x{200D}]\z") | word.rlike(_stray_sign())
 
 
 def _year(s: Column, hundreds: int, spoken: str) -> Column:
