@@ -68,3 +68,26 @@ def guarded(original: Column, answer: Column, least: float = 0.8) -> Column:
     """An answer that repairs a text, if it is like it (0.8 of its letters); else the text as it was."""
     like = t.letter_similarity(original, answer) >= least
     return F.when(answer.isNotNull() & (F.trim(answer) != "") & like, answer).otherwise(original)
+
+
+def checked(answers: DataFrame, schema: T.StructType, rules: dict[str, Callable[[Column], Column]], fallback: Column, answer: str = "answer") -> DataFrame:
+    """``answers`` with value, a struct of ``schema``, and reason: why the answer was refused, null if it wasn't.
+
+    An answer is a JSON object, perhaps in a code fence. It is refused for being missing ("none"), no object of that shape ("form"),
+    without a field ("field: name"), or against the field's rule ("rule: name"), in the order of the fields. A refused row keeps its
+    answer and has the value of ``fallback``, which gives a struct of the same fields.
+    """
+    bare = F.trim(F.regexp_replace(answer, r"^\s*```(?:json)?\s*|\s*```\s*$", ""))
+    read = F.from_json(bare, T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())]), {"mode": "PERMISSIVE"})
+
+    def reason(x: Column) -> Column:
+        found = F.when(F.col(answer).isNull() | (F.trim(answer) == ""), "none").when(x.isNull() | x["_corrupt_record"].isNotNull() | ~bare.startswith("{"), "form")
+        for f in schema.fields:
+            found = found.when(x[f.name].isNull(), f"field: {f.name}")
+            if f.name in rules:
+                found = found.when(~F.coalesce(rules[f.name](x[f.name]), F.lit(False)), f"rule: {f.name}")
+        return found
+
+    both = t.let(read, lambda x: F.struct(reason(x).alias("reason"), F.struct(*[x[f.name].alias(f.name) for f in schema.fields]).alias("value")))
+    judged = answers.withColumn("_judged", both)
+    return judged.select(*answers.columns, F.when(F.col("_judged.reason").isNull(), F.col("_judged.value")).otherwise(fallback).alias("value"), F.col("_judged.reason").alias("reason"))

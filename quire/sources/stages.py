@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df``, computed now and read from ``spark.checkpoint.dir`` from then on; Spark keeps its partitioning, and may delete the files once nothing refers to them.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder for this session's results, in ``spark.checkpoint.dir``.
 
     A local session without that setting gets a folder of its own; on a cluster it is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="quire-stages-"))
+    return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, computed now and read from ``spark.checkpoint.dir`` from then on; Spark keeps its partitioning, and may delete the files once nothing refers to them."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
