@@ -163,7 +163,8 @@ def span_regions(spark: SparkSession, sf: str) -> DataFrame:
         own = part(line, x, x + 28)
         return F.struct(t.alias("t"), F.when(k % 40 == 9, F.array(own, part(line + 1, F.lit(30.0), F.lit(52.0)))).otherwise(F.array(own)).alias("parts"))
 
-    docs = docs.select("doc_id", F.array_join("w", " ").alias("text"), F.transform("w", token).alias("tokens"), F.col("w"), F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 25).cast("int"))).alias("span"))
+    docs = docs.select("doc_id", F.array_join("w", " ").alias("text"), F.transform("w", token).alias("tokens"), "w")
+    docs = docs.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 25).cast("int"))).alias("span"))
     start = F.when(F.col("span") > 0, F.length(F.array_join(F.slice("w", F.lit(1), F.col("span") * 25), " ")) + 1).otherwise(0)
     end = F.length(F.array_join(F.slice("w", F.lit(1), F.least(F.size("w"), (F.col("span") + 1) * 25)), " "))
     found = regions.located(docs, regions.tokens_between(F.col("text"), F.col("tokens"), start, end)).select("doc_id", "span", F.explode("regions").alias("r"))
