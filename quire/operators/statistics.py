@@ -76,10 +76,19 @@ def name_candidates(docs: DataFrame, key: str, order: str, least: int = 2, most:
     return counts.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= most).select(key, "name", "n", "rank")
 
 
+def exact_sum(x: Column) -> Column:
+    """The sum of doubles, whatever their order: added as decimals of twelve places, so no tie hangs on how rows were dealt out.
+
+    A group with a value that doesn't fit (from 1e16 on, or not finite) is added as doubles.
+    """
+    d = x.try_cast("decimal(28,12)")
+    return F.when(F.count_if(x.isNotNull() & d.isNull()) > 0, F.sum(x)).otherwise(F.sum(d).cast("double"))
+
+
 def progress(steps: DataFrame, keys: list[str], weights: dict[str, float]) -> DataFrame:
     """Weighted progress over the stages of ``weights`` (others count nothing), to one place, 100 at most."""
     w = F.coalesce(*[F.when(F.col("stage") == k, F.lit(v)) for k, v in weights.items()], F.lit(0.0))
-    total = F.sum(w * F.col("progress")) / F.nullif(F.sum(w), F.lit(0.0))
+    total = exact_sum(w * F.col("progress")) / F.nullif(F.sum(w), F.lit(0.0))
     return steps.groupBy(*keys).agg(F.least(F.lit(100.0), F.floor(F.coalesce(total, F.lit(0.0)) * 10 + 0.5) / 10).alias("progress"))
 
 
