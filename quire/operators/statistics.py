@@ -99,7 +99,7 @@ def stage_rollup(steps: DataFrame, keys: list[str]) -> DataFrame:
     rows = steps.groupBy(*keys, "stage").agg(
         F.count(F.lit(1)).alias("steps"), F.count_if(done).alias("done"), F.count_if(F.col("status") == "FAILED").alias("failed"),
         F.count_if(F.col("status") == "RUNNING").alias("running"), F.count_if(F.col("status") == "SKIPPED").alias("skipped"),
-        F.count_if((F.col("status") == "COMPLETED") & F.col("cached")).alias("cached"), F.avg(shown).alias("mean"),
+        F.count_if((F.col("status") == "COMPLETED") & F.col("cached")).alias("cached"), (exact_sum(shown) / F.count(shown)).alias("mean"),
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
     )
     state = F.when(F.col("failed") > 0, "failed").when(F.col("skipped") == F.col("steps"), "skipped").when(F.col("done") == F.col("steps"), "done").when(F.col("running") > 0, "running").when(F.col("done") > 0, "partial").otherwise("pending")

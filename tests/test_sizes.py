@@ -13,6 +13,9 @@ def _steps(spark, lists):
 
 
 def test_rounded_means_do_not_hang_on_the_order_of_rows(spark):
+    # Added as doubles, these four make 178 in one order and a little less in the other.
+    steps = _steps(spark, [(92.11, 41.4, 22.45, 22.04), (92.11, 22.45, 22.04, 41.4)])
+    assert [r["progress"] for r in statistics.stage_rollup(steps, ["project"]).collect()] == [45.0, 45.0]
     steps = _steps(spark, [(22.17, 21.52, 54.28, 59.83), (22.17, 54.28, 21.52, 59.83)])
     assert len({r["progress"] for r in statistics.progress(steps, ["project"], {"click": 3.0}).collect()}) == 1
 
