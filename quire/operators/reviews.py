@@ -169,11 +169,17 @@ def freed_bytes(files: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFr
 
 def picked_voices(wanted: DataFrame, voices: DataFrame) -> DataFrame:
     """key, voice for rows (key, preferred, language): the preferred voice if it is there, else the first (by place) of the language,
-    else the first of all. ``voices``: id, language, place; they are few."""
-    listed = voices.agg(F.sort_array(F.collect_list(F.struct("place", "id", "language"))).alias("v"))
-    rows = wanted.join(F.broadcast(listed))  # one row
-    ids, own = F.transform("v", lambda x: x["id"]), F.filter("v", lambda x: x["language"].startswith(F.col("language")))
-    return rows.select("key", F.when(F.array_contains(ids, F.col("preferred")), F.col("preferred")).otherwise(F.coalesce(F.try_element_at(own, F.lit(1))["id"], F.try_element_at("v", F.lit(1))["id"])).alias("voice"))
+    else the first of all. ``voices``: id, language, place.
+
+    A voice is of each language that its own begins with; the beginnings of the distinct ones are listed, so both look-ups are equi-joins.
+    """
+    ids = voices.where(F.col("id").isNotNull()).select(F.col("id").alias("preferred")).distinct().withColumn("_known", F.lit(True))
+    spoken = voices.where(F.col("language").isNotNull()).groupBy(F.col("language").alias("_l")).agg(F.min(F.struct("place", "id")).alias("_v"))
+    begins = F.transform(F.sequence(F.lit(0), F.length("_l")), lambda n: F.substring("_l", F.lit(1), n))
+    own = spoken.select(F.explode(begins).alias("language"), "_v").groupBy("language").agg(F.min("_v")["id"].alias("_own"))
+    first = voices.agg(F.min(F.struct("place", "id"))["id"].alias("_first"))  # one row
+    rows = wanted.join(ids, "preferred", "left").join(own, "language", "left").join(F.broadcast(first))
+    return rows.select("key", F.when(F.col("_known"), F.col("preferred")).otherwise(F.coalesce("_own", "_first")).alias("voice"))
 
 
 def same_drafts(a: DataFrame, b: DataFrame, keys: list[str], ignored: list[str]) -> DataFrame:

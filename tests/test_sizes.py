@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import statistics
+from quire.operators import reviews, statistics
 
 
 def _steps(spark, lists):
@@ -24,3 +24,12 @@ def test_sums_of_values_that_are_no_decimals(spark):
     rows = spark.createDataFrame([(1, 1e300), (1, 1.0), (2, float("inf")), (3, None), (4, 0.1), (4, 0.2)], "k int, x double")
     found = dict(rows.groupBy("k").agg(statistics.exact_sum(F.col("x")).alias("s")).collect())
     assert found == {1: 1e300, 2: float("inf"), 3: None, 4: 0.3}
+
+
+def test_voices_are_looked_up_by_joins_on_keys(spark):
+    wanted = spark.createDataFrame([(1, "v2", "fr"), (2, "none", "en"), (3, None, "bn"), (4, None, "xx"), (5, "none", None), (6, "none", "")], "key int, preferred string, language string")
+    voices = spark.createDataFrame([("v9", None, 0), ("v1", "en-US", 3), ("v2", "en", 2), ("v3", "bn", 5), ("v3", "bn", 4), (None, "fr", 1)], "id string, language string, place int")
+    found = reviews.picked_voices(wanted, voices)
+    assert dict(found.collect()) == {1: "v2", 2: "v2", 3: "v3", 4: "v9", 5: "v9", 6: "v9"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in plan and "collect_list" not in plan  # not all voices for each row
