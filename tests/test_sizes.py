@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
-from quire.operators import marks, reviews, statistics
+from quire.operators import marks, regions, reviews, statistics
 
 
 def _steps(spark, lists):
@@ -44,3 +46,20 @@ def test_camera_moves_start_no_group_in_python(spark):
         got.setdefault(r["run"], []).append((r["k"], round(r["t0"], 2), r["y_to"], r["seconds"]))
     assert len(got) == 300 and got[2] == got[0] == [(0, 0.0, 150.0, 0.0), (1, 3.65, 245.0, 0.9)]
     assert got[1] == [(0, 0.0, 150.0, 0.0), (1, 1.65, 245.0, 0.9), (2, 2.65, 365.0, 0.9), (3, 3.65, 485.0, 0.9)]
+
+
+def test_regions_of_a_long_text_take_no_longer_than_its_length(spark):
+    # 4,000 stretches of 25 words: each once carried all 100,000 words with it.
+    words = [f"w{k}" for k in range(100_000)]
+    rows = spark.createDataFrame([(1, " ".join(words))], "doc int, text string").withColumn("w", F.split("text", " "))
+    rows = rows.select("doc", "text", F.transform("w", lambda t, k: F.struct(t.alias("t"), F.array(F.struct(F.floor(k / 100).alias("page"), (k % 10 * 30.0).alias("x0"), (F.floor(k / 10) * 15.0).alias("y0"), (k % 10 * 30.0 + 28).alias("x1"), (F.floor(k / 10) * 15.0 + 11).alias("y1"))).alias("parts"))).alias("tokens"))
+    ends = [0]
+    for k in range(0, len(words), 25):
+        ends.append(ends[-1] + len(" ".join(words[k : k + 25])) + 1)
+    spans = spark.createDataFrame([(1, [(a, b - 1) for a, b in zip(ends, ends[1:], strict=False)])], "doc int, spans array<struct<start:int,end:int>>")
+    began = time.monotonic()
+    own = regions.tokens_between(rows.join(F.broadcast(spans), "doc"), "text", "tokens", "spans", "own").select("doc", F.posexplode("own").alias("span", "own"))
+    found = regions.located(own, F.col("own")).select("span", F.size("own").alias("n"), F.inline("regions")).orderBy("span").collect()
+    assert time.monotonic() - began < 60
+    assert len(found) == 4000 and {r["n"] for r in found} == {25}
+    assert found[0]["rects"] == [[0.0, 0.0, 298.0, 11.0], [0.0, 15.0, 298.0, 26.0], [0.0, 30.0, 148.0, 41.0]] and found[0]["chars"] == sum(map(len, words[:25]))
