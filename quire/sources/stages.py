@@ -21,6 +21,16 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Rows that a Python worker gets at a time: it holds their texts, and lists made of each, as Python objects.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send at most BATCH_ROWS rows at a time to Python workers, from now on in this session; their memory then doesn't grow with a table."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df``, computed now and read from ``spark.checkpoint.dir`` from then on; Spark keeps its partitioning, and may delete the files once nothing refers to them."""
     shared_folder(df.sparkSession)
