@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
 import time
 
 from pyspark.sql import functions as F
 
-from quire.operators import marks, regions, reviews, statistics
+from quire.operators import characters, marks, regions, reviews, statistics
+from quire.plans.queries import QUERIES
 
 
 def _steps(spark, lists):
@@ -63,3 +65,31 @@ def test_regions_of_a_long_text_take_no_longer_than_its_length(spark):
     assert time.monotonic() - began < 60
     assert len(found) == 4000 and {r["n"] for r in found} == {25}
     assert found[0]["rects"] == [[0.0, 0.0, 298.0, 11.0], [0.0, 15.0, 298.0, 26.0], [0.0, 30.0, 148.0, 41.0]] and found[0]["chars"] == sum(map(len, words[:25]))
+
+
+def test_lists_of_characters_give_what_rows_of_characters_do(spark):
+    r = random.Random(3)
+    data = []
+    for line in range(120):
+        x = 0.0
+        for k in range(r.randrange(0, 40)):
+            x += r.choice([4.0, 5.0, 5.0, 9.0])
+            c = r.choice(["a", "b", " ", "\t", " ", "é", "", None, "ক"])
+            data.append((line % 7, line, k // 6, k, c, x, 0.0, x + r.choice([0.0, 4.0, 5.0]), None if r.random() < 0.1 else 9.0, r.choice([True, False, None]), r.choice([9.0, 11.0, None]), r.choice(["A", "B", None]), r.choice([True, False]), r.choice([True, None])))
+    rows = spark.createDataFrame(data, "page int, line_no int, span int, k int, c string, x0 double, y0 double, x1 double, y1 double, ocr boolean, size double, font string, bold boolean, italic boolean")
+    lines = rows.groupBy("page", "line_no").agg(F.shuffle(F.collect_list(F.struct(*rows.columns[2:]))).alias("chars"))
+    lines = lines.unionByName(spark.createDataFrame([(9, 999, None)], "page int, line_no int, chars " + lines.schema["chars"].dataType.simpleString()))
+    key = ["page", "line_no"]
+    for listed, single in ((characters.words_of_lines(lines, key), characters.words_of(rows, key)), (characters.types_of_lines(lines, key), characters.lines_of(rows, key))):
+        assert listed.columns == single.columns and [f.dataType for f in listed.schema] == [f.dataType for f in single.schema]
+        assert sorted(map(str, listed.collect())) == sorted(map(str, single.collect())) and listed.count() > 50
+        assert "Exchange" not in characters.words_of_lines(rows.select(*key, F.array(F.struct(*rows.columns[2:])).alias("chars")), key)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_python_workers_get_few_rows_at_a_time(spark, tmp_path):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    spark.createDataFrame([(1, "a. b.")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("document_sentences", "caption_chunks", "script_parts"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        QUERIES[name](spark, str(tmp_path))
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
