@@ -115,11 +115,11 @@ def _families(sets: DataFrame, percent: int) -> DataFrame:
     """set, family of the sets (set, n, tokens: the bands) that may have links."""
     posts = sets.select("set", F.posexplode("tokens").alias("band", "word")).where("word <> 0").select("set", F.xxhash64("band", "word").alias("key"))
     lists = posts.groupBy("key").agg(F.min("set").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    lists = space.cut(lists, "band-lists")
-    met = space.cut(posts.join(lists, "key"), "band-sets")
+    lists = space.cut_large(lists, "band-lists")
+    met = space.cut_large(posts.join(lists, "key"), "band-sets")
     short = met.where(F.col("m") <= SHORT_LIST).groupBy("key").agg(F.sort_array(F.collect_list("set")).alias("x"))
     pairs = F.flatten(F.transform("x", lambda a, i: F.transform(F.slice("x", i + 2, F.size("x")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    pairs = space.cut(short.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct(), "band-pairs")
+    pairs = space.cut_large(short.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct(), "band-pairs")
     side = [sets.select(F.col("set").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"t_{c}")) for c in "ab"]
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +132,7 @@ def _families(sets: DataFrame, percent: int) -> DataFrame:
 
     close = pairs.join(side[0], "a").join(side[1], "b").select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(near, "a long, b long")
     starred = met.where((F.col("m") > SHORT_LIST) & (F.col("set") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("set").alias("b"))
-    edges = space.cut(close.unionByName(starred).distinct(), "family-links", done=(lists, met, pairs))
+    edges = space.cut_large(close.unionByName(starred).distinct(), "family-links", done=(lists, met, pairs))
     return components(edges).select(F.col("node").alias("set"), F.col("label").alias("family"))
 
 
