@@ -1,6 +1,32 @@
 """Large families of the Jaccard operators, and the joins of tables that grow."""
 
-from quire.llm import space
+import random
+
+import pytest
+from test_llm import brute_classes
+
+from quire.llm import hyperminhash, jaccard, space
+
+METHODS = {"op4": (jaccard.Method(), 90), "op12": (hyperminhash.METHOD, 85)}
+
+
+@pytest.mark.parametrize("name", METHODS)
+def test_a_common_passage_makes_no_large_family(spark, monkeypatch, name):
+    method, percent = METHODS[name]
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passage = [word() for _ in range(30)]
+    texts = [" ".join(passage + [word() for _ in range(8)]) for _ in range(120)]
+    texts += [t + " " + word() for t in texts[:10]]  # near copies
+    placed = []
+    real = jaccard._placed
+    monkeypatch.setattr(jaccard, "_placed", lambda members, *a: (placed.append(members.count()), real(members, *a))[1])
+    monkeypatch.setattr(jaccard, "LARGE_FAMILY", 16, raising=False)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {tuple(x) for x in jaccard.jaccard_classes(df, size=3, percent=percent, method=method).collect()}
+    assert got == brute_classes(list(enumerate(texts)), percent=percent)
+    assert len({c for _, _, c in got}) < len(texts)
+    assert placed[0] < len(texts) // 3
 
 
 def test_arrays_and_exploded_rows_are_not_broadcast(spark):
