@@ -147,15 +147,16 @@ def tag_chars(tags: Column) -> Column:
 
 def fit_tags(tags: Column, budget: int = 500) -> Column:
     """Clean tags without repeats, as many as the budget holds: one that doesn't fit is passed over, later ones may fit."""
-    empty = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("seen"))
+    empty = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("seen"), F.lit(0).alias("used"))
 
     def step(s: Column, raw: Column) -> Column:
+        # ``used`` is tag_chars of the tags so far, and a comma: each tag costs its own length, however many there are.
         def take(t: Column) -> Column:
-            grown = F.concat(s["out"], F.array(t))
-            ok = (t != "") & ~F.array_contains(s["seen"], F.lower(t)) & (tag_chars(grown) <= budget)
-            return F.when(ok, F.struct(grown.alias("out"), F.concat(s["seen"], F.array(F.lower(t))).alias("seen"))).otherwise(s)
+            grown = s["used"] + F.length(t) + F.when(t.rlike(r"\s"), 2).otherwise(0)
+            ok = (t != "") & (s["used"] + F.length(t) <= budget) & (grown <= budget) & ~F.array_contains(s["seen"], F.lower(t))
+            return F.when(ok, F.struct(F.concat(s["out"], F.array(t)).alias("out"), F.concat(s["seen"], F.array(F.lower(t))).alias("seen"), (grown + 1).alias("used"))).otherwise(s)
 
-        return F.element_at(F.transform(F.array(sanitize_tag(raw)), take), 1)
+        return F.when(s["used"] >= budget, s).otherwise(let(sanitize_tag(raw), take))
 
     return F.aggregate(tags, empty, step, lambda s: s["out"])
 
@@ -165,10 +166,10 @@ def fit_hashtags(tags: Column, most: int) -> Column:
 
     def step(out: Column, raw: Column) -> Column:
         def take(t: Column) -> Column:
-            fresh = (t != "") & ~F.exists(out, lambda o: F.lower(o) == F.lower(t)) & (F.size(out) < most)
+            fresh = (t != "") & ~F.exists(out, lambda o: F.lower(o) == F.lower(t))
             return F.when(fresh, F.concat(out, F.array(t))).otherwise(out)
 
-        return F.element_at(F.transform(F.array(sanitize_hashtag(raw)), take), 1)
+        return F.when(F.size(out) >= most, out).otherwise(let(sanitize_hashtag(raw), take))
 
     return F.aggregate(tags, F.array().cast("array<string>"), step)
 
