@@ -91,9 +91,10 @@ def overlap(a: Column, b: Column) -> Column:
 
 def letter_similarity(a: Column, b: Column, most: int = 800) -> Column:
     """1 - edit distance / longer length over the letters and digits of two texts; 1 if both have none."""
-    a, b = (F.substring(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", ""), 1, most) for x in (a, b))
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
+    from quire.functions.sequences import edit_distances
+
+    pair = F.struct(*[F.substring(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", ""), 1, most).alias(c) for x, c in ((a, "a"), (b, "b"))])
+    return let(edit_distances(pair), lambda d: F.when(d["longest"] == 0, F.lit(1.0)).otherwise(1 - d["distance"] / d["longest"]))
 
 
 def is_damaged(text: Column) -> Column:

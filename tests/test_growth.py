@@ -1,7 +1,10 @@
 """Work that must not grow faster than its input: results as before, by plans without the costly step."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from quire.functions import sequences as q
 from quire.functions import text as t
 
 
@@ -15,3 +18,12 @@ def test_tags_are_not_counted_anew_for_each_tag(spark):
     assert list(got.first()) == [["a b", "cd", "x"], ["a b", "cd"], ["a b", "cd", "efgh", "x", "y"], ["ab", "cd", "efgh"]]
     assert all(t_ == "" or n <= 10 for t_, n in got.select(F.array_join("a", ","), t.tag_chars(F.col("a"))).collect())
     assert plan(df.select(t.fit_tags(F.col("t"), 10).alias("x"))).count("aggregate(") == 1
+
+
+def test_edit_distances_equal_sparks(spark):
+    r = random.Random(4)
+    rows = [("".join(r.choices("abcé😀", k=r.randrange(120))), "".join(r.choices("abcé😀", k=r.randrange(120)))) for _ in range(300)]
+    df = spark.createDataFrame([*rows, ("", ""), ("abc", ""), (None, "a"), (None, None)], "a string, b string")
+    both = df.select(q.edit_distances(F.struct("a", "b")).alias("d"), F.levenshtein("a", "b").alias("want"), F.greatest(F.length("a"), F.length("b")).alias("longest"))
+    assert all(x["d"]["distance"] == x["want"] and (x["want"] is None or x["d"]["longest"] == x["longest"]) for x in both.collect())
+    assert "levenshtein" not in plan(df.select(t.letter_similarity(F.col("a"), F.col("b"))))
