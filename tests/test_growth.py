@@ -1,11 +1,13 @@
 """Work that must not grow faster than its input: results as before, by plans without the costly step."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from quire.functions import sequences as q
 from quire.functions import text as t
+from quire.operators import furniture
 
 
 def plan(df):
@@ -27,3 +29,12 @@ def test_edit_distances_equal_sparks(spark):
     both = df.select(q.edit_distances(F.struct("a", "b")).alias("d"), F.levenshtein("a", "b").alias("want"), F.greatest(F.length("a"), F.length("b")).alias("longest"))
     assert all(x["d"]["distance"] == x["want"] and (x["want"] is None or x["d"]["longest"] == x["longest"]) for x in both.collect())
     assert "levenshtein" not in plan(df.select(t.letter_similarity(F.col("a"), F.col("b"))))
+
+
+def test_words_of_a_book_pass_no_window(spark):
+    rows = [("b", 1, 0, "One two-"), ("b", 1, 1, "three Four"), ("b", 1, 2, "five-"), ("b", 1, 3, "six"), ("b", 2, 0, "seven end-"), ("b", 4, 0, "eight nine"), ("c", 3, 0, "ten"), (None, 5, 0, "zero-"), (None, 6, 0, "a b")]
+    df = spark.createDataFrame(rows, "book string, page int, line_no int, text string")
+    got = furniture.vocabulary(df)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("b", "one"), ("b", "four"), ("b", "seven"), ("b", "nine"), ("c", "ten"), (None, "b")], key=str)
+    windows = [x for x in plan(got).splitlines() if re.search(r"Window \[", x)]
+    assert windows and not any(re.search(r"\[book#\d+\], \[page#\d+ ASC NULLS FIRST, line_no", x) for x in windows)
