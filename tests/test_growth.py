@@ -38,3 +38,10 @@ def test_words_of_a_book_pass_no_window(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([("b", "one"), ("b", "four"), ("b", "seven"), ("b", "nine"), ("c", "ten"), (None, "b")], key=str)
     windows = [x for x in plan(got).splitlines() if re.search(r"Window \[", x)]
     assert windows and not any(re.search(r"\[book#\d+\], \[page#\d+ ASC NULLS FIRST, line_no", x) for x in windows)
+
+
+def test_shingles_take_words_in_place(spark):
+    df = spark.createDataFrame([("b a c a b a c",), ("a b",), ("",)], "text string")
+    got = df.select(t.shingles(F.col("text")).alias("s"), t.runs_of(F.split("text", " "), 2).alias("r"))
+    assert [list(x) for x in got.collect()] == [[["b a c", "a c a", "c a b", "a b a"], ["b a", "a c", "c a", "a b"]], [[], ["a b"]], [[], []]]
+    assert "slice(" not in plan(got)
