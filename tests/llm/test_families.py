@@ -36,3 +36,27 @@ def test_arrays_and_exploded_rows_are_not_broadcast(spark):
     for joined in (posts.join(common, "token"), spark.range(5).withColumnRenamed("id", "set").join(sets, "set")):
         plan = joined._jdf.queryExecution().sparkPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", METHODS)
+def test_a_large_family_of_near_copies_is_routed_by_few_hashes(spark, monkeypatch, name):
+    method, percent = METHODS[name]
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    base = [word() for _ in range(120)]
+    texts = [" ".join(base[:k] + [word()] + base[k + 1 :]) for k in range(120)]
+    routed = []
+    real = jaccard._families
+
+    def families(sets, *a, **more):
+        if more:
+            routed.append(tuple(sets.selectExpr("sum(n)", "sum(size(tokens))").first()))
+        return real(sets, *a, **more)
+
+    monkeypatch.setattr(jaccard, "_families", families)
+    monkeypatch.setattr(jaccard, "LARGE_FAMILY", 16)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {tuple(x) for x in jaccard.jaccard_classes(df, size=3, percent=percent, method=method).collect()}
+    assert got == brute_classes(list(enumerate(texts)), percent=percent)
+    ((hashes, tokens),) = routed
+    assert tokens < 0.4 * hashes
