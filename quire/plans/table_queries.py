@@ -13,7 +13,7 @@ from quire.operators import catalog, statistics, timeline
 from quire.plans import lineage
 from quire.plans.registry import query
 from quire.sources.scripts import read_script_batch
-from quire.sources.stages import small_batches
+from quire.sources.stages import small_batches, spread
 from quire.sources.tables import latest_per_key, table
 from quire.streaming import progress, timed
 
@@ -158,7 +158,8 @@ def timeline_by_words(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def printed_word_times(spark: SparkSession, sf: str) -> DataFrame:
     """When each printed word of a turn is said, though the narration has other words."""
-    rows = _turns(spark, sf).select("conv_id", "turn", "start", (F.col("start") + F.col("dur")).alias("end"), t.tokens(F.col("text")).alias("w"), t.narration(F.col("text")).alias("said"))
+    turns = spread(_turns(spark, sf), "conv_id", "turn")
+    rows = turns.select("conv_id", "turn", "start", (F.col("start") + F.col("dur")).alias("end"), t.tokens(F.col("text")).alias("w"), t.narration(F.col("text")).alias("said"))
     timed = rows.withColumn("x", q.time_printed_words("w", "said", "start", "end"))
     return timed.select("conv_id", "turn", F.posexplode("x").alias("word_no", "t")).select("conv_id", "turn", "word_no", tm.rounded(F.col("t.start"), 4).alias("start"), tm.rounded(F.col("t.end"), 4).alias("end"))
 

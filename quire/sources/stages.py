@@ -31,6 +31,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over all shuffle partitions of the session, before a step that makes many rows, or much work, of each.
+
+    Spark joins small partitions by the bytes that it shuffles, which are those before such a step: one task would get it all.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df``, computed now and read from ``spark.checkpoint.dir`` from then on; Spark keeps its partitioning, and may delete the files once nothing refers to them."""
     shared_folder(df.sparkSession)

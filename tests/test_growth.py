@@ -2,12 +2,16 @@
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from quire.functions import sequences as q
 from quire.functions import text as t
 from quire.operators import furniture
+from quire.plans.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -45,3 +49,37 @@ def test_shingles_take_words_in_place(spark):
     got = df.select(t.shingles(F.col("text")).alias("s"), t.runs_of(F.split("text", " "), 2).alias("r"))
     assert [list(x) for x in got.collect()] == [[["b a c", "a c a", "c a b", "a b a"], ["b a", "a c", "c a", "a b"]], [[], ["a b"]], [[], []]]
     assert "slice(" not in plan(got)
+
+
+def _longest_common(a, b):
+    """As ``common_runs``, by the table of lengths."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] and a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] and a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def test_long_texts_are_aligned_by_bit_vectors():
+    r = random.Random(6)
+    for _ in range(1500):
+        a, b = (r.choices(["", "a", "b", "c", "dd"][: r.randrange(2, 6)], k=r.randrange(25)) for _ in "ab")
+        assert q.common_runs(a, b) == _longest_common(a, b)
+    began = time.process_time()
+    words = [str(r.randrange(900)) for _ in range(5000)]
+    assert len(q.common_runs(words, words[:2000] + words[2010:])) == 4990
+    assert time.process_time() - began < 2
+
+
+def test_words_are_timed_in_many_tasks(spark):
+    got = QUERIES["printed_word_times"](spark, SF)
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
