@@ -124,7 +124,8 @@ q AS (SELECT conv_id, turn, k AS word_no, pg AS page, floor((a + (b - a) * done
 
 def _parted_words(spark: SparkSession, sf: str) -> DataFrame:
     """Words of turns, timed from the turn's start; five are printed on a page, and the last of them goes on on the next."""
-    rows = _turns(spark, sf).select("conv_id", "turn", F.lit(0.0).alias("zero"), "dur", F.posexplode(t.tokens(F.col("text"))).alias("word_no", "word"))
+    turns = spread(_turns(spark, sf).select("conv_id", "turn", "dur", "text"), "conv_id", "turn")
+    rows = turns.select("conv_id", "turn", F.lit(0.0).alias("zero"), "dur", F.posexplode(t.tokens(F.col("text"))).alias("word_no", "word"))
     timed = timeline.shares(rows, ["conv_id", "turn"], ["word_no"], (F.length("word") + 1).cast("double"), "zero", "dur", "start", "end")
     k, page, width = F.col("word_no"), F.floor(F.col("word_no") / 5).cast("int"), F.length("word") * 4.0
 

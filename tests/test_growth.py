@@ -83,3 +83,8 @@ def test_long_texts_are_aligned_by_bit_vectors():
 def test_words_are_timed_in_many_tasks(spark):
     got = QUERIES["printed_word_times"](spark, SF)
     assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_words_are_given_pages_in_many_tasks(spark):
+    got = QUERIES["words_on_pages"](spark, SF)
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
