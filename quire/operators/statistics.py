@@ -48,21 +48,22 @@ def form_key(word: Column) -> Column:
 def word_pairs(docs: DataFrame, key: str) -> DataFrame:
     """key, pair, n: counts of neighbouring word forms; chains break at sentence ends and at tokens without a form.
 
-    Pairs of printed words are counted first: forms are made of the distinct ones only.
+    The form of a token is made once, for both pairs that it is in, and what is shuffled are counts of pairs of forms.
     """
-    tok = t.tokens(F.col("text"))
-    own = docs.select(key, tok.alias("w")).where(F.size("w") > 1)
-    printed = own.select(key, F.inline(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w") - 1).alias("b"))))
-    counts = printed.groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("n")).where(~(F.col("a").rlike(r"""[.!?]["'”’)]*$""") & ~F.col("a").rlike(r"^\p{Lu}\p{Ll}?\.$")))
-    rows = counts.select(key, form_key(F.col("a")).alias("a"), form_key(F.col("b")).alias("b"), "n").where("a <> '' AND b <> ''")
-    return rows.groupBy(key, F.concat_ws(" ", F.regexp_replace("a", r"\.$", ""), F.col("b")).alias("pair")).agg(F.sum("n").alias("n"))
+    ends = lambda w: w.rlike(r"""[.!?]["'”’)]*$""") & ~w.rlike(r"^\p{Lu}\p{Ll}?\.$")
+    made = F.transform(t.tokens(F.col("text")), lambda w: t.let(form_key(w), lambda x: F.struct(x.alias("form"), F.when(~ends(w), F.regexp_replace(x, r"\.$", "")).alias("head"))))
+    pairs = t.let(made, lambda w: F.arrays_zip(F.slice(w, F.lit(1), F.greatest(F.lit(0), F.size(w) - 1)).alias("a"), F.slice(w, 2, F.size(w)).alias("b")))
+    rows = docs.select(key, F.inline(pairs)).where("a.form <> '' AND b.form <> '' AND a.head IS NOT NULL")
+    return rows.groupBy(key, F.concat_ws(" ", "a.head", "b.form").alias("pair")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def word_counts(docs: DataFrame, key: str) -> DataFrame:
     """key, word, n, n_lower: occurrences of each form, and those printed in lower case. Printed words are counted first."""
     printed = docs.select(key, F.explode(t.tokens(F.col("text"))).alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias("n"))
-    rows = printed.select(key, form_key(F.col("w")).alias("word"), F.when(F.col("w").rlike(r"^[^\p{L}]*\p{Ll}"), F.col("n")).otherwise(0).alias("low"), "n").where("word <> ''")
-    return rows.groupBy(key, "word").agg(F.sum("n").alias("n"), F.sum("low").alias("n_lower"))
+    rows = printed.select(key, form_key(F.col("w")).alias("word"), F.when(F.col("w").rlike(r"^[^\p{L}]*\p{Ll}"), F.col("n")).otherwise(0).alias("low"), "n")
+    # Asked of a group's aggregate, for Spark moves a condition on the word itself before the count, to each printed word.
+    counts = rows.groupBy(key, "word").agg(F.sum("n").alias("n"), F.sum("low").alias("n_lower"), F.max(F.length("word")).alias("_chars"))
+    return counts.where("_chars > 0").drop("_chars")
 
 
 def name_candidates(docs: DataFrame, key: str, order: str, least: int = 2, most: int = 150) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import sequences as q
 from quire.functions import text as t
-from quire.operators import furniture
+from quire.operators import furniture, statistics
 from quire.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -88,3 +88,14 @@ def test_words_are_timed_in_many_tasks(spark):
 def test_words_are_given_pages_in_many_tasks(spark):
     got = QUERIES["words_on_pages"](spark, SF)
     assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_forms_are_made_once_a_token(spark):
+    texts = ["One two. Three, (four) J. Five!” six — a.  b", "x", "", None, "--", "Two two two TWO"]
+    df = spark.createDataFrame([("k", x) for x in texts], "k string, text string")
+    pairs, counts = statistics.word_pairs(df, "k"), statistics.word_counts(df, "k")
+    assert sorted(map(tuple, pairs.collect())) == [("k", "four j.", 1), ("k", "j five", 1), ("k", "one two.", 1), ("k", "three four", 1), ("k", "two two", 3)]
+    assert {(x["word"], x["n"], x["n_lower"]) for x in counts.collect()} >= {("two", 4, 2), ("two.", 1, 1), ("j.", 1, 0), ("x", 1, 1)}
+    # No form of a printed word below the count, where each pair or word would have its own.
+    assert plan(pairs).count("Aggregate [") == 1 and plan(pairs).count("lower(") == 1
+    assert not any("Filter" in x and "lower(" in x for x in plan(counts).splitlines())
