@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import sequences as q
 from quire.functions import text as t
-from quire.operators import furniture, statistics
+from quire.operators import furniture, regions, statistics
 from quire.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -99,3 +99,15 @@ def test_forms_are_made_once_a_token(spark):
     # No form of a printed word below the count, where each pair or word would have its own.
     assert plan(pairs).count("Aggregate [") == 1 and plan(pairs).count("lower(") == 1
     assert not any("Filter" in x and "lower(" in x for x in plan(counts).splitlines())
+
+
+def test_boxes_are_made_of_lines_that_come_without_their_words(spark):
+    lines = spark.createDataFrame([("a", 1, 14.0, [1, 2]), ("a", 0, 0.0, [2, 2, 3]), ("b", 5, 3.0, [4])], "doc string, line_no int, y0 double, chars array<int>")
+
+    def parts(x):
+        return F.transform(x["chars"], lambda n, k: F.struct(F.lit(1).cast("long").alias("page"), (k * 10.0).alias("x0"), x["y0"].alias("y0"), (k * 10.0 + 8).alias("x1"), (x["y0"] + 10).alias("y1"), n.cast("double").alias("chars")))
+
+    got = {r["doc"]: (r["page"], [list(b) for b in r["rects"]], r["chars"]) for r in regions.regions_of_lines(lines, ["doc"], ["line_no"], parts).collect()}
+    assert got == {"a": (1, [[0.0, 0.0, 28.0, 10.0], [0.0, 14.0, 18.0, 24.0]], 10), "b": (1, [[0.0, 3.0, 8.0, 13.0]], 4)}
+    query = plan(QUERIES["sentence_regions"](spark, SF))
+    assert query[query.index("Aggregate [") :].count("Generate ") == 1  # the lines of documents
