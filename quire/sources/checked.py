@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
+from quire.sources.stages import small_batches
+
 SCHEMA = "path string, file string, doc_id string, offset bigint, page int, reason string, detail string, line string"
 #: Bytes that one task reads; larger files are divided.
 TASK_BYTES = 64 << 20
@@ -183,7 +185,8 @@ class CheckedPages(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format known to a session, and let Spark hand filters to it."""
+    """Make the format known to a session, and let Spark hand filters to it. A worker then holds few lines at a time: pages may be long."""
+    small_batches(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CheckedPages)
 

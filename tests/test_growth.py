@@ -10,6 +10,7 @@ from quire.functions import sequences as q
 from quire.functions import text as t
 from quire.operators import furniture, marks, regions, statistics
 from quire.plans.queries import QUERIES
+from quire.sources import checked
 
 SF = "/root/testdata/sf0.001"
 
@@ -120,3 +121,9 @@ def test_a_cursor_needs_no_join(spark):
     got = marks.cursor(words, times, ["doc"])
     assert sorted(map(tuple, got.collect())) == [("a", -1.0, 1, 10.0), ("a", 0.5, 2, 55.0), ("a", 9.0, 1, 50.0)]
     assert "Join" not in plan(got) and "Join" not in plan(QUERIES["cursor_places"](spark, SF))
+
+
+def test_readers_of_page_files_hold_few_lines_at_a_time(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    checked.register(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
