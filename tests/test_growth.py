@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import sequences as q
 from quire.functions import text as t
-from quire.operators import furniture, marks, regions, statistics
+from quire.operators import furniture, marks, regions, similarity, statistics
 from quire.plans.queries import QUERIES
 from quire.sources import checked
 
@@ -127,3 +127,12 @@ def test_readers_of_page_files_hold_few_lines_at_a_time(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     checked.register(spark)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_prefixes_of_shingles_are_cut_without_reading_texts_again(spark):
+    text = "one two three four five six seven"
+    items = spark.createDataFrame([(0, "", text), (1, "", text + " eight"), (2, "", "quite other words here now today"), (3, "", ""), (4, "", text), (5, "", None)], "id int, title string, body string")
+    got = similarity.similar_pairs(items, "id", "title", "body")
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == [(0, 1), (0, 4), (1, 4)]
+    # Shingles are counted once, and made once more for each side of the pairs' prefixes.
+    assert plan(got).count("explode(transform(") <= 4
