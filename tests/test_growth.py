@@ -78,7 +78,7 @@ def test_long_texts_are_aligned_by_bit_vectors():
     began = time.process_time()
     words = [str(r.randrange(900)) for _ in range(5000)]
     assert len(q.common_runs(words, words[:2000] + words[2010:])) == 4990
-    assert time.process_time() - began < 2
+    assert time.process_time() - began < 0.5
 
 
 def test_words_are_timed_in_many_tasks(spark):
