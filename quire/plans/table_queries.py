@@ -498,24 +498,38 @@ def work_to_do(spark: SparkSession, sf: str) -> DataFrame:
 # --- the flagship -----------------------------------------------------------------------------------------------------------
 
 
+#: A document's headers are kept in so many lists, so that a line is compared with few of them.
+HEADER_CELLS = 1024
+
+
 @query()
 def timeline_slice(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of each source without its repeated headers, as sentences on one timeline: source, doc_id, sentence_idx, start, end, text."""
     from quire.sources.tables import document_lines
 
-    docs = table(spark, sf, "documents")
-    lines = document_lines(docs).withColumn("key", t.header_key(F.col("text")))
-    pages = docs.where(F.col("text").rlike(r"[^ \n]")).groupBy(F.col("source").alias("book")).agg(F.countDistinct("doc_id").alias("n"))  # those with a line that isn't blank
-    seen = lines.groupBy("book", "key").agg(F.countDistinct("page").alias("seen"))
+    docs = table(spark, sf, "documents").where("source IS NOT NULL").withColumn("doc_id", F.struct("doc_id"))  # joins and groups also where it is null
+    pages = docs.where(F.col("text").rlike(r"[^ \n]")).groupBy(F.col("source").alias("book")).agg(F.countDistinct("doc_id.doc_id").alias("n"))  # those with a line that isn't blank
+    lines = document_lines(docs).withColumn("line", F.xxhash64("text"))
+    # Headers: keys are compared by their digests, and a document's lines by their hashes, so no text is shuffled here.
+    alike = Window.partitionBy("book", "key")
+    keyed = lines.select("book", "page", "line", F.unhex(F.md5(t.header_key(F.col("text")))).alias("key"))
+    known = F.col("page.doc_id")
+    seen = keyed.withColumn("nth", F.when(known.isNotNull(), F.dense_rank().over(alike.orderBy(known.asc_nulls_last())))).withColumn("seen", F.max("nth").over(alike)).where("seen > 1")
     strong = F.when(F.col("n") <= 4, 2).otherwise(F.greatest(F.lit(3), F.ceil(F.col("n") * 0.2)))
-    repeated = seen.join(pages, "book").where(F.col("seen") >= strong).select("book", "key")
-    kept = lines.join(repeated, ["book", "key"], "left_anti")
-    said = kept.select(F.col("book").alias("source"), F.col("page").alias("doc_id"), "line_no", F.explode(q.split_sentences("text")).alias("s"))
-    said = said.withColumn("sentence_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "s.idx")) - 1)
-    timed = said.withColumn("dur", F.size(t.tokens(F.col("s.text"))) * 60 / 155.0)
-    # Offsets in two steps, so that no source has to pass through one task sentence by sentence.
-    per_doc = timed.groupBy("source", "doc_id").agg(F.sum("dur").alias("total")).withColumn("offset", timeline.exclusive_sum(F.col("total"), ["source"], "doc_id")).select("doc_id", "source", "offset")
-    inside = timed.withColumn("begin", timeline.exclusive_sum(F.col("dur"), ["doc_id"], "sentence_idx"))
-    placed = inside.join(per_doc, ["source", "doc_id"])
-    start = F.col("offset") + F.col("begin")
-    return placed.select("source", "doc_id", "sentence_idx", tm.rounded(start, 4).alias("start"), tm.rounded(start + F.col("dur"), 4).alias("end"), F.col("s.text").alias("text"))
+    found = seen.join(pages, "book").where(F.col("seen") >= strong).groupBy("book", "page", F.pmod("line", F.lit(HEADER_CELLS)).alias("cell")).agg(F.collect_set("line").alias("of"))
+    headers = found.groupBy(F.col("book").alias("source"), F.col("page").alias("doc_id")).agg(F.map_from_entries(F.collect_list(F.struct("cell", "of"))).alias("headers"))
+    # Lines are split once: both uses of them read one exchange. So it has the same columns for both, and no plain
+    # explode stands above it: Spark would put a filter for that, with a split of its own, below it.
+    parts = F.transform(q.split_sentences("text"), lambda s: F.struct("line_no", s["idx"].alias("idx"), s["text"].alias("text"), F.size(t.tokens(s["text"])).alias("words")))
+    split = lines.select(F.col("book").alias("source"), F.col("page").alias("doc_id"), "line", parts.alias("parts")).repartition("source", "doc_id")
+    header = F.array_contains(F.col("headers")[F.pmod("line", F.lit(HEADER_CELLS))], F.col("line"))
+    kept = split.join(headers, ["source", "doc_id"], "left").where(~F.coalesce(header, F.lit(False)))
+    # Words before a sentence in two steps, so that no source has to pass through one task sentence by sentence.
+    spoken = F.aggregate("parts", F.lit(0).cast("long"), lambda n, s: n + s["words"])
+    per_doc = kept.groupBy("source", "doc_id").agg(F.sum(spoken).alias("total")).withColumn("offset", timeline.exclusive_sum(F.col("total"), ["source"], "doc_id")).select("source", "doc_id", "offset")
+    said = kept.select("source", "doc_id", F.explode_outer(F.when(F.col("doc_id.doc_id").isNotNull(), F.col("parts"))).alias("s")).where("s IS NOT NULL").select("source", "doc_id", "s.*")
+    order = Window.partitionBy("source", "doc_id").orderBy("line_no", "idx")
+    before = timeline.exclusive_sum(F.col("words"), ["source", "doc_id"], "line_no", "idx")
+    placed = said.select("*", (F.row_number().over(order) - 1).alias("sentence_idx"), before.alias("before")).join(per_doc, ["source", "doc_id"])
+    start = F.col("offset") + F.col("before")
+    return placed.select("source", "doc_id.doc_id", "sentence_idx", tm.rounded(start * 60 / 155.0, 4).alias("start"), tm.rounded((start + F.col("words")) * 60 / 155.0, 4).alias("end"), "text")

@@ -136,3 +136,26 @@ def test_prefixes_of_shingles_are_cut_without_reading_texts_again(spark):
     assert sorted((r["a"], r["b"]) for r in got.collect()) == [(0, 1), (0, 4), (1, 4)]
     # Shingles are counted once, and made once more for each side of the pairs' prefixes.
     assert plan(got).count("explode(transform(") <= 4
+
+
+def test_sentences_of_the_timeline_are_split_once(spark):
+    got = QUERIES["timeline_slice"](spark, SF)
+    got.collect()
+    final = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("ArrowEvalPython") == 1
+    assert len(re.findall(r"ReusedExchange \[source#\d+, doc_id#\d+, line#", final)) == 1
+
+
+def test_a_timeline_of_documents_without_id_or_lines(spark, tmp_path):
+    rows = [(1, "Page 1\nOne two. Three.\nOwn line", "a"), (2, "page 22\nFour.\nPage 3", "a"), (2, "Five six.\nOther", "a"), (None, "Page 9\nSeven.", "a"), (3, None, "a"), (4, "\n", "a"), (5, "Page 1", None), (6, "Page 1", "b")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, QUERIES["timeline_slice"](spark, str(tmp_path)).select("source", "doc_id", "text", F.round(F.col("start") * 155 / 60).cast("int"), F.round(F.col("end") * 155 / 60).cast("int")).collect()))
+    assert [x for x in got if x[1] != 2] == [("a", 1, "One two.", 1, 3), ("a", 1, "Own line", 4, 6), ("a", 1, "Three.", 3, 4), ("b", 6, "Page 1", 0, 2)]  # a document without id takes its time
+    assert sorted(x[2] for x in got if x[1] == 2) == ["Five six.", "Four.", "Other"] and max(x[4] for x in got) == 10
+
+
+def test_sentence_breaks_compile_no_pattern(monkeypatch):
+    for name in ("fullmatch", "match", "search"):
+        monkeypatch.setattr(q.regex, name, None)
+    text = "We saw Mr. Hill, e.g. at noon (vol. 2). Ann Bell left etc. and so on. ডা. রহিম এল। Was it No. 5? It was x1. Then done."
+    assert [text[a:b] for a, b in q.sentence_spans(text)] == ["We saw Mr. Hill, e.g. at noon (vol. 2).", "Ann Bell left etc. and so on.", "ডা. রহিম এল।", "Was it No. 5?", "It was x1.", "Then done."]
