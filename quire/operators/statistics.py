@@ -86,11 +86,24 @@ def exact_sum(x: Column) -> Column:
     return F.when(F.count_if(x.isNotNull() & d.isNull()) > 0, F.sum(x)).otherwise(F.sum(d).cast("double"))
 
 
-def progress(steps: DataFrame, keys: list[str], weights: dict[str, float]) -> DataFrame:
-    """Weighted progress over the stages of ``weights`` (others count nothing), to one place, 100 at most."""
+def _summed(rows: DataFrame, keys: list[str], x: Column, order: str | None) -> tuple[DataFrame, Column]:
+    """Rows, and the aggregate over ``keys`` that adds ``x``: exactly, or one double after the other in ``order``, as a scan of a table does."""
+    if order is None:
+        return rows, exact_sum(x)
+    # A running sum, not a list of the group's values: a group of any size is one sorted pass.
+    so_far = Window.partitionBy(*keys).orderBy(order, x).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_run", F.sum(x).over(so_far)), F.max_by("_run", F.struct(order, x.alias("x")))
+
+
+def progress(steps: DataFrame, keys: list[str], weights: dict[str, float], order: str | None = None) -> DataFrame:
+    """Weighted progress over the stages of ``weights`` (others count nothing), to one place, 100 at most.
+
+    Whether a mean just at a rounding tie goes up hangs on how its doubles are added: see ``_summed``.
+    """
     w = F.coalesce(*[F.when(F.col("stage") == k, F.lit(v)) for k, v in weights.items()], F.lit(0.0))
-    total = exact_sum(w * F.col("progress")) / F.nullif(F.sum(w), F.lit(0.0))
-    return steps.groupBy(*keys).agg(F.least(F.lit(100.0), F.floor(F.coalesce(total, F.lit(0.0)) * 10 + 0.5) / 10).alias("progress"))
+    rows, added = _summed(steps, keys, w * F.col("progress"), order)
+    total = added / F.nullif(F.sum(w), F.lit(0.0))
+    return rows.groupBy(*keys).agg(F.least(F.lit(100.0), F.floor(F.coalesce(total, F.lit(0.0)) * 10 + 0.5) / 10).alias("progress"))
 
 
 def stage_rollup(steps: DataFrame, keys: list[str]) -> DataFrame:

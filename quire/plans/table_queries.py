@@ -190,7 +190,7 @@ WEIGHTS = {"click": 3.0, "view": 2.0, "purchase": 5.0}
 @query(f"""WITH s AS ({STEPS}), w AS (SELECT project, CASE stage WHEN 'click' THEN 3.0 WHEN 'view' THEN 2.0 WHEN 'purchase' THEN 5.0 ELSE 0.0 END AS w, progress FROM s)
 SELECT project, least(100.0, floor(coalesce(sum(w * progress) / nullif(sum(w), 0), 0) * 10 + 0.5) / 10) AS progress FROM w GROUP BY 1""")
 def project_progress(spark: SparkSession, sf: str) -> DataFrame:
-    return statistics.progress(_steps(spark, sf), ["project"], WEIGHTS)
+    return statistics.progress(_steps(spark, sf), ["project"], WEIGHTS, "seq")
 
 
 @query(f"""WITH s AS ({STEPS}), r AS (SELECT *, row_number() OVER (PARTITION BY project, stage ORDER BY status IN ('COMPLETED', 'FAILED', 'SKIPPED', 'CANCELLED') DESC, CASE WHEN status IN ('COMPLETED', 'FAILED', 'SKIPPED', 'CANCELLED') THEN -seq ELSE seq END DESC) AS k FROM s)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 import time
 
+import duckdb
 from pyspark.sql import functions as F
 
 from quire.operators import characters, marks, regions, reviews, statistics
-from quire.plans.queries import QUERIES
+from quire.plans.queries import QUERIES, SQL
 
 
 def _steps(spark, lists):
@@ -24,6 +25,24 @@ def test_rounded_means_do_not_hang_on_the_order_of_rows(spark):
     assert len({r["progress"] for r in statistics.progress(steps, ["project"], {"click": 3.0}).collect()}) == 1
 
 
+def _in_sql(spark, tmp_path, name, lists):
+    """A query over events whose users have these values, and its SQL over the same file, read by one thread."""
+    rows = [(u, x) for k in range(len(lists[0])) for u, x in enumerate(v[k] for v in lists)]
+    events = [(i, u, "click", x) for i, (u, x) in enumerate(rows)]
+    df = spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds("event_id").cast("timestamp_ntz"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet' ORDER BY event_id")
+    want = con.execute(f"SELECT project, progress FROM ({SQL[name]})").fetchall()
+    return dict(QUERIES[name](spark, str(tmp_path)).select("project", "progress").collect()), dict(want)
+
+
+def test_project_progress_adds_in_the_order_of_events(spark, tmp_path):
+    # Means of 44.55 and 40.35: added one after the other, the doubles fall short of the first and exceed the second.
+    got, want = _in_sql(spark, tmp_path, "project_progress", [(40.32, 34.25, 30.84, 59.34, 56.36, 46.19), (30.62, 58.77, 42.02, 42.95, 44.74, 23.0)])
+    assert got == want == {0: 44.5, 1: 40.4}
+
+
 def test_sums_of_values_that_are_no_decimals(spark):
     rows = spark.createDataFrame([(1, 1e300), (1, 1.0), (2, float("inf")), (3, None), (4, 0.1), (4, 0.2)], "k int, x double")
     found = dict(rows.groupBy("k").agg(statistics.exact_sum(F.col("x")).alias("s")).collect())
