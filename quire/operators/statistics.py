@@ -106,14 +106,15 @@ def progress(steps: DataFrame, keys: list[str], weights: dict[str, float], order
     return rows.groupBy(*keys).agg(F.least(F.lit(100.0), F.floor(F.coalesce(total, F.lit(0.0)) * 10 + 0.5) / 10).alias("progress"))
 
 
-def stage_rollup(steps: DataFrame, keys: list[str]) -> DataFrame:
-    """State, mean progress and counts of each stage from its steps (stage, status, progress, cached, ts, message)."""
+def stage_rollup(steps: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """State, mean progress and counts of each stage from its steps (stage, status, progress, cached, ts, message); ``order`` as in ``progress``."""
     done = F.col("status").isin("COMPLETED", "SKIPPED")
     shown = F.when(done, 100.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(F.col("progress"), F.lit(0.0)))))
+    steps, added = _summed(steps, [*keys, "stage"], shown, order)
     rows = steps.groupBy(*keys, "stage").agg(
         F.count(F.lit(1)).alias("steps"), F.count_if(done).alias("done"), F.count_if(F.col("status") == "FAILED").alias("failed"),
         F.count_if(F.col("status") == "RUNNING").alias("running"), F.count_if(F.col("status") == "SKIPPED").alias("skipped"),
-        F.count_if((F.col("status") == "COMPLETED") & F.col("cached")).alias("cached"), (exact_sum(shown) / F.count(shown)).alias("mean"),
+        F.count_if((F.col("status") == "COMPLETED") & F.col("cached")).alias("cached"), (added / F.count(shown)).alias("mean"),
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
     )
     state = F.when(F.col("failed") > 0, "failed").when(F.col("skipped") == F.col("steps"), "skipped").when(F.col("done") == F.col("steps"), "done").when(F.col("running") > 0, "running").when(F.col("done") > 0, "partial").otherwise("pending")

@@ -181,7 +181,7 @@ def _steps(spark: SparkSession, sf: str) -> DataFrame:
 h AS (SELECT *, CASE WHEN failed > 0 THEN 'failed' WHEN skipped = steps THEN 'skipped' WHEN done = steps THEN 'done' WHEN running > 0 THEN 'running' WHEN done > 0 THEN 'partial' ELSE 'pending' END AS state FROM g)
 SELECT project, stage, steps, done, cached, state, CASE WHEN state IN ('done', 'skipped') THEN 100.0 ELSE floor(mean + 0.5) END AS progress, first_ts, last_ts FROM h""")
 def stage_states(spark: SparkSession, sf: str) -> DataFrame:
-    return statistics.stage_rollup(_steps(spark, sf), ["project"])
+    return statistics.stage_rollup(_steps(spark, sf), ["project"], "seq")
 
 
 WEIGHTS = {"click": 3.0, "view": 2.0, "purchase": 5.0}

@@ -43,6 +43,12 @@ def test_project_progress_adds_in_the_order_of_events(spark, tmp_path):
     assert got == want == {0: 44.5, 1: 40.4}
 
 
+def test_stage_states_add_in_the_order_of_events(spark, tmp_path):
+    # Means of 42.5 and 35.5, which the doubles, added one after the other, don't reach.
+    got, want = _in_sql(spark, tmp_path, "stage_states", [(39.57, 26.82, 53.24, 44.7, 38.39, 52.28), (45.72, 32.87, 29.35, 21.33, 47.23, 36.5)])
+    assert got == want == {0: 42.0, 1: 35.0}
+
+
 def test_sums_of_values_that_are_no_decimals(spark):
     rows = spark.createDataFrame([(1, 1e300), (1, 1.0), (2, float("inf")), (3, None), (4, 0.1), (4, 0.2)], "k int, x double")
     found = dict(rows.groupBy("k").agg(statistics.exact_sum(F.col("x")).alias("s")).collect())
