@@ -91,11 +91,11 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.lit(0.0))
 
 
-def letter_similarity(a: Column, b: Column, most: int = 800) -> Column:
-    """1 - edit distance / longer length over the letters and digits of two texts; 1 if both have none."""
+def letter_similarity(a: Column, b: Column) -> Column:
+    """1 - edit distance / longer length over all letters and digits of two texts; 1 if both have none."""
     from quire.functions.sequences import edit_distances
 
-    pair = F.struct(*[F.substring(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", ""), 1, most).alias(c) for x, c in ((a, "a"), (b, "b"))])
+    pair = F.struct(*[F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", "").alias(c) for x, c in ((a, "a"), (b, "b"))])
     return let(edit_distances(pair), lambda d: F.when(d["longest"] == 0, F.lit(1.0)).otherwise(1 - d["distance"] / d["longest"]))
 
 

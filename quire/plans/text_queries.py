@@ -10,7 +10,7 @@ from quire.functions import text as t
 from quire.functions.times import rounded, speech_weight
 from quire.operators import furniture, similarity, statistics, structure
 from quire.plans.registry import query
-from quire.sources.stages import small_batches
+from quire.sources.stages import small_batches, spread
 from quire.sources.tables import document_lines, joined_text, keep_first_content, laid_out, systematic_sample, table
 
 LINES = "SELECT source AS book, doc_id AS page, i - 1 AS line_no, text FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(text) <> ''"
@@ -232,7 +232,7 @@ def phrase_places(spark: SparkSession, sf: str) -> DataFrame:
 def neighbour_similarity(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").select("doc_id", "text")
     other = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next"), F.col("doc_id").alias("b"))
-    joined = rows.join(other, "doc_id")
+    joined = spread(rows, "doc_id").join(other, "doc_id")
     return joined.select(F.col("doc_id").alias("a"), "b", rounded(t.letter_similarity(F.col("text"), F.col("next")), 4).alias("similarity"))
 
 

@@ -64,6 +64,8 @@ def test_roman_and_narration(spark):
 
 def test_similarities(spark):
     assert values(spark, t.letter_similarity, ("abcd", "abcx"), ("", "!"), ("A-b", "ab")) == [0.75, 1.0, 1.0]
+    same = "ab-" * 500  # what follows on the first thousand letters counts, too
+    assert values(spark, t.letter_similarity, (same + "c" * 1000, same), (same + "c" * 1000, same + "d" * 1000), (same + "c", same + "c")) == [0.5, 0.5, 1.0]
     assert values(spark, t.phrase_index, ("The Metamorphosis by Franz", "the metamorphosis"), ("The end", "the start")) == [4, -1]
     assert values(spark, lambda c: F.size(t.shingles(c)), ("a b",), ("a b c d",), ("x x x x",)) == [0, 2, 1]
 
