@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import sequences as q
 from quire.functions import text as t
-from quire.operators import furniture, marks, regions, similarity, statistics
+from quire.operators import furniture, marks, regions, similarity, statistics, structure
 from quire.plans.queries import QUERIES
 from quire.sources import checked
 
@@ -138,6 +138,20 @@ def test_prefixes_of_shingles_are_cut_without_reading_texts_again(spark):
     assert plan(got).count("explode(transform(") <= 4
 
 
+def test_boxes_that_lines_tell_are_made_once_paragraphs_are(spark):
+    texts = [(0, "One two three bro-"), (1, "ken four five."), (2, " Six  seven "), (3, "eight bro-"), (4, "ken")]
+    lines = spark.createDataFrame([("b", n // 3, n, 54.0, 20.0 + n * 15, 54.0 + len(x) * 5, 31.0 + n * 15, 11.0, False, 11.0, x) for n, x in texts], "book string, page long, line_no int, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, body double, text string")
+
+    def box(x0, y0, y1, i):
+        return F.struct((x0 + i * 20).alias("x0"), y0.alias("y0"), (x0 + i * 20 + 18).alias("x1"), y1.alias("y1"))
+
+    carried = lines.withColumn("boxes", F.transform(t.tokens(F.col("text")), lambda w, i: box(F.col("x0"), F.col("y0"), F.col("y1"), i)))
+    told = structure.paragraphs(lines, boxes=lambda x: F.transform(x["words"], lambda w, i: box(x["x0"], x["y0"], x["y1"], i)))
+    got, want = ([tuple(r) for r in df.orderBy("para").collect()] for df in (told, structure.paragraphs(carried)))
+    assert got == want and [len(x["parts"]) for r in got for x in r[-1]].count(2) == 2
+    assert "boxes#" not in plan(QUERIES["book_sentences"](spark, SF))
+
+
 def test_sentences_of_the_timeline_are_split_once(spark):
     got = QUERIES["timeline_slice"](spark, SF)
     got.collect()
