@@ -138,6 +138,23 @@ def test_prefixes_of_shingles_are_cut_without_reading_texts_again(spark):
     assert plan(got).count("explode(transform(") <= 4
 
 
+def test_sets_of_near_copies_are_not_sent_with_each_pair(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_TEXTS", 16)  # several blocks, and a group of near copies in more than one of them
+    r = random.Random(5)
+    base, texts = [f"w{k}" for k in range(60)], ["a b", "", "few words of its own here", None]
+    for k in range(120):
+        own = list(base if k % 3 else base[k % 40 :] + [f"v{k % 4}{j}" for j in range(k % 40)])
+        for i in r.sample(range(len(own)), r.choice((0, 0, 2, 6, 12))):
+            own[i] = f"u{r.randrange(9)}"
+        texts.append(" ".join(own))
+    sets = {i: {tuple(w[j : j + 3]) for j in range(len(w) - 2)} for i, w in enumerate((x or "").split() for x in texts)}
+    want = {(i, j) for i in sets for j in sets if i < j and min(len(sets[i]), len(sets[j])) >= 4 and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.4}
+    got = similarity.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, body string").withColumn("title", F.lit("")), "id", "title", "body")
+    pairs = [(x["a"], x["b"]) for x in got.collect()]
+    assert set(pairs) == want and len(pairs) == len(want) > 1000
+    assert "array_intersect" not in plan(got) and "FlatMapCoGroupsInArrow" in plan(got)
+
+
 def test_boxes_that_lines_tell_are_made_once_paragraphs_are(spark):
     texts = [(0, "One two three bro-"), (1, "ken four five."), (2, " Six  seven "), (3, "eight bro-"), (4, "ken")]
     lines = spark.createDataFrame([("b", n // 3, n, 54.0, 20.0 + n * 15, 54.0 + len(x) * 5, 31.0 + n * 15, 11.0, False, 11.0, x) for n, x in texts], "book string, page long, line_no int, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, body double, text string")
