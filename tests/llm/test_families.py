@@ -60,3 +60,18 @@ def test_a_large_family_of_near_copies_is_routed_by_few_hashes(spark, monkeypatc
     assert got == brute_classes(list(enumerate(texts)), percent=percent)
     ((hashes, tokens),) = routed
     assert tokens < 0.4 * hashes
+
+
+def test_texts_are_filtered_before_they_are_shuffled_also_by_small_tables(spark, tmp_path):
+    spark.range(50_000).selectExpr("cast(id as string) AS key", "repeat('text ', 20) AS text").write.parquet(f"{tmp_path}/texts")
+    spark.range(40).selectExpr("cast(id * 7 as string) AS key", "id AS n").write.parquet(f"{tmp_path}/sets")
+    texts, sets = spark.read.parquet(f"{tmp_path}/texts"), spark.read.parquet(f"{tmp_path}/sets").hint("merge")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")  # Spark's default
+    try:
+        with jaccard._filtered_joins(spark):
+            found = texts.join(sets.where("n > 0"), "key").dropDuplicates(["key"])
+            assert "might_contain" in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 39
+        assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10MB"
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
